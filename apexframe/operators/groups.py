@@ -17,7 +17,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from apexframe.session import stage
@@ -97,31 +97,61 @@ def value_positions(
 ) -> DataFrame:
     """One row per group and distinct value: how often it occurs, how many rows
     of the group lie below it, and how many rows the group has."""
-    counts = stage(
+    counts = (
         df.dropna(subset=[*keys, value])  # also drops NaN
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias(_N))
     )
-    counts = _into_ranges(counts, value, limit)
-    ranges = counts.groupBy(*keys, "_range").agg(F.sum(_N).alias("_range_rows"))
-    # At most MAX_RANGES + 1 rows per group.
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
+    return split_running_sums(counts, keys, value, [_N], limit).select(
         *keys,
-        "_range",
-        F.coalesce(F.sum("_range_rows").over(earlier), F.lit(0)).alias("_below_range"),
-        F.sum("_range_rows").over(group).alias(_TOTAL),
-    )
-    inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        value,
+        _N,
+        F.col(f"{_N}_below").alias(_BEFORE),
+        F.col(f"{_N}_total").alias(_TOTAL),
     )
-    below = F.col("_below_range") + F.coalesce(F.sum(_N).over(inside), F.lit(0))
-    return counts.join(ranges, [*keys, "_range"]).select(
-        *keys, value, _N, below.alias(_BEFORE), _TOTAL
+
+
+def running_sums(
+    sums: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], small: bool | None = None
+) -> DataFrame:
+    """Add ``<m>_below`` and ``<m>_total`` to rows that are unique per group and
+    value: the sum of measure m over the smaller values, and over the group."""
+    if not _small(sums, keys, small):
+        return split_running_sums(sums, keys, value, measures)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    return sums.withColumns(_sums_over(group, value, measures))
+
+
+def split_running_sums(
+    sums: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    measures: Sequence[str],
+    limit: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """``running_sums`` for groups of any size, by value ranges of bounded size."""
+    sums = _into_ranges(stage(sums), value, limit)
+    # At most MAX_RANGES + 1 rows per group.
+    ranges = sums.groupBy(*keys, "_range").agg(*[F.sum(m).alias(m) for m in measures])
+    ranges = ranges.withColumns(
+        _sums_over(Window.partitionBy(*(keys or [F.lit(0)])), "_range", measures)
     )
+    lower = {f"{m}_below": f"_{m}_lower" for m in measures}
+    ranges = ranges.withColumnsRenamed(lower).drop(*measures)
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    below = {
+        f"{m}_below": F.col(f"_{m}_lower") + F.coalesce(F.sum(m).over(inside), F.lit(0))
+        for m in measures
+    }
+    joined = sums.join(ranges, [*keys, "_range"]).withColumns(below)
+    return joined.drop("_range", *lower.values())
+
+
+def _sums_over(group: WindowSpec, order: str, measures: Sequence[str]) -> dict[str, Column]:
+    earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    below = {f"{m}_below": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures}
+    return below | {f"{m}_total": F.sum(m).over(group) for m in measures}
 
 
 def attach(

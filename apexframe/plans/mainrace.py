@@ -126,10 +126,14 @@ def training(
     year_from: int = 1981,
     keep_lap_identity: bool = False,
     skip_deleted: bool = False,
+    entries_table: DataFrame | None = None,
     **bounds,
 ) -> DataFrame:
-    """The training table. ``final_position`` is kept for evaluation only."""
-    cars = stage(entries(dump, year_from))
+    """The training table. ``final_position`` is kept for evaluation only.
+
+    ``entries_table`` hands over the ``entries`` if they were staged before.
+    """
+    cars = stage(entries(dump, year_from)) if entries_table is None else entries_table
     # The roll-up merges entries and adds none, so their count bounds every race.
     small = groups.fits_one_task(cars, RACE)
     merged = rolled_up(dump, cars, keep_lap_identity, skip_deleted)

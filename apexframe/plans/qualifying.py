@@ -39,11 +39,11 @@ def entries(dump: Dump, year_from: int = 1981, skip_deleted: bool = False) -> Da
     return facts.qualifying_entries(dump, best, year_from)
 
 
-def best_laps(dump: Dump, year_from: int = 1981, skip_deleted: bool = False) -> DataFrame:
-    """One row per car and session date."""
-    return rollup.best_lap(
-        entries(dump, year_from, skip_deleted), ATTRIBUTES, "milliseconds_qualification"
-    ).filter(F.col("milliseconds_qualification") != 0)
+def best_laps(cars: DataFrame) -> DataFrame:
+    """One row per car and session date of ``entries``."""
+    return rollup.best_lap(cars, ATTRIBUTES, "milliseconds_qualification").filter(
+        F.col("milliseconds_qualification") != 0
+    )
 
 
 def deviations(cars: DataFrame, upper: float = 1_000_000, small: bool | None = None) -> DataFrame:
@@ -61,5 +61,14 @@ def deviations(cars: DataFrame, upper: float = 1_000_000, small: bool | None = N
     return groups.group_rank(cars, RACE, "deviation_from_median", "final_position", small)
 
 
-def training(dump: Dump, year_from: int = 1981, **options) -> DataFrame:
-    return deviations(best_laps(dump, year_from), **options).select(*TRAINING)
+def training(
+    dump: Dump,
+    year_from: int = 1981,
+    skip_deleted: bool = False,
+    entries_table: DataFrame | None = None,
+    **bounds,
+) -> DataFrame:
+    """The training table. ``entries_table`` hands over staged ``entries``."""
+    if entries_table is None:
+        entries_table = entries(dump, year_from, skip_deleted)
+    return deviations(best_laps(entries_table), **bounds).select(*TRAINING)

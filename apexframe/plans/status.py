@@ -39,6 +39,9 @@ def entries(dump: Dump, year_from: int = 1981) -> DataFrame:
     return facts.race_entries(dump, year_from).select(*ATTRIBUTES).distinct()
 
 
-def training(dump: Dump, year_from: int = 1981) -> DataFrame:
-    cars = entries(dump, year_from).withColumn("dnf", dnf_label(F.col("is_classified")))
-    return cars.select(*TRAINING)
+def training(
+    dump: Dump, year_from: int = 1981, entries_table: DataFrame | None = None
+) -> DataFrame:
+    """The training table. ``entries_table`` hands over staged ``entries``."""
+    cars = entries(dump, year_from) if entries_table is None else entries_table
+    return cars.withColumn("dnf", dnf_label(F.col("is_classified"))).select(*TRAINING)
