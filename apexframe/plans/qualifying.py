@@ -71,4 +71,6 @@ def training(
     """The training table. ``entries_table`` hands over staged ``entries``."""
     if entries_table is None:
         entries_table = entries(dump, year_from, skip_deleted)
-    return deviations(best_laps(entries_table), **bounds).select(*TRAINING)
+    # The best laps merge entries and add none, so their count bounds every race.
+    small = groups.fits_one_task(entries_table, RACE)
+    return deviations(best_laps(entries_table), small=small, **bounds).select(*TRAINING)

@@ -7,223 +7,219 @@ in one month form a race.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cached_property
 
-from apexframe.schemas import Dump
+from pyspark.sql import DataFrame, SparkSession
 
+# Fixed expressions of the mapping.
+MONTH = "trunc(cast(o_orderdate AS date), 'month')"
+ROUND_ID = f"cast(c_nationkey AS bigint) * 1000000 + year({MONTH}) * 100 + month({MONTH})"
+LAP_MS = "floor(l_extendedprice + 0.5D)"
+SESSION_MS = "floor(o_totalprice + 0.5D)"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def month(ts: Column) -> Column:
-    return F.trunc(ts.cast("date"), "month")
-
-
-def round_key(nation: Column, date: Column) -> Column:
-    """One number per nation and month."""
-    return nation.cast("long") * 1_000_000 + F.year(date) * 100 + F.month(date)
-
-
-def clock_text(ms: Column) -> Column:
-    """Milliseconds as ``HH:MM:SS.fff``; null stays null."""
-
-    def part(value: Column, width: int) -> Column:
-        return F.lpad(F.floor(value).cast("long").cast("string"), width, "0")
-
-    return F.concat(
-        part(ms / 3_600_000, 2),
-        F.lit(":"),
-        part(ms / 60_000 % 60, 2),
-        F.lit(":"),
-        part(ms / 1_000 % 60, 2),
-        F.lit("."),
-        part(ms % 1_000, 3),
+def clock_text(ms: str) -> str:
+    """SQL for milliseconds as ``HH:MM:SS.fff``."""
+    return (
+        f"concat(lpad(({ms}) div 3600000, 2, '0'), ':', lpad(({ms}) div 60000 % 60, 2, '0'), ':', "
+        f"lpad(({ms}) div 1000 % 60, 2, '0'), '.', lpad(({ms}) % 1000, 3, '0'))"
     )
 
 
-def lap_ms() -> Column:
-    return F.floor(F.col("l_extendedprice") + 0.5)
-
-
-def session_ms() -> Column:
-    return F.floor(F.col("o_totalprice") + 0.5)
+class StarDump:
+    """The star schema and the race tables; each is built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Orders with their customer and nation."""
+        orders, customers = self.table("orders"), self.table("customer")
+        customers = customers.join(self.table("nation"), customers.c_nationkey == self.table("nation").n_nationkey)
+        return orders.join(customers, orders.o_custkey == customers.c_custkey)
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        """Orders with their month and the race they enter."""
+        orders, customers = self.table("orders"), self.table("customer")
+        return orders.join(customers, orders.o_custkey == customers.c_custkey).selectExpr(
+            "o_orderkey",
+            "o_custkey",
+            "o_orderstatus",
+            "o_totalprice",
+            "o_orderpriority",
+            "c_nationkey",
+            f"{MONTH} AS month",
+            f"{ROUND_ID} AS round_id",
+        )
 
+    @cached_property
+    def _rounds(self) -> DataFrame:
+        return self._placed.select("round_id", "c_nationkey", "month").distinct()
+
+    @cached_property
+    def round(self) -> DataFrame:
+        return self._rounds.selectExpr(
+            "round_id AS id",
+            "cast(c_nationkey AS bigint) AS circuit_id",
+            "concat('round ', round_id) AS name",
+            "month AS date",
+            "if(round_id % 37 = 0, 't', 'f') AS is_cancelled",
+        )
 
-def dump(spark: SparkSession, sf_dir: str) -> Dump:
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer")
-    nations = table(spark, sf_dir, "nation")
-    # The month of each order and the nation whose race it enters.
-    placed = (
-        orders.withColumn("month", month(F.col("o_orderdate")))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .withColumn("round_id", round_key(F.col("c_nationkey"), F.col("month")))
-    )
-    rounds = placed.select("round_id", "c_nationkey", "month").distinct()
-    return Dump(
-        round=rounds.select(
-            F.col("round_id").alias("id"),
-            F.col("c_nationkey").cast("long").alias("circuit_id"),
-            F.concat(F.lit("round "), F.col("round_id")).alias("name"),
-            F.col("month").alias("date"),
-            F.when(F.col("round_id") % 37 == 0, "t").otherwise("f").alias("is_cancelled"),
-        ),
-        session=rounds.withColumn(
-            "kind",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("n"), F.lit("R").alias("type")),
-                    F.struct(F.lit(1).alias("n"), F.lit("Q1").alias("type")),
-                    F.struct(F.lit(2).alias("n"), F.lit("Q2").alias("type")),
-                )
-            ),
-        ).select(
-            (F.col("round_id") * 10 + F.col("kind.n")).alias("id"),
+    @cached_property
+    def session(self) -> DataFrame:
+        """A race and two qualifying sessions, these on the day before."""
+        kinds = "inline(array(struct(0 AS n, 'R' AS type), struct(1 AS n, 'Q1' AS type), struct(2 AS n, 'Q2' AS type)))"
+        return self._rounds.selectExpr("*", kinds).selectExpr(
+            "round_id * 10 + n AS id",
             "round_id",
-            F.col("kind.type").alias("type"),
-            F.when(F.col("kind.n") == 0, F.col("month")).otherwise(F.date_sub("month", 1)).alias("date"),
-            F.when((F.col("round_id") + F.col("kind.n")) % 41 == 0, "t").otherwise("f").alias("is_cancelled"),
-        ),
-        roundentry=placed.select(
-            F.col("o_orderkey").alias("id"), "round_id", F.col("o_custkey").alias("team_driver_id")
-        ),
-        sessionentry=placed.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-            (F.col("o_orderkey") * 2 + F.col("kind")).alias("id"),
-            (
-                F.col("round_id") * 10
-                + F.when(F.col("kind") == 0, 0).otherwise(1 + F.col("o_orderkey") % 2)
-            ).alias("session_id"),
-            F.col("o_orderkey").alias("round_entry_id"),
-            F.when(F.col("o_orderkey") % 97 == 0, None)
-            .when(F.col("o_orderstatus") == "P", "f")
-            .otherwise("t")
-            .alias("is_classified"),
-            F.when(
-                F.col("o_orderpriority") != "4-NOT SPECIFIED", F.substring("o_orderpriority", 1, 1)
-            )
-            .try_cast("int")
-            .alias("grid"),
-            clock_text(session_ms()).alias("time"),
-            (F.col("o_orderkey") % 16).cast("int").alias("laps_completed"),
-        ),
-        teamdriver=customers.select(
-            F.col("c_custkey").alias("id"),
-            F.ascii(F.col("c_mktsegment")).cast("long").alias("team_id"),
-            F.col("c_custkey").alias("driver_id"),
-        ),
-        driver=drivers(spark, sf_dir),
-        team=teams(spark, sf_dir),
-        circuit=nations.select(
-            F.col("n_nationkey").cast("long").alias("id"),
-            F.col("n_name").alias("reference"),
-            F.col("n_name").alias("country_code"),
-        ),
-        lap=table(spark, sf_dir, "lineitem").select(
-            (F.col("l_orderkey") * 2 + F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)).alias(
-                "session_entry_id"
-            ),
-            F.col("l_linenumber").alias("number"),
-            clock_text(lap_ms()).alias("time"),
-            F.when(F.col("l_returnflag") == "R", "t").otherwise("f").alias("is_deleted"),
-        ),
-        weather=weather(spark, sf_dir),
-        circuit_type=circuit_types(spark, sf_dir),
-    )
+            "type",
+            "if(n = 0, month, date_sub(month, 1)) AS date",
+            "if((round_id + n) % 41 = 0, 't', 'f') AS is_cancelled",
+        )
 
+    @cached_property
+    def roundentry(self) -> DataFrame:
+        return self._placed.selectExpr("o_orderkey AS id", "round_id", "o_custkey AS team_driver_id")
+
+    @cached_property
+    def sessionentry(self) -> DataFrame:
+        """Every order enters the race and one of the two qualifying sessions."""
+        return self._placed.selectExpr("*", "explode(array(0, 1)) AS kind").selectExpr(
+            "o_orderkey * 2 + kind AS id",
+            "round_id * 10 + if(kind = 0, 0, 1 + o_orderkey % 2) AS session_id",
+            "o_orderkey AS round_entry_id",
+            "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 'f' ELSE 't' END"
+            " AS is_classified",
+            "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'"
+            " THEN try_cast(substr(o_orderpriority, 1, 1) AS int) END AS grid",
+            f"{clock_text(SESSION_MS)} AS time",
+            "cast(o_orderkey % 16 AS int) AS laps_completed",
+        )
 
-def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers; every 50th has no birth date, and the country is unrelated to
-    the nation of the customer, which is the circuit."""
-    nations = table(spark, sf_dir, "nation")
-    customers = table(spark, sf_dir, "customer")
-    return customers.join(
-        nations, (F.col("c_custkey") * 7 % 25).cast("int") == F.col("n_nationkey")
-    ).select(
-        F.col("c_custkey").alias("id"),
-        F.lower("c_name").alias("reference"),
-        F.col("n_name").alias("country_code"),
-        F.when(
-            F.col("c_custkey") % 50 != 0,
-            F.date_add(F.lit("1960-01-01").cast("date"), (F.col("c_custkey") % 7300).cast("int")),
-        ).alias("date_of_birth"),
-    )
+    @cached_property
+    def teamdriver(self) -> DataFrame:
+        return self.table("customer").selectExpr(
+            "c_custkey AS id", "cast(ascii(c_mktsegment) AS bigint) AS team_id", "c_custkey AS driver_id"
+        )
 
+    @cached_property
+    def driver(self) -> DataFrame:
+        """Customers. Every 50th has no birth date, and the country is unrelated
+        to the nation of the customer, which is the circuit."""
+        customers = self.table("customer").selectExpr("*", "cast(c_custkey * 7 % 25 AS int) AS home")
+        nations = self.table("nation")
+        return customers.join(nations, customers.home == nations.n_nationkey).selectExpr(
+            "c_custkey AS id",
+            "lower(c_name) AS reference",
+            "n_name AS country_code",
+            "CASE WHEN c_custkey % 50 <> 0"
+            " THEN date_add(DATE '1960-01-01', cast(c_custkey % 7300 AS int)) END AS date_of_birth",
+        )
 
-def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market segments, each at home in one of the nations."""
-    segments = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    nations = table(spark, sf_dir, "nation")
-    return segments.join(
-        nations, F.ascii(F.col("c_mktsegment")) % 25 == F.col("n_nationkey")
-    ).select(
-        F.ascii(F.col("c_mktsegment")).cast("long").alias("id"),
-        F.lower("c_mktsegment").alias("reference"),
-        F.col("n_name").alias("country_code"),
-    )
+    @cached_property
+    def team(self) -> DataFrame:
+        """Market segments, each at home in one of the nations."""
+        segments = self.table("customer").select("c_mktsegment").distinct()
+        segments = segments.selectExpr("*", "ascii(c_mktsegment) % 25 AS home")
+        nations = self.table("nation")
+        return segments.join(nations, segments.home == nations.n_nationkey).selectExpr(
+            "cast(ascii(c_mktsegment) AS bigint) AS id",
+            "lower(c_mktsegment) AS reference",
+            "n_name AS country_code",
+        )
 
+    @cached_property
+    def circuit(self) -> DataFrame:
+        return self.table("nation").selectExpr(
+            "cast(n_nationkey AS bigint) AS id", "n_name AS reference", "n_name AS country_code"
+        )
 
-def circuit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and region; one nation in ten has no type."""
-    return (
-        table(spark, sf_dir, "nation")
-        .filter(F.col("n_nationkey") % 10 != 9)
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("n_name").alias("circuit"), F.col("r_name").alias("type_circuit"))
-    )
+    @cached_property
+    def lap(self) -> DataFrame:
+        """Two thirds of the line items are race laps, the rest qualifying laps."""
+        return self.table("lineitem").selectExpr(
+            "l_orderkey * 2 + if(l_linenumber % 3 = 0, 1, 0) AS session_entry_id",
+            "l_linenumber AS number",
+            f"{clock_text(LAP_MS)} AS time",
+            "if(l_returnflag = 'R', 't', 'f') AS is_deleted",
+        )
 
+    @cached_property
+    def circuit_type(self) -> DataFrame:
+        """Nation and region; one nation in ten has no type."""
+        nations, regions = self.table("nation").filter("n_nationkey % 10 <> 9"), self.table("region")
+        return nations.join(regions, nations.n_regionkey == regions.r_regionkey).selectExpr(
+            "n_name AS circuit", "r_name AS type_circuit"
+        )
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most frequent event type of a day, ties by name, spread over the months.
+    @cached_property
+    def weather(self) -> DataFrame:
+        """Most frequent event type of a day, ties by name, spread over the months.
+
+        Day d of the event month gives the weather of the months number d, d + 31
+        and d + 62 after December 1994, so every 31st month has none.
+        """
+        per_type = self.table("events").selectExpr("dayofmonth(ts) AS day", "event_type")
+        per_type = per_type.groupBy("day", "event_type").count()
+        top = per_type.selectExpr("day", "struct(-count AS n, event_type) AS top").groupBy("day").agg({"top": "min"})
+        return top.selectExpr(
+            "explode(array(day, day + 31, day + 62)) AS months", "`min(top)`.event_type AS event_type"
+        ).selectExpr(
+            "add_months(DATE '1994-12-01', months) AS date",
+            "CASE event_type WHEN 'error' THEN 'Rain' WHEN 'click' THEN 'Changeable'"
+            " WHEN 'view' THEN 'Very changeable' ELSE 'Dry' END AS weather",
+        )
 
-    Day d of the event month gives the weather of the months number d, d + 31
-    and d + 62 after December 1994, so every 31st month has none.
-    """
-    label = (
-        F.when(F.col("event_type") == "error", "Rain")
-        .when(F.col("event_type") == "click", "Changeable")
-        .when(F.col("event_type") == "view", "Very changeable")
-        .otherwise("Dry")
-    )
-    per_type = table(spark, sf_dir, "events").groupBy(
-        F.dayofmonth("ts").alias("day"), "event_type"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    top = per_type.groupBy("day").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "event_type")).alias("top")
-    )
-    return top.select(
-        F.explode(F.array(F.col("day"), F.col("day") + 31, F.col("day") + 62)).alias("months"),
-        F.col("top.event_type").alias("event_type"),
-    ).select(
-        F.add_months(F.lit("1994-12-01").cast("date"), F.col("months")).alias("date"),
-        label.alias("weather"),
-    )
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Orders as prediction requests: some names in other spelling, some unknown."""
+        return self.orders.selectExpr(
+            "o_orderkey AS request_id",
+            "cast(substr(o_orderpriority, 1, 1) AS int) AS qualification_position",
+            "cast(o_orderkey % 20 + 50 AS int) AS laps",
+            "if(o_orderkey % 13 = 0, upper(c_mktsegment), lower(c_mktsegment)) AS constructor",
+            "n_name AS circuit",
+            "CASE WHEN o_orderkey % 11 = 0 THEN concat('nobody ', lower(c_name))"
+            " WHEN o_orderkey % 3 = 0 THEN concat('  ', upper(c_name), ' ')"
+            " ELSE lower(c_name) END AS driver",
+            "cast(o_orderdate AS date) AS race_date",
+            "CASE WHEN o_orderkey % 5 <> 0 THEN cast(o_orderkey % 2 AS int) END AS rain",
+            "o_totalprice AS score",
+        )
 
+    @cached_property
+    def finishes(self) -> DataFrame:
+        """Every order as a finished car: a true deviation and a predicted score."""
+        return self.orders.selectExpr(
+            "o_orderkey",
+            f"year({MONTH}) AS race_year",
+            f"month({MONTH}) AS race_month",
+            f"dayofmonth({MONTH}) AS race_day",
+            "n_name AS circuit",
+            "lower(c_name) AS driver",
+            "lower(c_mktsegment) AS constructor",
+            "cast(o_orderkey * 7919 % 1009 AS double) AS deviation_from_median",
+            "o_totalprice AS score",
+        )
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as prediction requests: some names in other spelling, some unknown."""
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer")
-    nations = table(spark, sf_dir, "nation")
-    key, name = F.col("o_orderkey"), F.lower("c_name")
-    return (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("request_id"),
-            F.substring("o_orderpriority", 1, 1).cast("int").alias("qualification_position"),
-            (key % 20 + 50).cast("int").alias("laps"),
-            F.when(key % 13 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias(
-                "constructor"
-            ),
-            F.col("n_name").alias("circuit"),
-            F.when(key % 11 == 0, F.concat(F.lit("nobody "), name))
-            .when(key % 3 == 0, F.concat(F.lit("  "), F.upper(name), F.lit(" ")))
-            .otherwise(name)
-            .alias("driver"),
-            F.col("o_orderdate").cast("date").alias("race_date"),
-            F.when(key % 5 != 0, (key % 2).cast("int")).alias("rain"),
-            F.col("o_totalprice").alias("score"),
+    @cached_property
+    def scored_events(self) -> DataFrame:
+        """Events as labelled predictions: errors told by their value."""
+        return self.table("events").selectExpr(
+            "cast(event_type = 'error' AS int) AS label",
+            "cast(value > 50 AS int) AS prediction",
+            "value AS score",
         )
-    )
+
+
+def dump(spark: SparkSession, sf_dir: str) -> StarDump:
+    return StarDump(spark, sf_dir)

@@ -17,12 +17,15 @@ from apexframe.session import configure, shared_dir, stage
 from apexframe.sources import tables
 from apexframe.streaming import scoring as stream
 from starschema import mapping
-from starschema.mapping import table
 from starschema.oracles import YEAR_FROM
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return mapping.dump(spark, sf).table(name)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -104,8 +107,8 @@ def final_position(spark, sf):
 
 def time_to_ms(spark, sf):
     """Lap times spelled in seven ways, some of them malformed."""
-    full = mapping.clock_text(mapping.lap_ms())
-    laps = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", full.alias("t"))
+    full = f"{mapping.clock_text(mapping.LAP_MS)} AS t"
+    laps = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_linenumber", full)
     t, kind = F.col("t"), F.col("l_linenumber") % 7
     spelled = (
         F.when(kind == 0, t)
@@ -135,15 +138,12 @@ def days_between(spark, sf):
 
 def _named_orders(spark, sf):
     dump = mapping.dump(spark, sf)
-    orders = table(spark, sf, "orders").join(
-        table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    )
-    keyed = orders.select(
+    keyed = dump.orders.selectExpr(
         "o_orderkey",
-        mapping.month(F.col("o_orderdate")).alias("month"),
-        F.col("o_custkey").alias("driver_id"),
-        F.ascii("c_mktsegment").cast("long").alias("team_id"),
-        F.col("c_nationkey").cast("long").alias("circuit_id"),
+        f"{mapping.MONTH} AS month",
+        "o_custkey AS driver_id",
+        "cast(ascii(c_mktsegment) AS bigint) AS team_id",
+        "cast(c_nationkey AS bigint) AS circuit_id",
     )
     return facts.with_names(keyed, dump)
 
@@ -155,7 +155,7 @@ def home_flags(spark, sf):
 
 
 def rain_flag(spark, sf):
-    return mapping.weather(spark, sf).select(
+    return mapping.dump(spark, sf).weather.select(
         "date", "weather", fx.rain_flag(F.col("weather")).alias("rain")
     )
 
@@ -231,7 +231,7 @@ def weather_join(spark, sf):
 
 def circuit_type_join(spark, sf):
     orders = _named_orders(spark, sf).select("o_orderkey", "circuit")
-    return facts.with_circuit_type(orders, mapping.circuit_types(spark, sf)).select(
+    return facts.with_circuit_type(orders, mapping.dump(spark, sf).circuit_type).select(
         "o_orderkey", "circuit", "type_circuit"
     )
 
@@ -287,22 +287,22 @@ _REQUEST = ("request_id", "driver", "constructor", "circuit")
 
 
 def validate_requests(spark, sf):
-    checked = lookup.with_validity(mapping.requests(spark, sf), _picks(spark, sf))
+    checked = lookup.with_validity(mapping.dump(spark, sf).requests, _picks(spark, sf))
     return checked.select(*_REQUEST, "valid")
 
 
 def accepted_requests(spark, sf):
-    return lookup.accepted(mapping.requests(spark, sf), _picks(spark, sf)).select(*_REQUEST)
+    return lookup.accepted(mapping.dump(spark, sf).requests, _picks(spark, sf)).select(*_REQUEST)
 
 
 def rejected_requests(spark, sf):
-    return lookup.rejected(mapping.requests(spark, sf), _picks(spark, sf)).select(*_REQUEST)
+    return lookup.rejected(mapping.dump(spark, sf).requests, _picks(spark, sf)).select(*_REQUEST)
 
 
 def _expand_queries() -> dict[str, Query]:
     def expand(task):
         return lambda spark, sf: lookup.expand(
-            mapping.requests(spark, sf), dimensions.all_dimensions(mapping.dump(spark, sf)), task
+            mapping.dump(spark, sf).requests, dimensions.all_dimensions(mapping.dump(spark, sf)), task
         ).select("request_id", "score", *TASKS[task].features)
 
     return {f"expand_features_{task}": expand(task) for task in TASKS}
@@ -317,7 +317,7 @@ _REQUEST_STREAM = (
 def stream_expand_features(spark, sf):
     """Requests written to a folder, then read, validated and expanded as a stream."""
     inbox, outbox, marks = (_scratch(spark, n) for n in ("inbox", "outbox", "marks"))
-    tables.write(mapping.requests(spark, sf), inbox)
+    tables.write(mapping.dump(spark, sf).requests, inbox)
     dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
     picks = {k: stage(v) for k, v in _picks(spark, sf).items()}
     requests = stream.read_requests(spark, inbox, "mainrace", _REQUEST_STREAM)
@@ -334,25 +334,7 @@ def stream_expand_features(spark, sf):
 
 
 def _finishes(spark, sf):
-    """Every order as a finished car: a true deviation and a predicted one."""
-    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
-    nations = table(spark, sf, "nation")
-    m = mapping.month(F.col("o_orderdate"))
-    return (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            "o_orderkey",
-            F.year(m).alias("race_year"),
-            F.month(m).alias("race_month"),
-            F.dayofmonth(m).alias("race_day"),
-            F.col("n_name").alias("circuit"),
-            F.lower("c_name").alias("driver"),
-            F.lower("c_mktsegment").alias("constructor"),
-            (F.col("o_orderkey") * 7919 % 1009).cast("double").alias("deviation_from_median"),
-            F.col("o_totalprice").alias("score"),
-        )
-    )
+    return mapping.dump(spark, sf).finishes
 
 
 def rank_predictions(spark, sf):
@@ -443,24 +425,16 @@ def top5_finishers(spark, sf):
     )
 
 
-def _classified(spark, sf):
-    return table(spark, sf, "events").select(
-        (F.col("event_type") == "error").cast("int").alias("label"),
-        (F.col("value") > 50).cast("int").alias("prediction"),
-        F.col("value").alias("score"),
-    )
-
-
 def confusion_matrix(spark, sf):
-    return metrics.confusion_matrix(_classified(spark, sf), "label", "prediction")
+    return metrics.confusion_matrix(mapping.dump(spark, sf).scored_events, "label", "prediction")
 
 
 def classification_report(spark, sf):
-    return _rounded(metrics.classification_report(_classified(spark, sf), "label", "prediction"))
+    return _rounded(metrics.classification_report(mapping.dump(spark, sf).scored_events, "label", "prediction"))
 
 
 def roc_auc(spark, sf):
-    return _rounded(metrics.roc_auc(_classified(spark, sf), "label", "score"))
+    return _rounded(metrics.roc_auc(mapping.dump(spark, sf).scored_events, "label", "score"))
 
 
 # --- checks and previews ------------------------------------------------------------------
@@ -475,14 +449,11 @@ def null_key_rows(spark, sf):
 
 
 def duplicate_dates(spark, sf):
-    orders = table(spark, sf, "orders").join(
-        table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    ).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    dated = orders.select(
-        F.year("o_orderdate").alias("race_year"),
-        F.month("o_orderdate").alias("race_month"),
-        F.col("n_name").alias("circuit"),
-        F.col("o_orderdate").cast("date").alias("date"),
+    dated = mapping.dump(spark, sf).orders.selectExpr(
+        "year(o_orderdate) AS race_year",
+        "month(o_orderdate) AS race_month",
+        "n_name AS circuit",
+        "cast(o_orderdate AS date) AS date",
     )
     return quality.several_dates(dated, ["race_year", "race_month", "circuit"])
 
