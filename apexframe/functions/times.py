@@ -16,20 +16,21 @@ def time_to_ms(text: Column, strict_fraction: bool = False) -> Column:
     is taken as a whole number of milliseconds, which is what the published
     training tables contain; ``strict_fraction`` keeps three digits instead.
     """
-    parts = F.split(text, ":")
-    seconds_text = F.get(parts, F.lit(2))
-    digits = F.split_part(seconds_text, F.lit("."), F.lit(2))
+    hours, after = F.substring_index(text, ":", 1), F.substring_index(text, ":", -2)
+    minutes, last = F.substring_index(after, ":", 1), F.substring_index(after, ":", -1)
+    whole = F.substring_index(last, ".", 1)
+    digits = F.substring(last, F.length(whole) + 2, F.length(last))
     if strict_fraction:
         fraction = F.rpad(digits, 3, "0")
     else:
         fraction = F.rpad(digits, F.greatest(F.length(digits), F.lit(3)), "0")
-    seconds = (
-        F.get(parts, F.lit(0)).try_cast("int").cast("long") * 3600
-        + F.get(parts, F.lit(1)).try_cast("int").cast("long") * 60
-        + F.split_part(seconds_text, F.lit("."), F.lit(1)).try_cast("int")
-    )
-    # Added rather than wrapped in a condition: generated code then splits the
-    # text once and shares the parts.
+
+    def number(part: Column) -> Column:
+        return part.try_cast("int").cast("long")
+
+    seconds = number(hours) * 3600 + number(minutes) * 60 + number(whole)
+    # Added rather than wrapped in a condition: generated code then cuts the text
+    # once and shares the parts.
     well_formed = F.when(text.rlike(CLOCK), F.lit(0))
     return F.try_add(seconds * 1000 + well_formed, fraction.try_cast("long"))
 

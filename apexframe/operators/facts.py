@@ -26,10 +26,10 @@ _RACE_COLUMNS = (
 
 
 def denormalize(dump: Dump, laps: bool = True) -> DataFrame:
-    """All tables side by side, from rounds down to laps, by left joins.
+    """All tables side by side, from rounds down to laps, nothing left out.
 
     Filters on the result reach the scans, and one that needs a session or an
-    entry turns the joins above it into inner joins.
+    entry removes the branches that only keep rounds or entries without any.
     """
     rounds = dump.round.select(
         F.col("id").alias("round_id"),
@@ -44,16 +44,26 @@ def denormalize(dump: Dump, laps: bool = True) -> DataFrame:
         F.col("date").alias("session_date"),
         F.col("is_cancelled").alias("is_cancelled_session"),
     )
-    wide = (
-        rounds.join(sessions, "round_id", "left")
-        .join(_round_entries(dump), "round_id", "left")
-        .join(_session_entries(dump), ["session_id", "round_entry_id"], "left")
-    )
+    wide = outer_fan_out(rounds.join(sessions, "round_id", "left"), _round_entries(dump), "round_id")
+    wide = wide.join(_session_entries(dump), ["session_id", "round_entry_id"], "left")
     wide = _with_dimensions(wide, dump)
     if not laps:
         return wide
     times = dump.lap.select("session_entry_id", F.col("time").alias("lap_time"))
-    return wide.join(times, "session_entry_id", "left")
+    return outer_fan_out(wide, times, "session_entry_id")
+
+
+def outer_fan_out(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Left join of parents with any number of children each.
+
+    In a plain left join the children of one key cannot be divided, so a parent
+    with very many of them would fill a task. An inner join can be split on
+    either side; parents without children are found by their keys and added.
+    """
+    with_children = parents.join(children, key)
+    keys = children.select(key).distinct()
+    without = parents.join(keys, key, "left_anti")
+    return with_children.unionByName(without, allowMissingColumns=True)
 
 
 def session_entries(dump: Dump, types: Sequence[str]) -> DataFrame:

@@ -470,7 +470,9 @@ def latest_rows(spark, sf):
 
 def sorted_by_date(spark, sf):
     orders = table(spark, sf, "orders")
-    return orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("date")).orderBy("date")
+    dated = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    # The second key lets a range of equal dates be divided.
+    return dated.orderBy("date", "o_orderkey")
 
 
 # --- learning ----------------------------------------------------------------------------------

@@ -58,6 +58,11 @@ def test_denormalize_keeps_everything(dump):
     assert wide.filter("session_entry_id IS NOT NULL").select("session_entry_id").distinct().count() == 15
     # Rounds x sessions x entries of the round, and every lap of an entry.
     assert wide.filter("session_entry_id = 2").count() == 12
+    # A round nobody entered, an entry without laps, a session not entered.
+    alone = facts.denormalize(dump.with_tables(roundentry=dump.roundentry.filter("round_id <> 4")))
+    assert alone.filter("round_id = 4 AND round_entry_id IS NULL").count() == 1
+    assert wide.filter("session_entry_id = 8 AND lap_time IS NULL").count() == 1
+    assert wide.filter("session_id = 22 AND session_entry_id IS NULL").count() == 3
 
 
 def test_race_entries(dump):
