@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.llm import packing, pieces, quality
+from apexframe.llm import packing, pieces, quality, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return coded.select(
@@ -41,6 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_piece_encoding": op2_piece_encoding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,

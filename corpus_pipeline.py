@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apexframe.llm import packing, quality
+from apexframe.llm import packing, quality, toxicity
 from apexframe.llm.queries import table, tokenizer_path
 from apexframe.session import shared_dir
 
@@ -20,6 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier accepts."""
+    return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in training sequences."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
@@ -27,6 +32,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
     ("best_fit_packing", best_fit_packing),
 ]
 
