@@ -2,4 +2,25 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+# A SHA-1 has 40 hexadecimal digits: eight groups of 20 bits, four letters each.
+_PAYLOADS = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+), grouped AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM payloads
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_warc": _PAYLOADS
+    + f"""
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + CAST(
+    (CAST('0x' || substr(digest, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last > page_id THEN last END AS refers_to
+FROM grouped
+""",
+}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.llm import fingerprints, language, packing, pieces, quality, toxicity
+from apexframe.llm import fingerprints, language, packing, pieces, quality, toxicity, warc
+from apexframe.session import shared_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +50,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).first()
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edited(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_encoding": op2_piece_encoding,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_warc": op5_warc,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality_rules": op7_quality_rules,
 }
