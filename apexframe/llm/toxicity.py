@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,7 +163,7 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -
     return w
 
 
-def train(sentences: list[tuple[int, list[str], int]], landmarks: int = 256, rounds: int = 5, seed: int = 3) -> Model | None:
+def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256, rounds: int = 5, seed: int = 3) -> Model | None:
     """Fit on labelled sentences: (document, windows, label of its document).
 
     Which sentence and window makes a document toxic isn't labelled. Windows far
@@ -173,21 +174,40 @@ def train(sentences: list[tuple[int, list[str], int]], landmarks: int = 256, rou
     documents, among them all that scored highest in any round.
     """
     words: dict[str, int] = {}
-    documents: dict[int, tuple[int, set[int]]] = {}
-    known: dict[frozenset[int], int] = {}
+    labels, bags = [], []
+    own_bag: set[int] = set()
+    current = None
+    # Sentences as flat numbers. One counts once, however many copies there are,
+    # and is clean if any clean document has it.
+    known: dict[int, int] = {}
+    flat, ends, clean_of = array("i"), array("q", [0]), array("b")
     for document, own, label in sentences:
-        _, seen = documents.setdefault(document, (label, set()))
-        numbers = frozenset(words.setdefault(normal, len(words)) for w in own if (normal := _bare(w)))
-        seen.update(numbers)
-        # A sentence counts once, however many copies there are, and is clean if any clean document has it.
-        known[numbers] = min(label, known.get(numbers, 1))
-    labels = np.array([label for label, _ in documents.values()])
+        if document != current:
+            if current is not None:
+                bags.append(np.fromiter(own_bag, np.int32, len(own_bag)))
+            labels.append(label)
+            current, own_bag = document, set()
+        numbers = {words.setdefault(normal, len(words)) for w in own if (normal := _bare(w))}
+        own_bag |= numbers
+        at = known.setdefault(hash(frozenset(numbers)), len(clean_of))
+        if at == len(clean_of):
+            flat.extend(numbers)
+            ends.append(len(flat))
+            clean_of.append(label)
+        else:
+            clean_of[at] = min(clean_of[at], label)
+    if current is not None:
+        bags.append(np.fromiter(own_bag, np.int32, len(own_bag)))
+    labels = np.array(labels)
     if not len(labels) or labels.min() == labels.max() or not words:
         return None
-    names, size = list(words), np.bincount(list(known.values()), minlength=2)
-    count = np.zeros((2, len(names)))
-    for numbers, label in known.items():
-        count[label, list(numbers)] += 1
+    names, label_of = list(words), np.array(clean_of)
+    words.clear()
+    known.clear()
+    size = np.bincount(label_of, minlength=2)
+    row_label = np.repeat(label_of, np.diff(ends))
+    numbers = np.array(flat)
+    count = np.stack([np.bincount(numbers[row_label == k], minlength=len(names)) for k in (0, 1)]).astype(float)
     share = (count + 0.5) / (size[:, None] + 1)
     lift = np.log(share[1] / share[0])
     sure = (count[1] >= 6) & (lift > 2.5) & (count[0] <= 0.02 * count[1])
@@ -206,12 +226,12 @@ def train(sentences: list[tuple[int, list[str], int]], landmarks: int = 256, rou
 
     def nystrom(own_words: list[str]) -> np.ndarray:
         kernel = np.zeros((len(own_words), len(chosen)), np.float32)
-        for k in range(0, len(own_words), 512):
-            part, own = dense_features(own_words[k : k + 512])
-            kernel[k : k + 512] = part[np.unique(own, return_index=True)[1]] @ basis.T
+        for k in range(0, len(own_words), 128):
+            part, own = dense_features(own_words[k : k + 128])
+            kernel[k : k + 128] = part[np.unique(own, return_index=True)[1]] @ basis.T
         return kernel @ to_features
 
-    toxic = [np.fromiter(seen, np.int64) for label, seen in documents.values() if label == 1 and seen]
+    toxic = [own for own, label in zip(bags, labels, strict=True) if label == 1 and len(own)]
     unclear = [own for own in toxic if not sure[own].any()]
     clean = np.flatnonzero((count[0] > 0) & ~sure)
     negative = rng.choice(clean, min(len(clean), 4000), replace=False) if len(clean) else clean
@@ -232,7 +252,7 @@ def train(sentences: list[tuple[int, list[str], int]], landmarks: int = 256, rou
         score = projections(names, weights)[:, 0].astype(np.float64) + w[-1]
         hard = clean[np.argsort(-score[clean], kind="stable")[:2000]]
         negative = np.union1d(negative, hard)
-    raw = np.array([max((score[i] for i in seen), default=LOWEST) for _, seen in documents.values()])
+    raw = np.array([score[own].max(initial=LOWEST) for own in bags])
     slope, shift = platt(np.maximum(raw, LOWEST), labels)
     return Model(weights, float(w[-1]), slope, shift)
 
@@ -253,18 +273,18 @@ def _bare(word: str) -> str:
     return word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”…—–0123456789")
 
 
-def labelled_sentences(documents: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> list[tuple[int, list[str], int]]:
+def labelled_sentences(documents: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> Iterator[tuple[int, list[str], int]]:
     """Sentences of at most ``rows`` training documents of each label, the held-out fold left out."""
-    out = []
     here = documents.select(id_col)
     for label in (1, 0):
         known = labels.where((F.col("toxic") == label) & ~held_out(id_col)).select(id_col)
         ids = sampled_ids(known.join(here, id_col, "left_semi"), rows, id_col)
-        sample = sampled_rows(documents.where(F.col(text_col).isNotNull()).select(id_col, text_col), ids, id_col).orderBy(id_col, text_col).limit(2 * rows)
-        for number, text in enumerate(sample.select(text_col).toPandas()[text_col]):
-            own = windows(text)
-            out += [(2 * number + label, s, label) for s in _sentences(own)]
-    return out
+        sample = sampled_rows(documents.where(F.col(text_col).isNotNull()).select(id_col, text_col), ids, id_col)
+        # In the order of a hash of the text, so that the fit doesn't depend on the rows' places.
+        texts = sample.select(text_col).orderBy(F.xxhash64(text_col), text_col).limit(2 * rows).toPandas()[text_col].tolist()
+        for number, text in enumerate(texts):
+            for sentence in _sentences(windows(text)):
+                yield 2 * number + label, sentence, label
 
 
 def _sentences(own: list[str]) -> Iterator[list[str]]:
@@ -308,12 +328,12 @@ def _scores(model: Model | None, texts: pa.StringArray) -> np.ndarray:
     return model.probability(scorer.raw(texts))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Model from at most ``rows`` labelled documents of each kind (the documented bound of the fit)."""
     return train(labelled_sentences(documents, labels, rows, id_col, text_col))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 2500) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 2000) -> DataFrame:
     """Id, fold, score and prediction of every document."""
     model = fit(documents, labels, sample_rows, id_col, text_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -329,7 +349,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
 
 
-def keep_civil(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 2500) -> DataFrame:
+def keep_civil(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 2000) -> DataFrame:
     """Documents below the threshold, with all their columns."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample_rows, id_col, text_col))
     return filtered(documents, text_col, lambda texts: _scores(shared.value, texts) < threshold)
