@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.llm import chat, fingerprints, language, packing, personal, pieces, quality, toxicity, warc
+from apexframe.llm import chat, fingerprints, language, packing, personal, pieces, quality, similarity, toxicity, warc
 from apexframe.session import shared_dir
 
 
@@ -72,6 +72,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(own), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_piece_encoding": op2_piece_encoding,
@@ -82,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

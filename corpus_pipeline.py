@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apexframe.llm import packing, quality, toxicity
+from apexframe.llm import packing, personal, quality, similarity, toxicity
 from apexframe.llm.queries import table, tokenizer_path
 from apexframe.session import shared_dir
 
@@ -25,6 +25,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    return similarity.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked in their texts."""
+    return personal.mask(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in training sequences."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
@@ -33,6 +43,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality_rules", quality_rules),
     ("toxicity", toxicity_filter),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("personal_data", personal_data),
     ("best_fit_packing", best_fit_packing),
 ]
 
