@@ -18,12 +18,13 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apexframe.operators.groups import value_positions
 from apexframe.schemas import TASKS
+from apexframe.session import stage
 
-# An indexer keeps all labels of a column on the driver and in the model. A
-# column with more labels than this is hashed instead.
-MAX_LABELS = 10_000
+# Width of a column that the caller chose to hash.
 HASHED_WIDTH = 1 << 14
+NULLS = ("error", "impute", "drop")
 
 # The chosen settings of every learner. The squared loss doubles
 # the residual, so a step of 0.05 moves as far as the usual 0.1.
@@ -74,20 +75,26 @@ def build_pipeline(
     estimator: str | Estimator = "gbt",
     scales: Mapping[str, tuple[float, float]] | None = None,
     hashed: Sequence[str] = (),
+    impute: bool = False,
     **settings,
 ) -> Pipeline:
     """Scaled numbers and one-hot categories, then the estimator.
 
     The features are an explicit list: no other column of the table, such as
     the finishing position, can slip into the model. A category never seen in
-    training gives zeros. ``scales`` holds centre and width per numeric column
-    and replaces the approximate scaler.
+    training gives zeros. Columns named in ``hashed`` are hashed into a fixed
+    width instead, which is another encoding: labels may share an element, and
+    one never seen gives a one. The caller chooses that, never the data.
+
+    ``scales`` holds centre and width per numeric column and replaces the
+    approximate scaler; with ``impute`` a missing number then counts as the
+    centre, in training and in prediction.
     """
     chosen = TASKS[task]
     last = learner(task, estimator, **settings) if isinstance(estimator, str) else estimator
     indexed = [c for c in chosen.categorical if c not in hashed]
     stages = [
-        *_scaling(chosen.numeric, scales),
+        *_scaling(chosen.numeric, scales, impute),
         StringIndexer(
             inputCols=indexed,
             outputCols=[f"index_{c}" for c in indexed],
@@ -115,38 +122,84 @@ def build_pipeline(
     return Pipeline(stages=stages)
 
 
-def fit(training: DataFrame, task: str, estimator: str = "gbt", **settings) -> PipelineModel:
-    """Fit a task's pipeline on its training table, read once and kept cached."""
+def usable(training: DataFrame, task: str, nulls: str = "error") -> DataFrame:
+    """Features and target of a training table, with missing numbers treated as said.
+
+    ``error`` fails the job at the first missing number, ``impute`` leaves them
+    to the pipeline, ``drop`` leaves the rows out; ``missing_numbers`` counts
+    them. A missing target always fails.
+    """
+    if nulls not in NULLS:
+        raise ValueError(f"nulls is one of {', '.join(NULLS)}")
     chosen = TASKS[task]
     rows = training.select(*chosen.features, chosen.target)
-    rows = rows.dropna(subset=[*chosen.numeric, chosen.target]).persist()
-    try:
-        if estimator == "logistic" and "regParam" not in settings:
-            settings["regParam"] = 1 / (LOGISTIC_C * max(rows.count(), 1))
-        pipeline = build_pipeline(
-            task,
-            estimator,
-            scales=robust_scales(rows, chosen.numeric),
-            hashed=wide_columns(rows, chosen.categorical),
-            **settings,
-        )
-        return pipeline.fit(rows)
-    finally:
-        rows.unpersist()
+    if nulls == "drop":
+        rows = rows.dropna(subset=[*chosen.numeric])
+    needed = [chosen.target] if nulls != "error" else [*chosen.numeric, chosen.target]
+    for c in needed:
+        message = F.lit(f"{c} has missing values; impute or drop them explicitly")
+        kind = rows.schema[c].dataType
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.raise_error(message).cast(kind)))
+    return rows
+
+
+def missing_numbers(training: DataFrame, task: str) -> DataFrame:
+    """How many rows miss each number, and any of them."""
+    numbers = TASKS[task].numeric
+    counts = [F.count_if(F.col(c).isNull()).alias(c) for c in numbers]
+    missing = F.lit(False)
+    for c in numbers:
+        missing = missing | F.col(c).isNull()
+    every = training.agg(*counts, F.count_if(missing).alias("any_number"), F.count(F.lit(1)).alias("all_rows"))
+    names = [*numbers, "any_number", "all_rows"]
+    return every.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("rows")) for n in names])))
+
+
+def fit(training: DataFrame, task: str, estimator: str = "gbt", nulls: str = "error", **settings) -> PipelineModel:
+    """Fit a task's pipeline on its training table, read once and staged."""
+    chosen = TASKS[task]
+    rows = stage(usable(training, task, nulls))
+    if estimator == "logistic" and "regParam" not in settings:
+        settings["regParam"] = 1 / (LOGISTIC_C * max(rows.count(), 1))
+    scales = robust_scales(rows, chosen.numeric)
+    pipeline = build_pipeline(task, estimator, scales=scales, impute=nulls == "impute", **settings)
+    return pipeline.fit(rows)
 
 
 def robust_scales(rows: DataFrame, numeric: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range per column, interpolated; a range of 0 is 1.
 
-    One aggregate. Its state is the distinct values of a column, and these are
-    day counts, lap counts, years and positions.
+    The quartiles come from the positions of the columns' counted values, so no
+    task holds the values of a column. Missing values don't count.
     """
-    quartiles = rows.agg(
-        *[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in numeric]
-    ).head()
+    long = rows.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numeric]))
+    )
+    n, before, own = F.col("_group_rows"), F.col("_rows_before"), F.col("_own_rows")
+    wanted = []
+    for share in (0.25, 0.5, 0.75):
+        place = F.lit(share) * (n - 1)
+        wanted += [(share, place, F.floor(place)), (share, place, F.ceil(place))]
+    hits = [
+        F.when((before <= at) & (at < before + own), F.struct(F.lit(s).alias("share"), place.alias("place"), at.alias("at")))
+        for s, place, at in wanted
+    ]
+    found = value_positions(long, ["name"], "value").select("name", "value", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    # At most six values per column.
+    values: dict[str, dict[float, list[tuple[int, float, float]]]] = {}
+    for row in found.select("name", "value", "hit.*").collect():
+        values.setdefault(row["name"], {}).setdefault(row["share"], []).append((row["at"], row["place"], row["value"]))
+
+    def quartile(c: str, share: float) -> float:
+        own_values = sorted(values.get(c, {}).get(share, []))
+        if not own_values:
+            return {0.25: 0.0, 0.5: 0.0, 0.75: 1.0}[share]
+        (at, place, low), high = own_values[0], own_values[-1][2]
+        return low + (place - at) * (high - low)
+
     scales = {}
     for c in numeric:
-        low, middle, high = quartiles[c] or (0.0, 0.0, 1.0)
+        low, middle, high = (quartile(c, share) for share in (0.25, 0.5, 0.75))
         scales[c] = (middle, (high - low) or 1.0)
     return scales
 
@@ -156,19 +209,16 @@ def scaled(rows: DataFrame, scales: Mapping[str, tuple[float, float]]) -> DataFr
     return rows.withColumns({c: (F.col(c) - centre) / width for c, (centre, width) in scales.items()})
 
 
-def wide_columns(rows: DataFrame, columns: Sequence[str], limit: int = MAX_LABELS) -> list[str]:
-    """Columns with too many labels for an index, by an approximate count."""
-    counts = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).head()
-    return [c for c in columns if counts[c] > limit]
-
-
-def _scaling(numeric: Sequence[str], scales: Mapping[str, tuple[float, float]] | None) -> list:
+def _scaling(numeric: Sequence[str], scales: Mapping[str, tuple[float, float]] | None, impute: bool) -> list:
     if scales is None:
         return [
             VectorAssembler(inputCols=list(numeric), outputCol="numbers", handleInvalid="keep"),
             RobustScaler(inputCol="numbers", outputCol="scaled", withCentering=True, withScaling=True),
         ]
-    parts = [f"(({c}) - ({centre!r}D)) / ({width!r}D) AS scaled_{c}" for c, (centre, width) in scales.items()]
+    parts = [f"({c} - ({centre!r}D)) / ({width!r}D)" for c, (centre, width) in scales.items()]
+    if impute:
+        parts = [f"coalesce({x}, 0D)" for x in parts]
+    parts = [f"{x} AS scaled_{c}" for x, c in zip(parts, scales)]
     return [
         SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"),
         VectorAssembler(

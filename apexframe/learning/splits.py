@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.functions import race_id, split_bucket
-from apexframe.learning.pipelines import is_classification
+from apexframe.learning.pipelines import is_classification, usable
 from apexframe.schemas import RACE, TASKS
 
 
@@ -67,13 +67,15 @@ def grid_search(
     seed: int = 42,
     by_race: bool = False,
     parallelism: int = 2,
+    nulls: str = "error",
 ) -> CrossValidatorModel:
     """Cross-validated choice from a parameter grid.
 
     Folds follow from a hash of the whole row, or of the race with ``by_race``.
+    ``nulls`` says what missing numbers do; to impute them the pipeline must.
     """
     columns = [*TASKS[task].features, TASKS[task].target]
-    rows = training.select(*columns).dropna(subset=[*TASKS[task].numeric, TASKS[task].target])
+    rows = usable(training, task, nulls)
     key = race_key() if by_race else F.to_json(F.struct(*columns))
     folded = rows.withColumn("fold", split_bucket(key, seed, folds).cast("int"))
     search = CrossValidator(

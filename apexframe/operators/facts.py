@@ -53,17 +53,27 @@ def denormalize(dump: Dump, laps: bool = True) -> DataFrame:
     return outer_fan_out(wide, times, "session_entry_id")
 
 
-def outer_fan_out(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+def outer_fan_out(
+    parents: DataFrame, children: DataFrame, key: str, rows_per_task: int = 1_000_000
+) -> DataFrame:
     """Left join of parents with any number of children each.
 
     In a plain left join the children of one key cannot be divided, so a parent
-    with very many of them would fill a task. An inner join can be split on
-    either side; parents without children are found by their keys and added.
+    with very many of them would fill a task. The keys with more children than
+    ``rows_per_task`` are counted first, with map-side combine, and staged; a
+    parent on that list is repeated once per part, its children are dealt over
+    the parts. Both inputs are planned once, apart from the keys of the children.
     """
-    with_children = parents.join(children, key)
-    keys = children.select(key).distinct()
-    without = parents.join(keys, key, "left_anti")
-    return with_children.unionByName(without, allowMissingColumns=True)
+    counts = children.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("_parts"))
+    hot = stage(counts.filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = F.pmod(F.xxhash64(*children.columns), parts).cast("int")
+    repeated = parents.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = children.join(hot, key, "left").select(*children.columns, dealt.alias("_part"), F.lit(True).alias("_child"))
+    joined = repeated.join(spread, [key, "_part"], "left")
+    # A repeated parent has children, so a part of it without any is no row.
+    kept = joined.filter(F.col("_child").isNotNull() | F.col("_parts").isNull())
+    return kept.select(*parents.columns, *[c for c in children.columns if c != key])
 
 
 def session_entries(dump: Dump, types: Sequence[str]) -> DataFrame:

@@ -1,70 +1,41 @@
-"""Per-group maximum, median and rank that survive a group of any size.
-
-A window puts a whole group into one task. That is the cheapest plan for races
-of a few dozen rows and fails for a group that holds a third of the table. So
-the size of the largest group is checked first, with one aggregate that yields
-a single number. Below ``MAX_GROUP_ROWS`` the window runs. Above it, the same
-result comes from aggregates with map-side combine: the values of a group are
-counted, the counts are cut into value ranges of bounded size, ranked inside
-the ranges, and joined back to the rows with hot keys salted.
-
-Rows with a null in a group key or in the value get a null result.
+"""Per-group maximum, median and rank for groups of any size, in one plan.
+
+A window over a group puts all of it into one task and fails for a group that
+holds a third of the table. Here a group is never gathered: its values are
+counted with map-side combine, the counts are laid out in value order over
+range partitions of even size, summed up inside the partitions, and joined back
+to the rows. Row tables meet staged tables only, so that Spark broadcasts the
+small ones and splits the hot keys of the others.
+
+Null and NaN values are missing: they count in no maximum, median or rank and
+get no rank. Negative and positive zero are equal. Rows with a null in a group
+key get a null result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexframe.session import stage
 
-MAX_GROUP_ROWS = 1_000_000
-# More value ranges than this are not worth the memory of the quantile sketch.
-MAX_RANGES = 10_000
-
-_N, _BEFORE, _TOTAL, _ROW = "_own_rows", "_rows_before", "_group_rows", "_row"
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; all rows if there are no keys."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).head()[0] or 0
+_N, _BEFORE, _TOTAL, _RANGE = "_own_rows", "_rows_before", "_group_rows", "_range"
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int = MAX_GROUP_ROWS) -> bool:
-    return largest_group(df, keys) <= limit
-
-
-def group_max(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
+def group_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the maximum of ``value`` per group."""
-    if _small(df, keys, small):
-        return df.withColumn(out, F.when(_known(keys), F.max(value).over(Window.partitionBy(*keys))))
-    rows = _numbered(df)
-    stats = rows.groupBy(*keys).agg(F.max(value).alias(out), F.count(F.lit(1)).alias(_N))
-    return attach(rows, stats, keys).drop(_ROW)
+    return attach(df, df.groupBy(*keys).agg(F.max(_present(df, value)).alias(out)), keys)
 
 
-def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the exact median of ``value`` per group, interpolated for even counts."""
-    if _small(df, keys, small):
-        return df.withColumn(out, F.when(_known(keys), F.median(value).over(Window.partitionBy(*keys))))
-    rows = _numbered(df)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N))
-    medians = median_table(rows, keys, value, out, small=False)
-    return attach(rows, sizes.join(medians, list(keys), "left"), keys).drop(_ROW)
-
-
-def median_table(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None
-) -> DataFrame:
-    """One row per group with the exact median of ``value``."""
-    df = df.dropna(subset=list(keys))
-    if _small(df, keys, small):
-        return df.groupBy(*keys).agg(F.median(value).alias(out))
+    return attach(df, median_table(df, keys, value, out), keys)
+
+
+def median_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """One row per group with the exact median of ``value``; null without values."""
     # The middle one or two of the sorted values, found by their positions.
     low = F.floor((F.col(_TOTAL) + 1) / 2)
     high = F.floor(F.col(_TOTAL) / 2) + 1
@@ -73,28 +44,22 @@ def median_table(
         return (F.col(_BEFORE) < position) & (position <= F.col(_BEFORE) + F.col(_N))
 
     middle = value_positions(df, keys, value).filter(holds(low) | holds(high))
-    return middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / F.lit(2.0)).alias(out))
+    medians = middle.groupBy(*keys).agg(((F.min(value) + F.max(value)) / F.lit(2.0)).alias(out))
+    known = df.dropna(subset=list(keys))
+    every = known.groupBy(*keys).agg(F.count(_present(known, value)).alias(_N)).filter(F.col(_N) == 0)
+    return medians.unionByName(every.select(*keys, F.lit(None).cast("double").alias(out)))
 
 
-def group_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, small: bool | None = None) -> DataFrame:
+def group_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the rank of ``value`` in its group: ascending, ties share the lowest.
 
     Without keys all rows are one group.
     """
-    if _small(df, keys, small):
-        window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(value).asc_nulls_last())
-        known = _known(keys) & F.col(value).isNotNull() & ~F.isnan(value)
-        return df.withColumn(out, F.when(known, F.rank().over(window)))
-    rows = _numbered(df)
-    ranks = value_positions(rows, keys, value).select(
-        *keys, value, (F.col(_BEFORE) + 1).cast("int").alias(out), _N
-    )
-    return attach(rows, ranks, [*keys, value]).drop(_ROW)
+    ranks = value_positions(df, keys, value).select(*keys, value, (F.col(_BEFORE) + 1).alias(out))
+    return attach(df, ranks, [*keys, value])
 
 
-def value_positions(
-    df: DataFrame, keys: Sequence[str], value: str, limit: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per group and distinct value: how often it occurs, how many rows
     of the group lie below it, and how many rows the group has."""
     counts = (
@@ -102,7 +67,7 @@ def value_positions(
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias(_N))
     )
-    return split_running_sums(counts, keys, value, [_N], limit).select(
+    return running_sums(counts, keys, value, [_N]).select(
         *keys,
         value,
         _N,
@@ -111,101 +76,46 @@ def value_positions(
     )
 
 
-def running_sums(
-    sums: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], small: bool | None = None
-) -> DataFrame:
+def running_sums(sums: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Add ``<m>_below`` and ``<m>_total`` to rows that are unique per group and
-    value: the sum of measure m over the smaller values, and over the group."""
-    if not _small(sums, keys, small):
-        return split_running_sums(sums, keys, value, measures)
+    value: the sum of measure m over the smaller values, and over the group.
+
+    The rows lie in range partitions by group and value. A partition's part of a
+    group is summed by a window; what the partitions before it hold comes from
+    one row per group and partition.
+    """
+    dealt = sums.repartitionByRange(*[F.col(c) for c in (*keys, value)])
+    dealt = stage(dealt.withColumn(_RANGE, F.spark_partition_id()))
+    parts = dealt.groupBy(*keys, _RANGE).agg(*[F.sum(m).alias(m) for m in measures])
     group = Window.partitionBy(*(keys or [F.lit(0)]))
-    return sums.withColumns(_sums_over(group, value, measures))
-
-
-def split_running_sums(
-    sums: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    limit: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """``running_sums`` for groups of any size, by value ranges of bounded size."""
-    sums = _into_ranges(stage(sums), value, limit)
-    # At most MAX_RANGES + 1 rows per group.
-    ranges = sums.groupBy(*keys, "_range").agg(*[F.sum(m).alias(m) for m in measures])
-    ranges = ranges.withColumns(
-        _sums_over(Window.partitionBy(*(keys or [F.lit(0)])), "_range", measures)
+    earlier = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *keys,
+        _RANGE,
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_lower") for m in measures],
+        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
     )
-    lower = {f"{m}_below": f"_{m}_lower" for m in measures}
-    ranges = ranges.withColumnsRenamed(lower).drop(*measures)
-    inside = Window.partitionBy(*keys, "_range").orderBy(value)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = {
-        f"{m}_below": F.col(f"_{m}_lower") + F.coalesce(F.sum(m).over(inside), F.lit(0))
-        for m in measures
+        f"{m}_below": F.col(f"_{m}_lower") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
     }
-    joined = sums.join(ranges, [*keys, "_range"]).withColumns(below)
-    return joined.drop("_range", *lower.values())
+    joined = dealt.join(parts, [*keys, _RANGE]).withColumns(below)
+    return joined.drop(_RANGE, *[f"_{m}_lower" for m in measures])
 
 
-def _sums_over(group: WindowSpec, order: str, measures: Sequence[str]) -> dict[str, Column]:
-    earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    below = {f"{m}_below": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures}
-    return below | {f"{m}_total": F.sum(m).over(group) for m in measures}
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join ``stats``, which has one row per key, to the rows.
 
-
-def attach(
-    rows: DataFrame, stats: DataFrame, keys: Sequence[str], rows_per_task: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Left join ``stats``, which has one row per key and its row count, to the
-    rows; a key with many rows is spread over several tasks.
-
-    The broadcast list names only keys with more than ``rows_per_task`` rows,
-    so it has at most (rows / rows_per_task) entries.
+    ``stats`` is staged: its size is known, so it is broadcast if it is small,
+    and else both sides are shuffled and the rows of a hot key are split.
     """
-    parts = F.ceil(F.col(_N) / rows_per_task).cast("int")
-    stats = stats.withColumn("_parts", F.greatest(parts, F.lit(1)))
-    hot = stats.filter("_parts > 1").select(*keys, F.col("_parts").alias("_hot_parts"))
-    # The salt comes from stored columns, so a retried task sends each row the same way.
-    source = [_ROW] if _ROW in rows.columns else rows.columns
-    salt = F.pmod(F.xxhash64(*source), F.col("_hot_parts")).cast("int")
-    salted = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.coalesce(salt, F.lit(0))
+    return rows.join(stage(stats), list(keys), "left").select(
+        *rows.columns, *[c for c in stats.columns if c not in keys]
     )
-    spread = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    new = [c for c in stats.columns if c not in keys and c not in (_N, "_parts")]
-    joined = salted.join(spread.drop(_N, "_parts"), [*keys, "_salt"], "left")
-    return joined.select(*rows.columns, *new)
-
-
-def _into_ranges(counts: DataFrame, value: str, limit: int) -> DataFrame:
-    """Number value ranges so that each holds about ``limit / 4`` rows or fewer."""
-    total = counts.count()
-    wanted = min(MAX_RANGES, math.ceil(4 * total / limit))
-    numeric = counts.withColumn("_numeric", F.col(value).cast("double"))
-    cuts: list[float] = []
-    if wanted > 1:
-        shares = [i / wanted for i in range(1, wanted)]
-        cuts = sorted(set(numeric.approxQuantile("_numeric", shares, 1 / (4 * wanted))))
-    finite = [c for c in cuts if math.isfinite(c)]
-    splits = [-math.inf, *finite, math.inf]
-    if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf]
-    return Bucketizer(splits=splits, inputCol="_numeric", outputCol="_range").transform(numeric).drop("_numeric")
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """The rows, computed once into the shared folder with a number each, so
-    that even identical rows can be told apart and spread."""
-    return stage(df.withColumn(_ROW, F.monotonically_increasing_id()))
-
-
-def _small(df: DataFrame, keys: Sequence[str], small: bool | None) -> bool:
-    return fits_one_task(df, keys) if small is None else small
-
-
-def _known(keys: Sequence[str]) -> Column:
-    known = F.lit(True)
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    return known
+
+
+def _present(df: DataFrame, value: str) -> Column:
+    """The value, null where it is NaN."""
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        return F.when(~F.isnan(value), F.col(value))
+    return F.col(value)

@@ -104,7 +104,10 @@ def expand(
         return F.col(f"_{name}.{column}") if known else F.lit(None).cast("string")
 
     def days_since(column: str) -> Column:
-        since = parse_date(looked_up("driver", column).cast("string"), strict=False)
+        since = looked_up("driver", column)
+        table = dims["drivers"]
+        if column not in table.columns or table.schema[column].dataType.typeName() != "date":
+            since = parse_date(since.cast("string"), strict=False)
         return signed_days(F.col("_date"), since)
 
     there = looked_up("circuit", "circuit_nationality")

@@ -19,29 +19,60 @@ from apexframe.schemas import RACE
 CAR = (*RACE, "driver", "constructor")
 
 
-def ranked_truth(test: DataFrame, value: str = "deviation_from_median", small: bool | None = None) -> DataFrame:
+def ranked_truth(test: DataFrame, value: str = "deviation_from_median") -> DataFrame:
     """True finishing order within the rows of a test split."""
-    return group_rank(test, RACE, value, "final_position", small)
+    return group_rank(test, RACE, value, "final_position")
+
+
+def _meetings(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per car: how often it occurs on either side, and its least positions."""
+    said, was = F.col("predicted_final_position").cast("long"), F.col("final_position").cast("long")
+    none = F.lit(None).cast("long")
+    left = predicted.select(*CAR, said.alias("_said"), none.alias("_was"), F.lit(1).alias("_m"), F.lit(0).alias("_n"))
+    right = truth.select(*CAR, none.alias("_said"), was.alias("_was"), F.lit(0).alias("_m"), F.lit(1).alias("_n"))
+    return (
+        left.unionByName(right)
+        .dropna(subset=list(CAR))
+        .groupBy(*CAR)
+        .agg(
+            F.sum("_m").alias("predicted_rows"),
+            F.sum("_n").alias("true_rows"),
+            F.min("_said").alias("predicted_final_position"),
+            F.min("_was").alias("final_position"),
+        )
+    )
 
 
 def join_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """Predicted and true positions side by side, one row per matching pair.
+    """Predicted and true position of every car that occurs once on either side.
 
-    A car that occurs m times on one side and n times on the other gives m * n
-    rows; ``duplicate_cars`` lists such cars, ``pair_sums`` does without them.
+    One aggregate, linear in its input: a car that occurs m times on one side and
+    n times on the other would give m * n pairs. ``rejected_cars`` lists such
+    cars, and ``pair_sums`` has the error sums over their pairs.
     """
-    return predicted.select(*CAR, "predicted_final_position").join(
-        truth.select(*CAR, "final_position"), list(CAR)
-    )
+    once = (F.col("predicted_rows") == 1) & (F.col("true_rows") == 1)
+    return _meetings(predicted, truth).filter(once).drop("predicted_rows", "true_rows")
+
+
+def rejected_cars(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Cars on both sides that ``join_truth`` leaves out, with their rows on each."""
+    both = (F.col("predicted_rows") > 0) & (F.col("true_rows") > 0)
+    often = (F.col("predicted_rows") > 1) | (F.col("true_rows") > 1)
+    return _meetings(predicted, truth).filter(both & often).select(*CAR, "predicted_rows", "true_rows")
 
 
 def duplicate_cars(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*CAR).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def pair_sums(predicted: DataFrame, truth: DataFrame, small: bool | None = None) -> DataFrame:
-    """Sums over the rows of ``join_truth`` per car and true position, without
-    writing the pairs out: their number, absolute and squared position errors.
+# Whole numbers whose products and sums outgrow 64 bits in large races.
+_WIDE = "decimal(38,0)"
+
+
+def pair_sums(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Sums over all pairs of a car's predicted and true rows, per car and true
+    position, without writing the pairs out: their number, absolute and squared
+    position errors, as decimals.
 
     Both sides are counted per car and position. With the number M and sum S of
     predictions below a true position t, and their totals, the sum of |t - p|
@@ -54,22 +85,22 @@ def pair_sums(predicted: DataFrame, truth: DataFrame, small: bool | None = None)
     was = truth.dropna(subset=[*CAR, "final_position"]).select(
         *CAR, t.cast("long").alias("_at"), F.lit(0).alias("_m"), F.lit(1).alias("_n")
     )
-    at = F.col("_at")
+    at = F.col("_at").cast("decimal(20,0)")
     places = (
         said.unionByName(was)
         .groupBy(*CAR, "_at")
-        .agg(F.sum("_m").alias("_m"), F.sum("_n").alias("_n"))
-        .withColumns({"_s": F.col("_m") * at, "_q": F.col("_m") * at * at})
+        .agg(F.sum("_m").cast(_WIDE).alias("_m"), F.sum("_n").cast(_WIDE).alias("_n"))
+        .withColumns({"_s": (F.col("_m") * at).cast(_WIDE), "_q": (F.col("_m") * at * at).cast(_WIDE)})
     )
-    summed = running_sums(places, CAR, "_at", ["_m", "_s", "_q"], small)
+    summed = running_sums(places, CAR, "_at", ["_m", "_s", "_q"])
     number, total, squares = (F.col(f"_{x}_total") for x in "msq")
     absolute = at * (2 * F.col("_m_below") - number) - (2 * F.col("_s_below") - total)
     return summed.filter((F.col("_n") > 0) & (number > 0)).select(
         *CAR,
-        at.alias("final_position"),
-        (F.col("_n") * number).alias("pairs"),
-        (F.col("_n") * absolute).alias("absolute_error"),
-        (F.col("_n") * (at * at * number - 2 * at * total + squares)).alias("squared_error"),
+        F.col("_at").alias("final_position"),
+        (F.col("_n") * number).cast(_WIDE).alias("pairs"),
+        (F.col("_n") * absolute).cast(_WIDE).alias("absolute_error"),
+        (F.col("_n") * (at * at * number - 2 * at * total + squares)).cast(_WIDE).alias("squared_error"),
     )
 
 
@@ -94,43 +125,63 @@ def position_errors(pairs: DataFrame, top: int | None = None) -> DataFrame:
     """Regression errors of the finishing position, of all cars or the true top."""
     if top is not None:
         pairs = pairs.filter(F.col("final_position") <= top)
-    t = F.col("final_position")
+    t, n = F.col("final_position").cast("decimal(20,0)"), F.col("pairs").cast(_WIDE)
+    # Exact sums; the spread times n is the difference of exact products.
     sums = pairs.agg(
-        F.sum("pairs").cast("double").alias("n"),
-        F.sum("squared_error").cast("double").alias("squares"),
-        F.sum("absolute_error").cast("double").alias("absolutes"),
-        F.sum(F.col("pairs") * t).cast("double").alias("t"),
-        F.sum(F.col("pairs") * t * t).cast("double").alias("tt"),
+        F.sum(n).cast(_WIDE).alias("n"),
+        F.sum(F.col("squared_error").cast(_WIDE)).cast("double").alias("squares"),
+        F.sum(F.col("absolute_error").cast(_WIDE)).cast("double").alias("absolutes"),
+        F.sum((n * t).cast(_WIDE)).cast(_WIDE).alias("t"),
+        F.sum((n * t * t).cast(_WIDE)).cast(_WIDE).alias("tt"),
+    )
+    spread = (F.col("n") * F.col("tt")).cast(_WIDE) - (F.col("t") * F.col("t")).cast(_WIDE)
+    count = F.col("n").cast("double")
+    return _error_columns(
+        sums.select(count.alias("n"), "squares", "absolutes", F.try_divide(spread.cast("double"), count).alias("spread"))
     )
-    return _error_columns(sums)
 
 
-def regression_errors(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
-    """MSE, RMSE, R2 and MAE in one aggregate."""
-    t, gap = truth.cast("double"), truth.cast("double") - predicted.cast("double")
-    both = rows.filter(truth.isNotNull() & predicted.isNotNull())
+def _insisted(value: Column, name: str) -> Column:
+    """The value as a double; the job fails where it is null or not a number."""
+    message = F.lit(f"{name} is null or not a number; drop such rows explicitly")
+    number = value.cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), number).otherwise(F.raise_error(message).cast("double"))
+
+
+def regression_errors(rows: DataFrame, truth: Column, predicted: Column, nulls: str = "error") -> DataFrame:
+    """MSE, RMSE, R2 and MAE in one aggregate.
+
+    A null or NaN fails the job. With ``nulls="drop"`` such rows are left out and
+    counted in the column ``dropped``.
+    """
+    if nulls == "drop":
+        t, p = truth.cast("double"), predicted.cast("double")
+        known = t.isNotNull() & p.isNotNull() & ~F.isnan(t) & ~F.isnan(p)
+        t, p = F.when(known, t), F.when(known, p)
+    else:
+        t, p = _insisted(truth, "the true value"), _insisted(predicted, "the prediction")
+    gap = t - p
     # The spread is taken around the mean by the variance aggregate, which does
     # not cancel as a difference of large sums would.
-    sums = both.agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
+    sums = rows.agg(
+        F.count(gap).cast("double").alias("n"),
         F.sum(gap * gap).alias("squares"),
         F.sum(F.abs(gap)).alias("absolutes"),
-        (F.var_pop(t) * F.count(F.lit(1))).alias("spread"),
+        (F.var_pop(t) * F.count(gap)).alias("spread"),
+        (F.count(F.lit(1)) - F.count(gap)).alias("dropped"),
     )
-    return _error_columns(sums)
+    errors = _error_columns(sums)
+    return errors if nulls == "drop" else errors.drop("dropped")
 
 
 def _error_columns(sums: DataFrame) -> DataFrame:
     mse = F.try_divide(F.col("squares"), F.col("n"))
-    if "spread" in sums.columns:
-        spread = F.col("spread")
-    else:
-        spread = F.col("tt") - F.try_divide(F.col("t") * F.col("t"), F.col("n"))
     return sums.select(
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
-        (F.lit(1.0) - F.try_divide(F.col("squares"), spread)).alias("r2"),
+        (F.lit(1.0) - F.try_divide(F.col("squares"), F.col("spread"))).alias("r2"),
         F.try_divide(F.col("absolutes"), F.col("n")).alias("mae"),
+        *[c for c in sums.columns if c == "dropped"],
     )
 
 
@@ -199,17 +250,21 @@ def classification_report(rows: DataFrame, label: str, prediction: str, classes:
     return total.select(F.inline(F.array(*lines)))
 
 
-def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(rows: DataFrame, label: str, score: str, nulls: str = "error") -> DataFrame:
     """Exact area under the ROC curve from mean ranks, ties shared evenly.
 
-    Rows are first counted per distinct score. Beyond a bounded number of
-    scores they are positioned range by range, so no task sees the whole table.
+    Rows are counted per distinct score and the scores positioned range by range,
+    so no task sees the whole table. A null or NaN fails the job; with
+    ``nulls="drop"`` such rows are left out and counted in ``dropped``.
     """
-    scores = (
-        rows.select(F.col(label).cast("int").alias("label"), F.col(score).cast("double").alias("score"))
-        .dropna()
-        .groupBy("score")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+    value, positive = F.col(score).cast("double"), F.col(label).cast("double")
+    if nulls == "drop":
+        known = value.isNotNull() & positive.isNotNull() & ~F.isnan(value)
+        every = rows.select(F.when(known, positive).alias("label"), F.when(known, value).alias("score"))
+    else:
+        every = rows.select(_insisted(positive, "the label").alias("label"), _insisted(value, "the score").alias("score"))
+    scores = every.groupBy("score").agg(
+        F.count("score").alias("n"), F.sum(F.col("label").cast("long")).alias("positives"), F.count(F.lit(1)).alias("all")
     )
     placed = running_sums(scores, [], "score", ["n"])
     mean_rank = F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)
@@ -217,7 +272,9 @@ def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
         F.sum("positives").cast("double").alias("p"),
         F.sum("n").cast("double").alias("all"),
         F.sum(F.col("positives") * mean_rank).alias("ranks"),
+        F.sum(F.when(F.col("score").isNull(), F.col("all"))).alias("missing"),
     )
     p, negatives = F.col("p"), F.col("all") - F.col("p")
     area = F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * negatives)
-    return sums.select(area.alias("roc_auc"))
+    missing = [F.coalesce("missing", F.lit(0)).alias("dropped")] if nulls == "drop" else []
+    return sums.select(area.alias("roc_auc"), *missing)

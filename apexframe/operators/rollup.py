@@ -53,10 +53,11 @@ def roll_up_laps(
             *_GROUP, F.coalesce("ms", F.lit(0)).alias("ms"), F.coalesce("n", F.lit(1)).alias("n")
         )
     else:
-        # Copies of a lap collapse before the shuffle, so an entry brings at most
-        # one row per possible time into the join, however many laps it has.
-        timed = ids.join(times.distinct(), "session_entry_id", "left")
-        timed = timed.select(*_GROUP, F.coalesce("lap_ms", F.lit(0)).alias("ms")).distinct()
+        # An inner join, so that the laps of an entry with very many can be split;
+        # entries without laps are found by their keys and count one lap of 0.
+        lapped = ids.join(times, "session_entry_id").select(*_GROUP, F.col("lap_ms").alias("ms"))
+        without = ids.join(times.select("session_entry_id").distinct(), "session_entry_id", "left_anti")
+        timed = lapped.unionByName(without.select(*_GROUP, F.lit(0).cast("long").alias("ms"))).distinct()
         timed = timed.withColumn("n", F.lit(1))
     sums = timed.groupBy(*_GROUP).agg(
         F.sum("ms").alias("milliseconds_laptime"), F.sum("n").cast("long").alias("laps_count")

@@ -93,26 +93,23 @@ def deviations(
     min_laps: int = 10,
     lower: float = -110_000,
     upper: float = 612_000,
-    small: bool | None = None,
 ) -> DataFrame:
     """Rolled-up cars to ranked deviations from the median of their race.
 
     The order of steps matters: unclassified cars count in the median and are
     dropped after it; bounds and ranks see rounded values.
     """
-    cars = timed(cars)
-    if small is None:
-        cars = stage(cars)
-        small = groups.fits_one_task(cars, RACE)
-    cars = groups.group_max(cars, RACE, "laps_completed", "max_laps", small)
+    # Read by the statistics of three steps.
+    cars = stage(timed(cars))
+    cars = groups.group_max(cars, RACE, "laps_completed", "max_laps")
     cars = extrapolated(cars, min_laps)
-    cars = groups.group_median(cars, RACE, "final_race_duration", "median_race_duration", small)
+    cars = groups.group_median(cars, RACE, "final_race_duration", "median_race_duration")
     gap = F.col("final_race_duration") - F.col("median_race_duration")
     cars = cars.withColumn("deviation_from_median", gap).filter(F.col("is_classified") == "t")
     cars = rounded(cars)
     gap = F.col("deviation_from_median")
     cars = cars.filter((gap > lower) & (gap < upper))
-    return groups.group_rank(cars, RACE, "deviation_from_median", "final_position", small)
+    return groups.group_rank(cars, RACE, "deviation_from_median", "final_position")
 
 
 def rounded(rows: DataFrame) -> DataFrame:
@@ -134,7 +131,5 @@ def training(
     ``entries_table`` hands over the ``entries`` if they were staged before.
     """
     cars = stage(entries(dump, year_from)) if entries_table is None else entries_table
-    # The roll-up merges entries and adds none, so their count bounds every race.
-    small = groups.fits_one_task(cars, RACE)
     merged = rolled_up(dump, cars, keep_lap_identity, skip_deleted)
-    return deviations(merged, small=small, **bounds).select(*TRAINING)
+    return deviations(merged, **bounds).select(*TRAINING)

@@ -46,19 +46,15 @@ def best_laps(cars: DataFrame) -> DataFrame:
     )
 
 
-def deviations(cars: DataFrame, upper: float = 1_000_000, small: bool | None = None) -> DataFrame:
+def deviations(cars: DataFrame, upper: float = 1_000_000) -> DataFrame:
     """Best laps to ranked deviations from the median of their session date."""
-    if small is None:
-        cars = stage(cars)
-        small = groups.fits_one_task(cars, RACE)
+    cars = stage(cars)
     best = F.col("milliseconds_qualification")
-    cars = groups.group_median(
-        cars, RACE, "milliseconds_qualification", "median_qualification_duration", small
-    )
+    cars = groups.group_median(cars, RACE, "milliseconds_qualification", "median_qualification_duration")
     gap = best - F.col("median_qualification_duration")
     cars = rounded(cars.withColumn("deviation_from_median", gap))
     cars = cars.filter(F.col("deviation_from_median") < upper)
-    return groups.group_rank(cars, RACE, "deviation_from_median", "final_position", small)
+    return groups.group_rank(cars, RACE, "deviation_from_median", "final_position")
 
 
 def training(
@@ -71,6 +67,4 @@ def training(
     """The training table. ``entries_table`` hands over staged ``entries``."""
     if entries_table is None:
         entries_table = entries(dump, year_from, skip_deleted)
-    # The best laps merge entries and add none, so their count bounds every race.
-    small = groups.fits_one_task(entries_table, RACE)
-    return deviations(best_laps(entries_table), small=small, **bounds).select(*TRAINING)
+    return deviations(best_laps(entries_table), **bounds).select(*TRAINING)

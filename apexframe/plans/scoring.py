@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.operators.groups import group_rank
-from apexframe.operators.lookup import accepted, expand, insist_valid, rejected
+from apexframe.operators.lookup import expand, insist_valid, with_validity
 from apexframe.schemas import RACE, TASKS
+from apexframe.session import stage
 
 PREDICTED = "predicted_deviation_from_median"
 POSITION = "predicted_final_position"
@@ -27,8 +28,13 @@ def expand_valid(
     keep_input: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Features of the valid requests, and the requests that were rejected."""
-    good = insist_valid(requests, picks) if fail_fast else accepted(requests, picks)
-    return expand(good, dims, task, faithful_case, keep_input), rejected(requests, picks)
+    if fail_fast:
+        good = insist_valid(requests, picks)
+        return expand(good, dims, task, faithful_case, keep_input), good.limit(0)
+    # Checked once for both sides.
+    checked = stage(with_validity(requests, picks))
+    good, bad = (checked.filter(side).drop("valid") for side in ("valid", "NOT valid"))
+    return expand(good, dims, task, faithful_case, keep_input), bad
 
 
 def predict(features: DataFrame, model: Transformer | str, out: str = PREDICTED) -> DataFrame:
@@ -39,20 +45,17 @@ def predict(features: DataFrame, model: Transformer | str, out: str = PREDICTED)
     return predicted.select(*features.columns, F.col("prediction").cast("double").alias(out))
 
 
-def rank_predictions(
-    predicted: DataFrame, keys: Sequence[str] = RACE, small: bool | None = None
-) -> DataFrame:
+def rank_predictions(predicted: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     """Add the predicted finishing position per race, over the keys that exist;
     over all rows if none does."""
     present = [k for k in keys if k in predicted.columns]
-    ranked = group_rank(predicted, present, PREDICTED, POSITION, small)
-    return ranked.withColumn(POSITION, F.col(POSITION).cast("int"))
+    return group_rank(predicted, present, PREDICTED, POSITION)
 
 
 def predict_and_rank(
-    features: DataFrame, model: Transformer | str, keys: Sequence[str] = RACE, small: bool | None = None
+    features: DataFrame, model: Transformer | str, keys: Sequence[str] = RACE
 ) -> DataFrame:
-    return rank_predictions(predict(features, model), keys, small)
+    return rank_predictions(predict(features, model), keys)
 
 
 def dnf_percentage(features: DataFrame, model: Transformer, out: str = "dnf_percentage") -> DataFrame:

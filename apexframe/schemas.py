@@ -68,6 +68,7 @@ class Task:
         return self.numeric + self.categorical
 
 
+# Fixed values, in model order: categories without and with the rain flag.
 CATEGORICAL = (
     "constructor",
     "circuit",
@@ -81,7 +82,20 @@ CATEGORICAL = (
     "driver_home",
     "constructor_home",
 )
-WITH_RAIN = CATEGORICAL[:9] + ("rain",) + CATEGORICAL[9:]
+WITH_RAIN = (
+    "constructor",
+    "circuit",
+    "type_circuit",
+    "driver",
+    "circuit_nationality",
+    "driver_nationality",
+    "constructor_nationality",
+    "race_month",
+    "race_day",
+    "rain",
+    "driver_home",
+    "constructor_home",
+)
 
 MAINRACE = Task(
     "mainrace",

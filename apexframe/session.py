@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder, so that several readers share
-    the result and a lost executor costs no recomputation."""
+    the result and a lost executor costs no recomputation.
+
+    The copy is Parquet, so readers only fetch the columns they need, and is
+    deleted when the application ends.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    # The schema is given, so nothing is read to infer it.
+    return spark.read.schema(df.schema).parquet(folder)

@@ -75,3 +75,17 @@ def read_options(spark: SparkSession, primary: str, fallback: str, fmt: str = "p
             continue
         return df.select(*[df[c].cast("string").alias(c) for c in df.columns]).na.fill("")
     raise FileNotFoundError(f"no options found (tried {primary} and {fallback})")
+
+
+def write_race_tables(cars: DataFrame, root: str, fmt: str = "parquet") -> None:
+    """The ranked cars with their race median, and the unique drivers,
+    constructors and circuits among them, as five tables."""
+    parts = {
+        "race_cars": cars,
+        "race_medians": cars.select("race_year", "race_month", "race_day", "circuit", "median_race_duration").distinct(),
+        "unique_drivers": cars.select("driver", "driver_date_of_birth", "first_race_date", "driver_nationality").distinct(),
+        "unique_constructors": cars.select("constructor", "constructor_nationality").distinct(),
+        "unique_circuits": cars.select("circuit", "circuit_nationality", "type_circuit").distinct(),
+    }
+    for name, df in parts.items():
+        write(df, f"{root}/{name}", fmt)

@@ -142,7 +142,7 @@ timed AS (
   FROM compared WHERE is_classified = 't'
 ), finished AS (
   SELECT *, CAST(rank() OVER (PARTITION BY race_year, race_month, race_day, circuit
-                              ORDER BY deviation_from_median) AS INTEGER) AS final_position
+                              ORDER BY deviation_from_median) AS BIGINT) AS final_position
   FROM deviated WHERE deviation_from_median > -110000 AND deviation_from_median < 612000
 )"""
 
@@ -179,7 +179,7 @@ qualified AS (
   FROM compared
 ), finished AS (
   SELECT *, CAST(rank() OVER (PARTITION BY race_year, race_month, race_day, circuit
-                              ORDER BY deviation_from_median) AS INTEGER) AS final_position
+                              ORDER BY deviation_from_median) AS BIGINT) AS final_position
   FROM deviated WHERE deviation_from_median < 1000000
 )""",
     ]
@@ -348,6 +348,29 @@ SELECT DISTINCT circuit AS "circuitRef", circuit_nationality FROM {entries}"""
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _plain_sql()
+    # Queries whose result follows from others'.
+    found["csv_dump_training"] = found["mainrace_training"]
+    found["text_tables"] = "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region"
+    found["options_fallback"] = f"""
+SELECT "driverRef", driver_nationality, CAST(driver_date_of_birth AS VARCHAR) AS driver_date_of_birth,
+       CAST(first_race_date AS VARCHAR) AS first_race_date FROM ({found["dim_driver"]})"""
+    built = {"drivers": "dim_driver", "constructors": "dim_constructor", "circuits": "dim_circuit"}
+    for task in ("mainrace", "qualifying", "status"):
+        built |= {f"{n}_{task}": f"pick_{n}_{task}" for n in ("drivers", "constructors", "circuits")}
+        built[f"training_{task}"] = f"{task}_training"
+    found["built_tables"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS rows FROM ({found[query]})" for name, query in built.items()
+    )
+    found["model_roundtrip"] = f"""
+SELECT count(*) AS n_rows, 16 AS n_features, 'dnf' AS target, '1' AS version, 0 AS differing
+FROM ({found["status_training"]})
+WHERE CAST('0x' || substr(md5(race_year || '_' || race_month || '_' || race_day || '_' || circuit || '_42'), 1, 8)
+           AS BIGINT) % 100 >= 20"""
+    return found
+
+
+def _plain_sql() -> dict[str, str]:
     race_keys = "race_year, race_month, race_day, circuit"
     return {
         "mainrace_training": f"""WITH {MAINRACE}
@@ -460,24 +483,42 @@ SELECT request_id, score, {columns} FROM expanded"""
         },
         "stream_expand_features": f"""WITH {REQUEST_BASE}, {EXPANDED}
 SELECT request_id, score, {_FEATURES['mainrace']} FROM expanded WHERE valid""",
+        "stream_predict_rank": f"""WITH {REQUEST_BASE}, {EXPANDED}
+SELECT request_id, request_id % 4 AS list_id, {race_keys}, score AS predicted_deviation_from_median,
+       rank() OVER (PARTITION BY request_id % 4, {race_keys} ORDER BY score) AS predicted_final_position
+FROM expanded WHERE valid""",
+        "checked_fail_fast": f"""WITH {REQUEST_BASE}
+SELECT request_id, driver, constructor, circuit FROM checked WHERE valid""",
+        "nested_answers": f"""WITH {REQUEST_BASE}, {EXPANDED}
+SELECT e.request_id, r.driver AS asked_driver, e.driver, e.circuit, e.score AS predicted_deviation_from_median,
+       rank() OVER (PARTITION BY e.race_year, e.race_month, e.race_day, e.circuit ORDER BY e.score)
+         AS predicted_final_position
+FROM expanded e JOIN request r USING (request_id) WHERE valid""",
+        "expand_with_requested_type": f"""WITH {REQUEST_BASE}, {EXPANDED}
+SELECT request_id, circuit, coalesce(type_circuit, 'street') AS type_circuit FROM expanded""",
         "rank_predictions": f"""WITH {EVALUATED}
 SELECT o_orderkey, {race_keys}, score AS predicted_deviation_from_median,
-       CAST(predicted_final_position AS INTEGER) AS predicted_final_position FROM ranked""",
+       CAST(predicted_final_position AS BIGINT) AS predicted_final_position FROM ranked""",
         "rank_global": """
 SELECT o_orderkey, o_totalprice AS predicted_deviation_from_median,
-       CAST(rank() OVER (ORDER BY o_totalprice) AS INTEGER) AS predicted_final_position FROM orders""",
+       CAST(rank() OVER (ORDER BY o_totalprice) AS BIGINT) AS predicted_final_position FROM orders""",
         "true_positions": f"""WITH {EVALUATED}
-SELECT o_orderkey, {race_keys}, CAST(final_position AS INTEGER) AS final_position FROM ranked""",
+SELECT o_orderkey, {race_keys}, CAST(final_position AS BIGINT) AS final_position FROM ranked""",
         "joined_positions": f"""WITH {EVALUATED}
-SELECT {race_keys}, driver, constructor, CAST(predicted_final_position AS INTEGER) AS predicted_final_position,
-       CAST(final_position AS INTEGER) AS final_position FROM paired""",
+SELECT {race_keys}, driver, constructor, CAST(predicted_final_position AS BIGINT) AS predicted_final_position,
+       CAST(final_position AS BIGINT) AS final_position FROM paired
+JOIN (SELECT {race_keys}, driver, constructor FROM finish GROUP BY ALL HAVING count(*) = 1)
+     USING ({race_keys}, driver, constructor)""",
+        "rejected_cars": f"""WITH {EVALUATED}
+SELECT {race_keys}, driver, constructor, count(*) AS predicted_rows, count(*) AS true_rows
+FROM finish GROUP BY ALL HAVING count(*) > 1""",
         "duplicate_cars": f"""WITH {EVALUATED}
 SELECT {race_keys}, driver, constructor, count(*) AS rows FROM finish GROUP BY ALL HAVING count(*) > 1""",
         "pair_sums": f"""WITH {EVALUATED}
-SELECT {race_keys}, driver, constructor, final_position, count(*) AS pairs,
-       CAST(sum(abs(final_position - predicted_final_position)) AS BIGINT) AS absolute_error,
-       CAST(sum((final_position - predicted_final_position) * (final_position - predicted_final_position)) AS BIGINT)
-         AS squared_error
+SELECT {race_keys}, driver, constructor, final_position, CAST(count(*) AS DECIMAL(38, 0)) AS pairs,
+       CAST(sum(abs(final_position - predicted_final_position)) AS DECIMAL(38, 0)) AS absolute_error,
+       CAST(sum((final_position - predicted_final_position) * (final_position - predicted_final_position))
+         AS DECIMAL(38, 0)) AS squared_error
 FROM paired GROUP BY ALL""",
         "regression_errors": """
 WITH both_sides AS (
@@ -497,7 +538,7 @@ SELECT {race_keys}, count(*) AS entries,
        CASE WHEN count(*) < 5 THEN 0.2::DOUBLE WHEN count(*) < 10 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS race_weight
 FROM finish GROUP BY ALL""",
         "top5_finishers": f"""WITH {EVALUATED}
-SELECT o_orderkey, {race_keys}, CAST(final_position AS INTEGER) AS final_position,
+SELECT o_orderkey, {race_keys}, CAST(final_position AS BIGINT) AS final_position,
        CASE WHEN final_position <= 5 THEN 3 WHEN final_position <= 10 THEN 2 ELSE 1 END AS position_weight
 FROM ranked WHERE final_position <= 5""",
         "confusion_matrix": f"""WITH {CLASSIFIED}
@@ -529,7 +570,19 @@ FROM placed JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(D
         "latest_rows": """
 SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10""",
-        "sorted_by_date": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders",
+        "sorted_by_date": """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date,
+       row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) - 1 AS place FROM orders""",
+        "sorted_importances": f"""WITH {PLACED}
+SELECT n_name AS feature, round(sum(o_totalprice), 2) AS importance,
+       row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC) - 1 AS place
+FROM placed JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+        "group_statistics_with_gaps": f"""WITH {EVALUATED}, gapped AS (
+  SELECT *, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN score END AS v FROM finish
+)
+SELECT o_orderkey, max(v) OVER race AS top, round(median(v) OVER race, 4) AS middle,
+       CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY {race_keys} ORDER BY v NULLS LAST) END AS place
+FROM gapped WINDOW race AS (PARTITION BY {race_keys})""",
         "race_split": f"""WITH {EVALUATED}, keyed AS (
   SELECT o_orderkey, race_year || '_' || race_month || '_' || race_day || '_' || circuit AS race_id FROM finish
 )
@@ -539,10 +592,10 @@ SELECT o_orderkey, {race_keys} FROM finish
 WHERE CAST('0x' || substr(md5(race_year || '_' || race_month || '_' || race_day || '_' || circuit || '_42'), 1, 8)
            AS BIGINT) % 100 >= 20""",
         "race_split_by_ids": f"""WITH {EVALUATED}
-SELECT o_orderkey, {race_keys} FROM finish WHERE race_year >= 2000""",
+SELECT o_orderkey, {race_keys}, CASE WHEN race_year >= 2000 THEN 'test' ELSE 'train' END AS side FROM finish""",
         "row_split_test": """
-SELECT o_orderkey FROM orders
-WHERE CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey || '_42'), 1, 8) AS BIGINT) % 100 < 20""",
+SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey || '_42'), 1, 8) AS BIGINT) % 100 < 20
+       THEN 'test' ELSE 'train' END AS side FROM orders""",
         "robust_scaled": """
 WITH q AS (
   SELECT quantile_cont(l_quantity, 0.5) AS qm, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS qw,

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from apexframe import functions as fx
 from apexframe.learning import inspect, pipelines, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
-from apexframe.plans import mainrace, qualifying, scoring, status
-from apexframe.schemas import RACE, TASKS
+from apexframe.plans import build, mainrace, qualifying, scoring, status
+from apexframe.schemas import DUMP, RACE, TASKS
 from apexframe.session import configure, shared_dir, stage
-from apexframe.sources import tables
+from apexframe.sources import models, tables
+from apexframe.sources.dump import FILE_PATTERN, read_dump, read_text_table
 from apexframe.streaming import scoring as stream
 from starschema import mapping
 from starschema.oracles import YEAR_FROM
@@ -279,7 +280,9 @@ def _pick_queries() -> dict[str, Query]:
 
 
 def _picks(spark, sf):
-    entries = stage(_race_entries(spark, sf).select("driver", "constructor", "constructor_nationality", "circuit", "circuit_nationality"))
+    names = ["driver", "constructor", "constructor_nationality", "circuit", "circuit_nationality"]
+    # Combined before the shuffle and staged once: few rows for the three lists.
+    entries = stage(_race_entries(spark, sf).select(*names).distinct())
     return dimensions.pick_lists(entries, dim_driver(spark, sf))
 
 
@@ -333,6 +336,52 @@ def stream_expand_features(spark, sf):
     return tables.read(spark, outbox)
 
 
+def stream_predict_rank(spark, sf):
+    """Four request lists, one file each, in several micro-batches: scored and ranked."""
+    inbox, outbox, marks = (_scratch(spark, n) for n in ("inbox", "ranked", "marks"))
+    requests = mapping.dump(spark, sf).requests.withColumn("list_id", F.col("request_id") % 4)
+    requests.repartition(4, "list_id").sortWithinPartitions("list_id").write.parquet(inbox)
+    dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
+    picks = {k: stage(v) for k, v in _picks(spark, sf).items()}
+    arriving = stream.read_requests(spark, inbox, "mainrace", f"{_REQUEST_STREAM}, list_id long", maxFilesPerTrigger=1)
+    features = stream.expanded_stream(arriving, dims, picks, "mainrace")
+
+    def write_batch(batch, number):
+        tables.write(batch, f"{outbox}/batch={number}")
+
+    stream.score_stream(features, write_batch, "score", marks, request_list="list_id").awaitTermination()
+    return tables.read(spark, outbox).select("request_id", "list_id", *RACE, scoring.PREDICTED, scoring.POSITION)
+
+
+def checked_fail_fast(spark, sf):
+    """Valid requests only, put to the check that fails on the first invalid one."""
+    picks = _picks(spark, sf)
+    good = lookup.accepted(mapping.dump(spark, sf).requests, picks)
+    return lookup.insist_valid(good, picks).select(*_REQUEST)
+
+
+def nested_answers(spark, sf):
+    """Answers with request, features and results, one level taken apart again."""
+    dump = mapping.dump(spark, sf)
+    features, _ = scoring.expand_valid(dump.requests, dimensions.all_dimensions(dump), _picks(spark, sf), "mainrace", keep_input=True)
+    answers = scoring.responses(scoring.predict_and_rank(features, "score"), "mainrace")
+    return answers.select(
+        "input.request_id",
+        F.col("input.driver").alias("asked_driver"),
+        "features.driver",
+        "features.circuit",
+        scoring.PREDICTED,
+        scoring.POSITION,
+    )
+
+
+def expand_with_requested_type(spark, sf):
+    """The circuit type of the request where the dimension has none."""
+    dump = mapping.dump(spark, sf)
+    asked = dump.requests.withColumn("type_circuit", F.lit("street"))
+    return lookup.expand(asked, dimensions.all_dimensions(dump), "mainrace").select("request_id", "circuit", "type_circuit")
+
+
 def _finishes(spark, sf):
     return mapping.dump(spark, sf).finishes
 
@@ -359,23 +408,21 @@ def true_positions(spark, sf):
 
 def _both_sides(spark, sf):
     cars = _finishes(spark, sf)
-    small = groups.fits_one_task(cars, RACE)
-    predicted = scoring.predict_and_rank(cars, "score", small=small)
-    return predicted, metrics.ranked_truth(cars, small=small)
+    return scoring.predict_and_rank(cars, "score"), metrics.ranked_truth(cars)
 
 
 def _pairs(spark, sf):
-    # A car's positions lie within one race, so they are no more than its rows.
-    cars = _finishes(spark, sf)
-    small = groups.fits_one_task(cars, RACE)
-    predicted = scoring.predict_and_rank(cars, "score", small=small)
-    return metrics.pair_sums(predicted, metrics.ranked_truth(cars, small=small), small or None)
+    return metrics.pair_sums(*_both_sides(spark, sf))
 
 
 def joined_positions(spark, sf):
     return metrics.join_truth(*_both_sides(spark, sf))
 
 
+def rejected_cars(spark, sf):
+    return metrics.rejected_cars(*_both_sides(spark, sf))
+
+
 def duplicate_cars(spark, sf):
     return metrics.duplicate_cars(_finishes(spark, sf))
 
@@ -471,8 +518,27 @@ def latest_rows(spark, sf):
 def sorted_by_date(spark, sf):
     orders = table(spark, sf, "orders")
     dated = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    # The second key lets a range of equal dates be divided.
-    return dated.orderBy("date", "o_orderkey")
+    # The second key lets a range of equal dates be divided; the dense number
+    # shows the order.
+    return inspect.numbered(dated.orderBy("date", "o_orderkey"), "place")
+
+
+def sorted_importances(spark, sf):
+    """Shares of the nations in the order value, largest first, numbered."""
+    shares = mapping.dump(spark, sf).orders.groupBy(F.col("n_name").alias("feature"))
+    shares = shares.agg(F.round(F.sum("o_totalprice"), 2).alias("importance"))
+    return inspect.numbered(inspect.sorted_importance(shares), "place").select("feature", "importance", "place")
+
+
+def group_statistics_with_gaps(spark, sf):
+    """Maximum, median and rank per race where some values are null and some NaN."""
+    key = F.col("o_orderkey")
+    value = F.when(key % 7 == 0, None).when(key % 11 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
+    cars = stage(_finishes(spark, sf).select("o_orderkey", *RACE, value.alias("v")))
+    cars = groups.group_max(cars, RACE, "v", "top")
+    cars = groups.group_median(cars, RACE, "v", "middle")
+    cars = groups.group_rank(cars, RACE, "v", "place")
+    return cars.select("o_orderkey", "top", F.round("middle", 4).alias("middle"), "place")
 
 
 # --- learning ----------------------------------------------------------------------------------
@@ -489,12 +555,16 @@ def race_split_train(spark, sf):
 def race_split_by_ids(spark, sf):
     cars = _finishes(spark, sf)
     late = cars.filter("race_year >= 2000").select(splits.race_key().alias("race_id")).distinct()
-    return splits.split_by_ids(cars, late)[1].select("o_orderkey", *RACE)
+    train, test = splits.split_by_ids(cars, late)
+    sides = [side.select("o_orderkey", *RACE, F.lit(name).alias("side")) for name, side in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
 
 
 def row_split_test(spark, sf):
     orders = table(spark, sf, "orders")
-    return splits.split_rows(orders, ["o_orderkey", "o_custkey"])[1].select("o_orderkey")
+    train, test = splits.split_rows(orders, ["o_orderkey", "o_custkey"])
+    sides = [side.select("o_orderkey", F.lit(name).alias("side")) for name, side in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
 
 
 def robust_scaled(spark, sf):
@@ -514,7 +584,7 @@ def _train_test(spark, sf, task):
 
 def train_predict_rank(spark, sf):
     train, test = _train_test(spark, sf, "mainrace")
-    model = pipelines.fit(train, "mainrace", **_FEW_TREES)
+    model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
     return scoring.predict_and_rank(test, model).select(
         *RACE, "driver", "constructor", scoring.PREDICTED, scoring.POSITION, "final_position"
     )
@@ -522,7 +592,7 @@ def train_predict_rank(spark, sf):
 
 def qualifying_predict_rank(spark, sf):
     train, test = _train_test(spark, sf, "qualifying")
-    model = pipelines.fit(train, "qualifying", "forest", numTrees=5, maxDepth=5)
+    model = pipelines.fit(train, "qualifying", "forest", nulls="impute", numTrees=5, maxDepth=5)
     return scoring.predict_and_rank(test, model).select(
         *RACE, "driver", "constructor", scoring.PREDICTED, scoring.POSITION
     )
@@ -530,13 +600,13 @@ def qualifying_predict_rank(spark, sf):
 
 def dnf_percent(spark, sf):
     train, test = _train_test(spark, sf, "status")
-    model = pipelines.fit(train, "status", **_FEW_TREES)
+    model = pipelines.fit(train, "status", nulls="impute", **_FEW_TREES)
     return scoring.dnf_percentage(test, model).select(*RACE, "driver", "constructor", "dnf", "dnf_percentage")
 
 
 def grouped_importance(spark, sf):
     train, _ = _train_test(spark, sf, "mainrace")
-    model = pipelines.fit(train, "mainrace", **_FEW_TREES)
+    model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
     return inspect.grouped_importance(inspect.importance(model, "mainrace", train), "mainrace")
 
 
@@ -545,14 +615,14 @@ def leaderboard(spark, sf):
     candidates = {
         "boosted trees": ("gbt", _FEW_TREES),
         "forest": ("forest", {"numTrees": 5, "maxDepth": 5}),
-        "logistic": ("logistic", {"maxIter": 20}),
+        "logistic": ("logistic", {}),
     }
-    return inspect.leaderboard(train, test, "status", candidates)
+    return inspect.leaderboard(train, test, "status", candidates, nulls="impute")
 
 
 def permutation_importance(spark, sf):
     train, test = _train_test(spark, sf, "mainrace")
-    model = pipelines.fit(train, "mainrace", **_FEW_TREES)
+    model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
     return inspect.permutation_importance(model, test, "mainrace")
 
 
@@ -574,15 +644,70 @@ def options_roundtrip(spark, sf):
     return tables.read_options(spark, f"{root}/drivers_mainrace", f"{root}/drivers")
 
 
+def options_fallback(spark, sf):
+    """No pick list there: the dimension is read, as text."""
+    root = _scratch(spark, "options")
+    tables.write(dim_driver(spark, sf), f"{root}/drivers")
+    return tables.read_options(spark, f"{root}/drivers_mainrace", f"{root}/drivers")
+
+
 def race_tables_export(spark, sf):
-    """Unique drivers of the ranked cars, through a written table."""
+    """Unique drivers of the ranked cars, through the written tables."""
     root = _scratch(spark, "export")
-    cars = mainrace.deviations(_rolled(spark, sf))
-    columns = ["driver", "driver_date_of_birth", "first_race_date", "driver_nationality"]
-    tables.write(cars.select(*columns).distinct(), f"{root}/unique_drivers")
+    tables.write_race_tables(stage(mainrace.deviations(_rolled(spark, sf))), root)
     return tables.read(spark, f"{root}/unique_drivers")
 
 
+def _written_dump(spark, sf):
+    """The race tables as a CSV dump in the shared folder."""
+    root, dump = _scratch(spark, "dump"), mapping.dump(spark, sf)
+    for name in DUMP:
+        tables.write(getattr(dump, name), f"{root}/{FILE_PATTERN.format(name)}", "csv")
+    tables.write(dump.weather, f"{root}/weather.csv", "csv")
+    tables.write(dump.circuit_type, f"{root}/circuit_type.csv", "csv")
+    return root, read_dump(spark, root, f"{root}/weather.csv", f"{root}/circuit_type.csv")
+
+
+def csv_dump_training(spark, sf):
+    """The main-race training table from CSV files."""
+    return mainrace.training(_written_dump(spark, sf)[1], YEAR_FROM)
+
+
+def text_tables(spark, sf):
+    """A table of text, with one that is missing."""
+    root, columns = _scratch(spark, "text"), ("r_regionkey", "r_name")
+    tables.write(table(spark, sf, "region").select(*columns), f"{root}/regions", "csv")
+    there, missing = (read_text_table(spark, f"{root}/{n}", columns) for n in ("regions", "nowhere"))
+    return there.unionByName(missing)
+
+
+def built_tables(spark, sf):
+    """Rows of every table that the full build writes."""
+    root, dump = _scratch(spark, "build"), mapping.dump(spark, sf)
+    build.build_all(dump, root, YEAR_FROM)
+    read = {name: df for name, df in tables.read_dimensions(spark, root).items()}
+    for task in TASKS:
+        read |= {f"{n}_{task}": df for n, df in tables.read_pick_lists(spark, f"{root}/pick_lists", task).items()}
+        read[f"training_{task}"] = tables.read_training(spark, root, task)
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows")) for name, df in read.items()]
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def model_roundtrip(spark, sf):
+    """A fitted model saved and loaded: its metadata, and how many predictions differ."""
+    train, test = _train_test(spark, sf, "status")
+    model = pipelines.fit(train, "status", "logistic", nulls="impute")
+    root = _scratch(spark, "model")
+    models.save(model, models.describe(train, "status", "1"), root)
+    loaded, meta = models.load(spark, root)
+    first, second = (scoring.dnf_percentage(test, m) for m in (model, loaded))
+    differing = first.exceptAll(second).count()
+    return meta.withColumn("differing", F.lit(differing))
+
+
 _PLAIN = (
     mainrace_training,
     qualifying_training,
@@ -616,11 +741,16 @@ _PLAIN = (
     accepted_requests,
     rejected_requests,
     stream_expand_features,
+    stream_predict_rank,
+    checked_fail_fast,
+    nested_answers,
+    expand_with_requested_type,
     rank_predictions,
     rank_global,
     true_positions,
     joined_positions,
     duplicate_cars,
+    rejected_cars,
     pair_sums,
     regression_errors,
     position_errors,
@@ -638,6 +768,8 @@ _PLAIN = (
     unique_values,
     latest_rows,
     sorted_by_date,
+    sorted_importances,
+    group_statistics_with_gaps,
     race_split,
     race_split_train,
     race_split_by_ids,
@@ -651,7 +783,12 @@ _PLAIN = (
     permutation_importance,
     training_roundtrip,
     options_roundtrip,
+    options_fallback,
     race_tables_export,
+    csv_dump_training,
+    text_tables,
+    built_tables,
+    model_roundtrip,
 )
 
 

@@ -34,45 +34,35 @@ def compare(df, out, expected):
     pd.testing.assert_series_equal(got, expected.astype(float), check_names=False, check_index_type=False)
 
 
-@pytest.fixture(params=["window", "split"])
-def small(request, monkeypatch):
-    if request.param == "split":
-        # Small tasks, so that ranges and salts really are used.
-        monkeypatch.setattr(groups.attach, "__defaults__", (50,))
-        monkeypatch.setattr(groups.split_running_sums, "__defaults__", (200,))
-        monkeypatch.setattr(groups.value_positions, "__defaults__", (200,))
-    return request.param == "window"
-
-
-def test_rank(skewed, small):
+def test_rank(skewed):
     df, pdf = skewed
     expected = pdf.groupby(KEYS).v.rank(method="min")
-    out = groups.group_rank(df, KEYS, "v", "r", small)
+    out = groups.group_rank(df, KEYS, "v", "r")
     assert out.count() == len(pdf)
     compare(out, "r", expected)
 
 
-def test_max_and_median(skewed, small):
+def test_max_and_median(skewed):
     df, pdf = skewed
-    compare(groups.group_max(df, KEYS, "v", "m", small), "m", pdf.groupby(KEYS).v.transform("max"))
-    compare(groups.group_median(df, KEYS, "v", "m", small), "m", pdf.groupby(KEYS).v.transform("median"))
+    compare(groups.group_max(df, KEYS, "v", "m"), "m", pdf.groupby(KEYS).v.transform("max"))
+    compare(groups.group_median(df, KEYS, "v", "m"), "m", pdf.groupby(KEYS).v.transform("median"))
 
 
-def test_median_table(skewed, small):
+def test_median_table(skewed):
     df, pdf = skewed
-    got = groups.median_table(df, KEYS, "v", "m", small).toPandas().sort_values(KEYS).m.to_numpy()
+    got = groups.median_table(df, KEYS, "v", "m").toPandas().sort_values(KEYS).m.to_numpy()
     assert np.array_equal(got, pdf.groupby(KEYS).v.median().sort_index().to_numpy())
 
 
-def test_rank_without_keys(skewed, small):
+def test_rank_without_keys(skewed):
     df, pdf = skewed
-    compare(groups.group_rank(df, [], "v", "r", small), "r", pdf.v.rank(method="min"))
+    compare(groups.group_rank(df, [], "v", "r"), "r", pdf.v.rank(method="min"))
 
 
-def test_running_sums(skewed, small):
+def test_running_sums(skewed):
     df, pdf = skewed
     sums = df.dropna().groupBy(*KEYS, "v").agg(F.count("id").alias("n"))
-    got = groups.running_sums(sums, KEYS, "v", ["n"], small).toPandas().sort_values([*KEYS, "v"])
+    got = groups.running_sums(sums, KEYS, "v", ["n"]).toPandas().sort_values([*KEYS, "v"])
     want = pdf.dropna().groupby([*KEYS, "v"]).size().rename("n").reset_index()
     below = want.groupby(KEYS).n.cumsum() - want.n
     assert got.n_below.tolist() == below.tolist()
@@ -81,12 +71,23 @@ def test_running_sums(skewed, small):
 
 def test_even_median_is_interpolated(spark):
     df = spark.createDataFrame([(1, float(x)) for x in (1, 2, 4, 10)], "k int, v double")
-    for small in (True, False):
-        assert groups.group_median(df, ["k"], "v", "m", small).first().m == 3.0
-
-
-def test_size_check(spark):
-    df = spark.range(100).withColumn("k", F.when(F.col("id") < 60, 0).otherwise(1))
-    assert groups.largest_group(df, ["k"]) == 60
-    assert groups.fits_one_task(df, ["k"], 60) and not groups.fits_one_task(df, ["k"], 59)
-    assert groups.largest_group(df.limit(0), ["k"]) == 0
+    assert groups.group_median(df, ["k"], "v", "m").first().m == 3.0
+
+
+def test_missing_values_and_zeros(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1.0), (1, 2.0), (1, nan), (1, None), (2, nan), (2, None), (3, -0.0), (3, 0.0), (3, inf), (3, -inf), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    out = groups.group_rank(groups.group_median(groups.group_max(df, ["k"], "v", "top"), ["k"], "v", "m"), ["k"], "v", "r")
+    got = sorted((r.k or 0, str(r.v), r.top, r.m, r.r) for r in out.collect())
+    assert got == sorted([
+        (0, "1.0", None, None, None), (1, "1.0", 2.0, 1.5, 1), (1, "2.0", 2.0, 1.5, 2), (1, "nan", 2.0, 1.5, None),
+        (1, "None", 2.0, 1.5, None), (2, "nan", None, None, None), (2, "None", None, None, None),
+        (3, "-0.0", inf, 0.0, 2), (3, "0.0", inf, 0.0, 2), (3, "inf", inf, 0.0, 4), (3, "-inf", inf, 0.0, 1),
+    ])
+
+
+def test_ranks_outgrow_32_bits(spark):
+    counts = spark.createDataFrame([(1, 1.0, 3_000_000_000), (1, 2.0, 1)], "k int, v double, n long")
+    rows = groups.running_sums(counts, ["k"], "v", ["n"]).orderBy("v").collect()
+    assert [(r.n_below, r.n_total) for r in rows] == [(0, 3_000_000_001), (3_000_000_000, 3_000_000_001)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from apexframe.learning import inspect, pipelines, splits
 from apexframe.plans import scoring
-from apexframe.schemas import MAINRACE, STATUS, TASKS
+from apexframe.schemas import MAINRACE, TASKS
 from apexframe.sources import models
 
 FEW = {"maxIter": 3, "maxDepth": 3}
@@ -74,10 +74,8 @@ def test_dnf_percentage(training, estimator, settings):
     assert inspect.test_scores(fitted, training, "status").first().roc_auc > 0.8
 
 
-def test_hashed_columns(training, monkeypatch):
-    assert pipelines.wide_columns(training, STATUS.categorical, limit=5) != []
-    monkeypatch.setattr(pipelines.wide_columns, "__defaults__", (5,))
-    fitted = pipelines.fit(training, "mainrace", **FEW)
+def test_hashed_columns(training):
+    fitted = pipelines.fit(training, "mainrace", hashed=("driver",), **FEW)
     names = inspect.feature_names(fitted, "mainrace")
     assert len(names) == fitted.stages[-1].numFeatures
     assert inspect.importance(fitted, "mainrace", training).count() > 0
@@ -169,3 +167,15 @@ def test_leaderboard(training):
         "boosted": ("gbt", FEW), "deep": ("deep_gbt", {"maxIter": 3}), "forest": ("forest", {"numTrees": 2, "maxDepth": 3}),
     }).collect()
     assert len(table) == 3 and [r.rmse for r in table] == sorted(r.rmse for r in table)
+
+
+def test_missing_numbers(training):
+    gaps = training.withColumn("qualification_position", F.when(F.col("laps") > 55, F.col("qualification_position")))
+    with pytest.raises(Exception):  # noqa: B017
+        pipelines.fit(gaps, "status", "logistic")
+    counts = {r.column_name: r.rows for r in pipelines.missing_numbers(gaps, "status").collect()}
+    assert counts["qualification_position"] == counts["any_number"] > 0 and counts["all_rows"] == 400
+    fitted = pipelines.fit(gaps, "status", "logistic", nulls="impute", maxIter=10)
+    scored = scoring.dnf_percentage(gaps, fitted)
+    assert scored.filter(F.col("dnf_percentage").isNull() | F.isnan("dnf_percentage")).count() == 0
+    assert pipelines.usable(gaps, "status", "drop").count() == 400 - counts["any_number"]

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from apexframe.operators import metrics
 from apexframe.schemas import RACE
@@ -31,13 +32,16 @@ def joined(sides):
     return p.merge(t, on=CAR)
 
 
-@pytest.fixture(scope="module", params=[True, False])
-def pairs(sides, request):
-    return metrics.pair_sums(*sides, small=request.param)
+@pytest.fixture(scope="module")
+def pairs(sides):
+    return metrics.pair_sums(*sides)
 
 
 def test_joined(sides, joined):
-    assert metrics.join_truth(*sides).count() == len(joined)
+    size = joined.groupby(CAR).driver.transform("size")
+    assert metrics.join_truth(*sides).count() == (size == 1).sum()
+    rejected = metrics.rejected_cars(*sides).toPandas()
+    assert (rejected.predicted_rows * rejected.true_rows).sum() == (size > 1).sum()
     assert metrics.duplicate_cars(sides[0]).count() == 8
 
 
@@ -75,10 +79,9 @@ def test_position_errors(pairs, joined, top):
 
 
 def test_regression_errors(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 1.0), (None, 1.0)], "t double, p double")
-    row = metrics.regression_errors(df, F.col("t"), F.col("p")).first()
+    row = metrics.regression_errors(df, F.col("t"), F.col("p"), nulls="drop").first()
+    assert row.dropped == 1
     assert row.mse == pytest.approx(10 / 3) and row.mae == pytest.approx(4 / 3)
     assert row.r2 == pytest.approx(1 - 10 / (14 / 3))
 
@@ -114,3 +117,20 @@ def test_auc_equals_the_built_in_evaluator(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in pdf.to_numpy()], "label double, s double")
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="s", numBins=0)
     assert metrics.roc_auc(df, "label", "s").first()[0] == pytest.approx(evaluator.evaluate(df))
+
+
+def test_large_sums_are_exact(spark):
+    rows = [(2000, 1, 1, "c", "d", "t", 1, 1, 3_000_000_000, 3 * 10**18), (2000, 1, 1, "c", "e", "t", 5, 1, 4, 8 * 10**18)]
+    ddl = "race_year int, race_month int, race_day int, circuit string, driver string, constructor string, "
+    pairs = spark.createDataFrame(rows, ddl + "final_position long, pairs long, absolute_error long, squared_error long")
+    assert metrics.position_errors(pairs).first().mse == 5.5e18
+
+
+def test_missing_scores_fail_or_are_counted(spark):
+    rows = spark.createDataFrame([(0, 0.1), (1, 0.9), (1, None), (0, float("nan"))], "label int, score double")
+    with pytest.raises(Exception):  # noqa: B017  (Spark wraps what the job raised)
+        metrics.roc_auc(rows, "label", "score").collect()
+    assert tuple(metrics.roc_auc(rows, "label", "score", nulls="drop").first()) == (1.0, 2)
+    with pytest.raises(Exception, match="null or not a number"):
+        metrics.regression_errors(rows, F.col("label"), F.col("score")).collect()
+    assert metrics.regression_errors(rows, F.col("label"), F.col("score"), nulls="drop").first().dropped == 2

@@ -133,8 +133,7 @@ def steps(spark, rows):
     return spark.createDataFrame(race, ddl + ", race_year int, race_month int, race_day int, circuit string")
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_step_order(spark, small):
+def test_step_order(spark):
     cars = steps(
         spark,
         [
@@ -148,7 +147,7 @@ def test_step_order(spark, small):
             ("far", "t", 12, 12, 60000 + 612000 + 5000, 0),
         ],
     )
-    rows = by(mainrace.deviations(cars, small=small).collect(), "driver")
+    rows = by(mainrace.deviations(cars).collect(), "driver")
     # Maximum 13 laps, from the car that was counted.
     final = {
         "winner": 60000 + 60000 / 12,
@@ -170,13 +169,13 @@ def test_step_order(spark, small):
 def test_bounds_are_strict(spark, edge, kept):
     base = 1_000_000
     cars = steps(spark, [(n, "t", 10, 10, base, 0) for n in "abc"] + [("edge", "t", 10, 10, base + edge, 0)])
-    names = {r.driver for r in mainrace.deviations(cars, small=True).collect()}
+    names = {r.driver for r in mainrace.deviations(cars).collect()}
     assert ("edge" in names) == kept
 
 
 def test_ties_share_the_lowest_rank(spark):
     cars = steps(spark, [("a", "t", 10, 10, 5, 0), ("b", "t", 10, 10, 5, 0), ("c", "t", 10, 10, 9, 0)])
-    rows = by(mainrace.deviations(cars, small=True).collect(), "driver")
+    rows = by(mainrace.deviations(cars).collect(), "driver")
     assert [rows[n].final_position for n in "abc"] == [1, 1, 3]
 
 
@@ -244,10 +243,3 @@ def test_quality(dump):
     assert [r.date for r in quality.latest(entries.select("date").distinct(), ["date"], 1).collect()] == [
         date(1985, 6, 1)
     ]
-
-
-def test_hot_race_takes_the_split_plan(dump, monkeypatch):
-    expected = sorted(mainrace.training(dump).collect())
-    monkeypatch.setattr(groups.fits_one_task, "__defaults__", (1,))
-    assert sorted(mainrace.training(dump).collect()) == expected
-    assert qualifying.training(dump).count() == 2

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from apexframe.functions import time_to_ms
 from apexframe.operators import facts, groups
-from apexframe.plans import mainrace, status
+from apexframe.plans import status
 from apexframe.schemas import RACE
 from starschema import mapping
 
@@ -91,20 +91,15 @@ def test_filters_remove_the_outer_branches(spark):
     assert "LeftAnti" in plan(wide)
 
 
-def test_one_shuffle_serves_the_windows_of_a_race(spark):
-    ddl = (
-        "driver string, is_classified string, laps_completed int, laps_count long, milliseconds_laptime long, "
-        "milliseconds long, race_year int, race_month int, race_day int, circuit string"
-    )
-    cars = mainrace.deviations(spark.createDataFrame([], ddl).repartition(3), small=True)
-    assert plan(cars).count("Exchange hashpartitioning") == 1
+def test_no_window_over_a_whole_race(spark):
+    finishes = mapping.dump(spark, SF).finishes
+    ranked = groups.group_rank(finishes, RACE, "score", "r")
+    assert "Window" not in plan(ranked)  # the positions are staged
 
 
-def test_split_plan_has_no_window_over_a_whole_race(spark):
-    finishes = mapping.dump(spark, SF).finishes
-    ranked = groups.group_rank(finishes, RACE, "score", "r", small=False)
-    whole = [w for w in re.findall(r"Window \[.*", plan(ranked)) if "_range" not in w]
-    assert whole == []
+def test_fan_out_plans_its_inputs_once(spark):
+    wide = facts.denormalize(mapping.dump(spark, SF))
+    assert plan(wide).count("FileScan") <= 28
 
 
 def test_status_needs_no_laps(spark):

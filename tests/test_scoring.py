@@ -98,20 +98,18 @@ BATCH = [
 BATCH_DDL = "race_year int, race_month int, race_day int, circuit string, qualification_position int, expected int"
 
 
-@pytest.mark.parametrize("small", [None, True, False])
-def test_rank_per_race(spark, small):
+def test_rank_per_race(spark):
     df = spark.createDataFrame(BATCH, BATCH_DDL)
     # Any transformer that adds a prediction will do as a model.
     model = SQLTransformer(statement="SELECT *, double(qualification_position) AS prediction FROM __THIS__")
-    ranked = scoring.predict_and_rank(df, model, small=small).collect()
+    ranked = scoring.predict_and_rank(df, model).collect()
     assert all(r[scoring.POSITION] == r.expected for r in ranked)
     assert all(r[scoring.PREDICTED] == float(r.qualification_position) for r in ranked)
 
 
-@pytest.mark.parametrize("small", [None, True, False])
-def test_rank_over_everything(spark, small):
+def test_rank_over_everything(spark):
     df = spark.createDataFrame([(3,), (1,), (2,)], "qualification_position int")
-    ranked = scoring.predict_and_rank(df, "qualification_position", small=small).collect()
+    ranked = scoring.predict_and_rank(df, "qualification_position").collect()
     assert all(r[scoring.POSITION] == r.qualification_position for r in ranked)
 
 
