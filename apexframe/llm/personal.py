@@ -91,8 +91,10 @@ _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
 _PLUS = re.compile(r"(?<!\w)(?:plus|más)\s+(?=\+?[0-9])", re.IGNORECASE)
 _BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*", re.IGNORECASE)
+# Endings that tell a spelled-out address from ordinary words; fixed values.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|es|pt|it|eu|pl|se|no|fi|dk|in|jp|cn|br|mx|ru|example|test"
 _WORD_MAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:\.| +dot +)[A-Za-z0-9_%+-]+)*)( +at +| *@ *)([A-Za-z0-9-]+(?:(?: *\. *| +dot +)[A-Za-z0-9-]+)*(?: +dot +)[A-Za-z0-9-]+)",
+    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:\.| +dot +)[A-Za-z0-9_%+-]+)*)( +at +| *@ *)([A-Za-z0-9-]+(?:(?: *\. *| +dot +)[A-Za-z0-9-]+)*(?: +dot +)(?:" + _ENDINGS + r"))(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
 _WORD_DOT = re.compile(r" +dot +| *\. *(?=[A-Za-z0-9])", re.IGNORECASE)

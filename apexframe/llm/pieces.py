@@ -293,7 +293,9 @@ class PieceModel:
         try:
             data.tobytes().decode("utf-8")
             inner = offsets[(offsets > 0) & (offsets < len(data))]
-            whole = not ((data[inner] & 0xC0) == 0x80).any()
+            # Bytes on both sides of a control id don't join to a character.
+            apart = (self.is_control[ids[:-1]] & self.is_byte[ids[1:]]).any()
+            whole = not ((data[inner] & 0xC0) == 0x80).any() and not apart
         except UnicodeDecodeError:
             whole = False
         if whole and len(data) < 1 << 31:

@@ -171,7 +171,8 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
     witnesses. For a
     toxic document without one, rounds alternate between picking the window that
     the machine scores highest and training against windows of the other
-    documents, among them all that scored highest in any round.
+    documents, among them all that scored highest in any round. The logistic
+    curve is fitted on documents that took no part in this.
     """
     words: dict[str, int] = {}
     labels, bags = [], []
@@ -189,6 +190,8 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
             current, own_bag = document, set()
         numbers = {words.setdefault(normal, len(words)) for w in own if (normal := _bare(w))}
         own_bag |= numbers
+        if len(labels) % 4 == 0:
+            continue  # kept back: every fourth document only calibrates
         at = known.setdefault(hash(frozenset(numbers)), len(clean_of))
         if at == len(clean_of):
             flat.extend(numbers)
@@ -199,7 +202,7 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
     if current is not None:
         bags.append(np.fromiter(own_bag, np.int32, len(own_bag)))
     labels = np.array(labels)
-    if not len(labels) or labels.min() == labels.max() or not words:
+    if not len(labels) or labels.min() == labels.max() or not words or len(set(clean_of)) < 2:
         return None
     names, label_of = list(words), np.array(clean_of)
     words.clear()
@@ -231,7 +234,8 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
             kernel[k : k + 128] = part[np.unique(own, return_index=True)[1]] @ basis.T
         return kernel @ to_features
 
-    toxic = [own for own, label in zip(bags, labels, strict=True) if label == 1 and len(own)]
+    back = np.arange(1, len(bags) + 1) % 4 == 0
+    toxic = [own for own, label, out in zip(bags, labels, back, strict=True) if label == 1 and len(own) and not out]
     unclear = [own for own in toxic if not sure[own].any()]
     clean = np.flatnonzero((count[0] > 0) & ~sure)
     negative = rng.choice(clean, min(len(clean), 4000), replace=False) if len(clean) else clean
@@ -241,6 +245,8 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
         positive = np.unique(np.concatenate([np.flatnonzero(sure), witness[score[witness] > -0.5]]))
         if not len(positive):
             positive = np.unique([own[np.argmax(lift[own])] for own in toxic])
+        if not len(positive):
+            return None
         frequent = positive[np.argsort(-count[1][positive], kind="stable")[:60]]
         disguised = [v for i in frequent if len(names[i]) > 3 for v in _disguises(names[i], rng)]
         x = nystrom([names[i] for i in positive] + disguised + [names[i] for i in negative])
@@ -253,7 +259,8 @@ def train(sentences: Iterable[tuple[int, list[str], int]], landmarks: int = 256,
         hard = clean[np.argsort(-score[clean], kind="stable")[:2000]]
         negative = np.union1d(negative, hard)
     raw = np.array([score[own].max(initial=LOWEST) for own in bags])
-    slope, shift = platt(np.maximum(raw, LOWEST), labels)
+    use = back if len(set(labels[back])) == 2 else np.ones(len(raw), bool)
+    slope, shift = platt(raw[use], labels[use])
     return Model(weights, float(w[-1]), slope, shift)
 
 
@@ -274,14 +281,15 @@ def _bare(word: str) -> str:
 
 
 def labelled_sentences(documents: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str) -> Iterator[tuple[int, list[str], int]]:
-    """Sentences of at most ``rows`` training documents of each label, the held-out fold left out."""
+    """Sentences of at most ``rows`` toxic and twice as many clean documents, the held-out fold left out."""
     here = documents.select(id_col)
     for label in (1, 0):
+        most = rows * (2 - label)  # clean documents vary more
         known = labels.where((F.col("toxic") == label) & ~held_out(id_col)).select(id_col)
-        ids = sampled_ids(known.join(here, id_col, "left_semi"), rows, id_col)
+        ids = sampled_ids(known.join(here, id_col, "left_semi"), most, id_col)
         sample = sampled_rows(documents.where(F.col(text_col).isNotNull()).select(id_col, text_col), ids, id_col)
         # In the order of a hash of the text, so that the fit doesn't depend on the rows' places.
-        texts = sample.select(text_col).orderBy(F.xxhash64(text_col), text_col).limit(2 * rows).toPandas()[text_col].tolist()
+        texts = sample.select(text_col).orderBy(F.xxhash64(text_col), text_col).limit(2 * most).toPandas()[text_col].tolist()
         for number, text in enumerate(texts):
             for sentence in _sentences(windows(text)):
                 yield 2 * number + label, sentence, label
@@ -329,7 +337,7 @@ def _scores(model: Model | None, texts: pa.StringArray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Model from at most ``rows`` labelled documents of each kind (the documented bound of the fit)."""
+    """Model from at most ``rows`` toxic and twice as many clean documents (the documented bound of the fit)."""
     return train(labelled_sentences(documents, labels, rows, id_col, text_col))
 
 
