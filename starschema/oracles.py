@@ -362,11 +362,19 @@ SELECT "driverRef", driver_nationality, CAST(driver_date_of_birth AS VARCHAR) AS
     found["built_tables"] = " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS rows FROM ({found[query]})" for name, query in built.items()
     )
+    bucket = """CAST('0x' || substr(md5(race_year || '_' || race_month || '_' || race_day || '_' || circuit || '_42'), 1, 8)
+           AS BIGINT) % 100"""
+    found["planted_step"] = f"""
+SELECT race_year, race_month, race_day, circuit, driver, constructor, CAST(race_year >= 1997 AS INTEGER) AS dnf
+FROM ({found["status_training"]}) WHERE {bucket} < 20"""
+    found["model_invariants"] = f"""
+SELECT 'main-race rows' AS fact, CAST(count(*) AS DOUBLE) AS value FROM ({found["mainrace_training"]}) WHERE {bucket} < 20
+UNION ALL SELECT 'wrong ranks', 0 UNION ALL SELECT 'importance', 1
+UNION ALL SELECT 'status rows', count(*) FROM ({found["status_training"]}) WHERE {bucket} < 20
+UNION ALL SELECT 'percentages out of range', 0"""
     found["model_roundtrip"] = f"""
 SELECT count(*) AS n_rows, 16 AS n_features, 'dnf' AS target, '1' AS version, 0 AS differing
-FROM ({found["status_training"]})
-WHERE CAST('0x' || substr(md5(race_year || '_' || race_month || '_' || race_day || '_' || circuit || '_42'), 1, 8)
-           AS BIGINT) % 100 >= 20"""
+FROM ({found["status_training"]}) WHERE {bucket} >= 20"""
     return found
 
 

@@ -604,6 +604,45 @@ def dnf_percent(spark, sf):
     return scoring.dnf_percentage(test, model).select(*RACE, "driver", "constructor", "dnf", "dnf_percentage")
 
 
+def planted_step(spark, sf):
+    """Predicted class where retirement is made a step function of the year."""
+    rows = stage(status_training(spark, sf)).withColumn("dnf", (F.col("race_year") >= 1997).cast("int"))
+    train, test = splits.split_by_race(rows)
+    model = pipelines.fit(train, "status", nulls="impute", **_FEW_TREES)
+    predicted = model.transform(test)
+    return predicted.select(*RACE, "driver", "constructor", F.col("prediction").cast("int").alias("dnf"))
+
+
+def model_invariants(spark, sf):
+    """Counts that hold for any fitted model: rows, wrong ranks, percentages out
+    of range, and the sum of the importances by base feature."""
+    train, test = _train_test(spark, sf, "mainrace")
+    model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
+    ranked = stage(scoring.predict_and_rank(test, model))
+    # A rank is right if as many predictions of the race are smaller.
+    per_value = ranked.groupBy(*RACE, scoring.PREDICTED).agg(
+        F.count(F.lit(1)).alias("n"), F.min(scoring.POSITION).alias("low"), F.max(scoring.POSITION).alias("high")
+    )
+    placed = groups.running_sums(per_value, RACE, scoring.PREDICTED, ["n"])
+    right = (F.col("low") == F.col("n_below") + 1) & (F.col("high") == F.col("n_below") + 1)
+    wrong = placed.select((~right).alias("wrong"))
+    shares = inspect.grouped_importance(inspect.importance(model, "mainrace", train), "mainrace")
+    train, test = _train_test(spark, sf, "status")
+    percent = scoring.dnf_percentage(test, pipelines.fit(train, "status", nulls="impute", **_FEW_TREES))
+    outside = ~F.coalesce(F.col("dnf_percentage").between(0, 100), F.lit(False))
+
+    def line(df, name, value):
+        return df.agg(F.lit(name).alias("fact"), F.round(value.cast("double"), 6).alias("value"))
+
+    return (
+        line(ranked, "main-race rows", F.count(F.lit(1)))
+        .unionByName(line(wrong, "wrong ranks", F.count_if("wrong")))
+        .unionByName(line(shares, "importance", F.sum("importance")))
+        .unionByName(line(percent, "status rows", F.count(F.lit(1))))
+        .unionByName(line(percent, "percentages out of range", F.count_if(outside)))
+    )
+
+
 def grouped_importance(spark, sf):
     train, _ = _train_test(spark, sf, "mainrace")
     model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
@@ -778,6 +817,8 @@ _PLAIN = (
     train_predict_rank,
     qualifying_predict_rank,
     dnf_percent,
+    planted_step,
+    model_invariants,
     grouped_importance,
     leaderboard,
     permutation_importance,
