@@ -35,8 +35,9 @@ from apexframe.session import stage
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-BLOCK_MEMBERS = 2048
-BLOCK_NGRAMS = 2_000_000
+# A task compares two blocks at most, with a few matrices of (2 x members) squared.
+BLOCK_MEMBERS = 1024
+BLOCK_NGRAMS = 1_000_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 240) -> tuple[int, int]:
