@@ -141,14 +141,6 @@ def worker_memo(key: tuple, make: Callable[[], object]) -> object:
     return _MEMOS[key]
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores added until ``df`` has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.StringArray], np.ndarray]) -> DataFrame:
     """Rows of ``df`` whose text ``keep`` marks; all columns pass unchanged."""
     place = df.columns.index(text_col)

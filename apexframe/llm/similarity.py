@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.arrow import chunks
+from apexframe.llm.arrow import batch_name, chunks
 from apexframe.llm.shingles import Words, mix, unique_per_row
 from apexframe.session import stage
 
@@ -124,6 +124,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components need over {most_rounds} rounds")
 
 
+# Bits of an id filter: 8 MB in all, however many ids there are.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame) -> DataFrame:
+    """Bitmap of the hashes of the ids in the one column of ``ids``, by piece of 4 KB.
+
+    Its size is fixed, so it may be broadcast. With very many ids it lets
+    everything through, which costs a shuffle and changes no result.
+    """
+    place = _filter_place(F.col(ids.columns[0]))
+    return stage(
+        ids.groupBy(F.bitmap_bucket_number(place).alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    )
+
+
+def _filter_place(column):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+
+
+def may_contain(documents: DataFrame, id_col: str, bitmap: DataFrame, there: bool = True) -> DataFrame:
+    """Documents whose id may be in the filter, or with ``there`` false those whose id can't be."""
+    place = _filter_place(F.col(id_col))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))
+    hit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+    joined = documents.join(F.broadcast(bitmap), F.bitmap_bucket_number(place) == F.col("_piece"), "left")
+    return joined.where(hit if there else ~hit).select(*[documents[c] for c in documents.columns])
+
+
 def verified(hashes: list[np.ndarray], block: np.ndarray, rows: np.ndarray, ratio: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Linked documents, linked texts and component number of each member of a task.
 
@@ -224,10 +255,12 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N,
     sized = stage(inside.groupBy("grp").agg(needed.alias("blocks")))
     blocked = inside.join(sized, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # Only the texts of these classes are moved.
+    bitmap = id_filter(inside.select("rep"))
     dealt = blocked.select("key", "rep", "rows", "grp", "block", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     dealt = dealt.select("key", "rep", "rows", "block", F.concat_ws("-", F.hex("grp"), low, high).alias("task"))
-    texts = documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    texts = may_contain(documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", bitmap)
     members = texts.join(dealt.withColumnRenamed("rep", "class_rep"), F.col("rep").eqNullSafe(F.col("class_rep"))).select("task", "key", "block", "rows", "text")
     members = members.repartition(tasks, "task").sortWithinPartitions("task", "key")
     found = stage(_link_tasks(members, Fraction(str(threshold)), n))
@@ -252,11 +285,17 @@ def keep_first(documents: DataFrame, threshold: float = THRESHOLD, n: int = N, i
     Of repeated rows with that id one stays.
     """
     joined = stage(jaccard_join(documents, threshold, n, id_col=id_col, text_col=text_col))
-    away = joined.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_away")).distinct()
-    left = documents.join(away, F.col(id_col).eqNullSafe(F.col("_away")), "left_anti")
-    repeated = stage(joined.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_away")))
-    if repeated.limit(1).count() == 0:
-        return left
-    once = left.join(repeated, F.col(id_col).eqNullSafe(F.col("_away")), "left_anti")
-    more = left.join(repeated, F.col(id_col).eqNullSafe(F.col("_away")), "left_semi")
-    return once.unionByName(more.dropDuplicates([id_col, text_col]))
+    stays = F.bool_or(F.col(id_col).eqNullSafe(F.col("class_id")))
+    ids = joined.groupBy(id_col).agg(stays.alias("stays"), F.count("*").alias("n"))
+    listed = stage(ids.where("NOT stays OR n > 1").select(F.col(id_col).alias("listed_id"), "stays"))
+    # Documents that can't be on the list stay where they are. Columns go by
+    # place, so that no name clashes.
+    columns = documents.columns
+    own = documents.toDF(*[batch_name(k) for k in range(len(columns))])
+    own_id, own_text = (batch_name(columns.index(c)) for c in (id_col, text_col))
+    bitmap = id_filter(listed.select("listed_id"))
+    sure = may_contain(own, own_id, bitmap, there=False)
+    asked = may_contain(own, own_id, bitmap).join(listed, F.col(own_id).eqNullSafe(F.col("listed_id")), "left")
+    once = asked.where("stays IS NULL").select(*own.columns)
+    more = asked.where("stays").select(*own.columns).dropDuplicates([own_id, own_text])
+    return sure.unionByName(once).unionByName(more).toDF(*columns)
