@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
@@ -75,7 +75,7 @@ class Memo:
     that leaves too many, so memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Sequence[np.ndarray]], limit: int = 500_000) -> None:
+    def __init__(self, compute: Callable[[list[str]], Sequence[np.ndarray]], limit: int = 300_000) -> None:
         self.compute, self.limit = compute, limit
         self._reset()
 
@@ -128,24 +128,29 @@ def _grown(x: np.ndarray, size: int) -> np.ndarray:
 _MEMOS: dict[tuple, object] = {}
 
 
+def keep_only(operator: str = "") -> None:
+    """Drop what other operators keep in this Python worker; called as a task starts."""
+    for key in [k for k in _MEMOS if k[0] != operator]:
+        del _MEMOS[key]
+
+
 def worker_memo(key: tuple, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task, one per operator.
+    """An object that a Python worker keeps from task to task, one in all.
 
-    ``key`` starts with the operator's name; a new key of the same operator
-    replaces the old object.
+    ``key`` starts with the operator's name; a new key replaces the old object.
     """
     if key not in _MEMOS:
-        for old in [k for k in _MEMOS if k[0] == key[0]]:
-            del _MEMOS[old]
+        _MEMOS.clear()
         _MEMOS[key] = make()
     return _MEMOS[key]
 
 
-def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.StringArray], np.ndarray]) -> DataFrame:
+def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.StringArray], np.ndarray], operator: str = "") -> DataFrame:
     """Rows of ``df`` whose text ``keep`` marks; all columns pass unchanged."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(operator)
         for batch, texts in chunks(batches, batch_name(place)):
             yield batch.filter(pa.array(keep(texts)))
 
@@ -157,6 +162,7 @@ def replaced(df: DataFrame, text_col: str, change: Callable[[pa.StringArray], pa
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch, texts in chunks(batches, batch_name(place)):
             new = pc.if_else(batch.column(place).is_valid(), change(texts), pa.scalar(None, pa.string()))
             columns = list(batch.columns)

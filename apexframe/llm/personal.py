@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.arrow import chunks, replaced
+from apexframe.llm.arrow import chunks, keep_only, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -205,6 +205,7 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     names = ["id", *(f"n_{k}" for k in KINDS), "n_added", "base", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch, texts in chunks(batches, "text"):
             found = [find_spans(t) for t in texts.to_pylist()]
             counts = [pa.array([len(base[k]) for base, _ in found], pa.int64()) for k in range(len(KINDS))]

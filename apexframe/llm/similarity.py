@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.arrow import batch_name, chunks
+from apexframe.llm.arrow import batch_name, chunks, keep_only
 from apexframe.llm.shingles import Words, mix, unique_per_row
 from apexframe.session import stage
 
@@ -92,6 +92,7 @@ def signatures(documents: DataFrame, bands: int, rows: int, n: int = N, id_col:
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch, texts in chunks(batches, "text"):
             hashes, places = ngram_sets(texts, n)
             keys = band_keys(hashes, places, bands, rows)
@@ -207,6 +208,7 @@ def _link_tasks(members: DataFrame, ratio: Fraction, n: int) -> DataFrame:
     """Links of the classes, task by task: key, linked documents, linked texts and a class of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         task, own = None, {}
         for batch, texts in chunks(batches, "text"):
             hashes, places = ngram_sets(texts, n)

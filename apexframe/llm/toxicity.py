@@ -360,4 +360,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_civil(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = 2000) -> DataFrame:
     """Documents below the threshold, with all their columns."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample_rows, id_col, text_col))
-    return filtered(documents, text_col, lambda texts: _scores(shared.value, texts) < threshold)
+    return filtered(documents, text_col, lambda texts: _scores(shared.value, texts) < threshold, "toxicity")
