@@ -55,18 +55,25 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """Path of a new folder, not yet made, in the application's own folder under
+    the shared one, which is deleted when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/apexframe-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder, so that several readers share
     the result and a lost executor costs no recomputation.
 
-    The copy is Parquet, so readers only fetch the columns they need, and is
-    deleted when the application ends.
+    The copy is Parquet, so readers only fetch the columns they need.
     """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    folder = scratch_dir(df.sparkSession, "stage")
     df.write.parquet(folder)
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     # The schema is given, so nothing is read to infer it.
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from apexframe.learning import inspect, pipelines, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
 from apexframe.plans import build, mainrace, qualifying, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
-from apexframe.session import configure, shared_dir, stage
+from apexframe.session import configure, scratch_dir, stage
 from apexframe.sources import models, tables
 from apexframe.sources.dump import FILE_PATTERN, read_dump, read_text_table
 from apexframe.streaming import scoring as stream
@@ -27,10 +26,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return mapping.dump(spark, sf).table(name)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- training tables ----------------------------------------------------------
 
 
@@ -319,7 +314,7 @@ _REQUEST_STREAM = (
 
 def stream_expand_features(spark, sf):
     """Requests written to a folder, then read, validated and expanded as a stream."""
-    inbox, outbox, marks = (_scratch(spark, n) for n in ("inbox", "outbox", "marks"))
+    inbox, outbox, marks = (scratch_dir(spark, n) for n in ("inbox", "outbox", "marks"))
     tables.write(mapping.dump(spark, sf).requests, inbox)
     dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
     picks = {k: stage(v) for k, v in _picks(spark, sf).items()}
@@ -338,7 +333,7 @@ def stream_expand_features(spark, sf):
 
 def stream_predict_rank(spark, sf):
     """Four request lists, one file each, in several micro-batches: scored and ranked."""
-    inbox, outbox, marks = (_scratch(spark, n) for n in ("inbox", "ranked", "marks"))
+    inbox, outbox, marks = (scratch_dir(spark, n) for n in ("inbox", "ranked", "marks"))
     requests = mapping.dump(spark, sf).requests.withColumn("list_id", F.col("request_id") % 4)
     requests.repartition(4, "list_id").sortWithinPartitions("list_id").write.parquet(inbox)
     dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
@@ -670,14 +665,14 @@ def permutation_importance(spark, sf):
 
 def training_roundtrip(spark, sf):
     """Written by year, read back from 1999 on."""
-    root = _scratch(spark, "tables")
+    root = scratch_dir(spark, "tables")
     tables.write_training(status_training(spark, sf), root, "status")
     return tables.read_training(spark, root, "status", year_from=1999)
 
 
 def options_roundtrip(spark, sf):
     """The driver pick list as text; the dimension would be the fallback."""
-    root = _scratch(spark, "options")
+    root = scratch_dir(spark, "options")
     picks = dimensions.pick_drivers(_race_entries(spark, sf), dim_driver(spark, sf))
     tables.write(picks, f"{root}/drivers_mainrace")
     return tables.read_options(spark, f"{root}/drivers_mainrace", f"{root}/drivers")
@@ -685,21 +680,21 @@ def options_roundtrip(spark, sf):
 
 def options_fallback(spark, sf):
     """No pick list there: the dimension is read, as text."""
-    root = _scratch(spark, "options")
+    root = scratch_dir(spark, "options")
     tables.write(dim_driver(spark, sf), f"{root}/drivers")
     return tables.read_options(spark, f"{root}/drivers_mainrace", f"{root}/drivers")
 
 
 def race_tables_export(spark, sf):
     """Unique drivers of the ranked cars, through the written tables."""
-    root = _scratch(spark, "export")
+    root = scratch_dir(spark, "export")
     tables.write_race_tables(stage(mainrace.deviations(_rolled(spark, sf))), root)
     return tables.read(spark, f"{root}/unique_drivers")
 
 
 def _written_dump(spark, sf):
     """The race tables as a CSV dump in the shared folder."""
-    root, dump = _scratch(spark, "dump"), mapping.dump(spark, sf)
+    root, dump = scratch_dir(spark, "dump"), mapping.dump(spark, sf)
     for name in DUMP:
         tables.write(getattr(dump, name), f"{root}/{FILE_PATTERN.format(name)}", "csv")
     tables.write(dump.weather, f"{root}/weather.csv", "csv")
@@ -714,7 +709,7 @@ def csv_dump_training(spark, sf):
 
 def text_tables(spark, sf):
     """A table of text, with one that is missing."""
-    root, columns = _scratch(spark, "text"), ("r_regionkey", "r_name")
+    root, columns = scratch_dir(spark, "text"), ("r_regionkey", "r_name")
     tables.write(table(spark, sf, "region").select(*columns), f"{root}/regions", "csv")
     there, missing = (read_text_table(spark, f"{root}/{n}", columns) for n in ("regions", "nowhere"))
     return there.unionByName(missing)
@@ -722,7 +717,7 @@ def text_tables(spark, sf):
 
 def built_tables(spark, sf):
     """Rows of every table that the full build writes."""
-    root, dump = _scratch(spark, "build"), mapping.dump(spark, sf)
+    root, dump = scratch_dir(spark, "build"), mapping.dump(spark, sf)
     build.build_all(dump, root, YEAR_FROM)
     read = {name: df for name, df in tables.read_dimensions(spark, root).items()}
     for task in TASKS:
@@ -739,7 +734,7 @@ def model_roundtrip(spark, sf):
     """A fitted model saved and loaded: its metadata, and how many predictions differ."""
     train, test = _train_test(spark, sf, "status")
     model = pipelines.fit(train, "status", "logistic", nulls="impute")
-    root = _scratch(spark, "model")
+    root = scratch_dir(spark, "model")
     models.save(model, models.describe(train, "status", "1"), root)
     loaded, meta = models.load(spark, root)
     first, second = (scoring.dnf_percentage(test, m) for m in (model, loaded))
