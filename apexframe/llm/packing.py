@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.llm.arrow import Memo, chunks, ranges, worker_memo
-from apexframe.session import shared_dir
+from apexframe.session import scratch_dir
 
 CAPACITY = 2048
 FULL = 2032  # a bin with this many tokens is emitted at once
@@ -213,7 +213,7 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     repeats one task of one level. Levels after the first hold narrow rows only.
     """
     spark = documents.sparkSession
-    folder = _new_folder(spark)
+    folder = scratch_dir(spark, "packing")
     local_bins(documents, tokenizer, id_col, text_col, capacity, end_id).write.parquet(f"{folder}/0")
     levels, level = [], 0
     while True:
@@ -242,9 +242,3 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     placed = bins.select(F.col("bin").alias("sequence_id"), F.posexplode("items").alias("k", "item"), lengths.alias("lengths"))
     offset = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x)
     return placed.select(F.col("item.doc_id").alias(id_col), "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", offset.alias("offset"))
-
-
-def _new_folder(spark) -> str:
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/packing-{uuid.uuid4().hex}"

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexframe.llm import chat, fingerprints, language, packing, personal, pieces, quality, similarity, toxicity, warc
-from apexframe.session import shared_dir
+from apexframe.session import scratch_dir
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,7 +50,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "warc")
     warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).first()
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

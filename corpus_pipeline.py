@@ -6,13 +6,11 @@ as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from apexframe.llm import packing, personal, quality, similarity, toxicity
 from apexframe.llm.queries import table, tokenizer_path
-from apexframe.session import shared_dir
+from apexframe.session import scratch_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is staged in the shared folder."""
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage_of) in enumerate(STAGES):
         stage_of(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
