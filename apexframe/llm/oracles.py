@@ -13,7 +13,35 @@ WITH payloads AS (
 )
 """
 
+# The control strings of the chat template, and the characters each role's markers take.
+_CONTROLS = r"<</NAME>>|<</ROLE>>|<</SYS>>|<<ROLE>>|\[/INST\]|<<SYS>>|\[INST\]|</s>|<s>"
+
+
+def _escaped(text: str) -> str:
+    """SQL for the length of an escaped text."""
+    return (
+        f"length({text}) + (length({text}) - length(replace({text}, chr(92), '')))"
+        f" + (length({text}) - length(replace({text}, chr(0), ''))) + 2 * len(regexp_extract_all({text}, '{_CONTROLS}'))"
+    )
+
+
 ORACLES: dict[str, str] = {
+    "op9_chat_formatting": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *, {_escaped("text")} + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+    ELSE 26 + {_escaped("role")} END AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+""",
     "op5_warc": _PAYLOADS
     + f"""
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,

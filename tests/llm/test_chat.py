@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from apexframe.llm import chat
+from apexframe.llm.oracles import ORACLES
 from apexframe.llm.queries import op9_chat_formatting, tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -47,6 +48,15 @@ def test_query_equals_brute_force(spark):
     assert len(rows) == len(conversations) and all(r.formatted_chars > r.loss_chars for r in rows)
 
 
+def test_query_equals_sql(spark):
+    import duckdb
+
+    duckdb.sql("CREATE OR REPLACE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    frame = op9_chat_formatting(spark, "/root/testdata/sf0.001")
+    want = duckdb.sql(f"SELECT {', '.join(frame.columns)} FROM ({ORACLES['op9_chat_formatting']})").fetchall()
+    assert sorted(map(tuple, frame.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("limit", [1, 1 << 20])
 def test_edges(spark, limit):
     rows = [(1, 0, "user", None, 1), (1, 1, None, "x", 2), (1, 1, None, "x", 2), (None, 0, "assistant", "nobody", 3), (2, None, "assistant", "", 4), (3, 0, "assistant", "long " * 100_000, 5)]
