@@ -25,6 +25,11 @@ def edges(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, id string, `key` double").repartition(3)
 
 
+@pytest.fixture(scope="session")
+def edge_rows():
+    return EDGES
+
+
 @pytest.fixture(scope="session")
 def nothing(edges):
     return edges.limit(0)

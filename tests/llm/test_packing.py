@@ -55,11 +55,9 @@ def test_tree_with_tiny_tasks(documents, texts):
     check(rows, reference(texts))
 
 
-def test_edges(edges, nothing):
-    from conftest import EDGES
-
+def test_edges(edges, edge_rows, nothing):
     known = edges.filter("doc_id IS NOT NULL AND doc_id <> 9")
-    check(packing.pack(known, PATH).collect(), reference({i: t for i, t in EDGES if i not in (None, 9)}))
+    check(packing.pack(known, PATH).collect(), reference({i: t for i, t in edge_rows if i not in (None, 9)}))
     every = packing.pack(edges, PATH).collect()
     assert sum(r.doc_id == 9 and r.piece == 0 for r in every) == 2
     assert packing.pack(nothing, PATH).count() == 0
