@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +90,9 @@ _SPELLED = {
 _SPELLED_RUN = re.compile(r"(?<![^\W_])(?:(?:{0}|[0-9]+)(?:[ \-.,]+|$|(?=\W))){{4,}}".format("|".join(sorted(_SPELLED, key=len, reverse=True))), re.IGNORECASE)
 _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
 _PLUS = re.compile(r"(?<!\w)(?:plus|más)\s+(?=\+?[0-9])", re.IGNORECASE)
-_BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.IGNORECASE)
-_BRACKET_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|point|punkt|\.)\s*[\])}>]", re.IGNORECASE)
+_BRACKET_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.IGNORECASE)
+_BRACKET_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*", re.IGNORECASE)
 # Endings that tell a spelled-out address from ordinary words; fixed values.
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|es|pt|it|eu|pl|se|no|fi|dk|in|jp|cn|br|mx|ru|example|test"
 _WORD_MAIL = re.compile(
@@ -98,11 +100,8 @@ _WORD_MAIL = re.compile(
     re.IGNORECASE,
 )
 _WORD_DOT = re.compile(r" +dot +| *\. *(?=[A-Za-z0-9])", re.IGNORECASE)
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _DIGIT_DOT = re.compile(r"(?<=[0-9]) +dot +(?=[0-9])", re.IGNORECASE)
-_DISGUISE = re.compile(
-    r"[^\x00-\x7fÀ-ſ‘-‟…]|[\[({<]\s*(?:at|arroba|arobase|dot|punto|point|punkt|@|\.)\s*[\])}>]|(?<!\w)dot(?!\w)|@ | @|(?<!\w)(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + r")[ \-.,]+(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + r"|[0-9])(?!\w)",
-    re.IGNORECASE,
-)
 
 
 class Tracked:
@@ -131,26 +130,31 @@ class Tracked:
         return int(self.start[a]), int(self.end[b - 1])
 
 
+@lru_cache(1 << 14)
+def plain_form(char: str) -> str | None:
+    """What a character becomes, or None if it stays."""
+    if char <= "\x7f":
+        return None
+    if char in _INVISIBLE:
+        return ""
+    if char in _ALIKE:
+        return _ALIKE[char]
+    if (plain := unicodedata.normalize("NFKC", char)) != char and plain.isascii() and plain:
+        return plain
+    return str(unicodedata.decimal(char)) if char.isdecimal() else None
+
+
 def normalise(text: str) -> Tracked:
     """The text with its disguises undone."""
     own = Tracked(text)
-    changes = []
-    if not text.isascii():
-        for k, char in enumerate(text):
-            if char <= "\x7f":
-                continue
-            if char in _INVISIBLE:
-                changes.append((k, k + 1, ""))
-            elif char in _ALIKE:
-                changes.append((k, k + 1, _ALIKE[char]))
-            elif (plain := unicodedata.normalize("NFKC", char)) != char and plain.isascii() and plain:
-                changes.append((k, k + 1, plain))
-            elif char.isdecimal():
-                changes.append((k, k + 1, str(unicodedata.decimal(char))))
-        own.rewrite(changes)
-    own.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(own.text)])
-    own.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(own.text)])
-    if "dot" in own.text.lower():
+    if not text.isascii() and any(plain_form(char) is not None for char in set(text)):
+        own.rewrite([(m.start(), m.end(), plain) for m in _NOT_ASCII.finditer(text) if (plain := plain_form(m[0])) is not None])
+    # Each step is left out only where its own pattern can't match.
+    if _BRACKETED.search(own.text):
+        own.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(own.text)])
+        own.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(own.text)])
+    lower = own.text.lower()
+    if "dot" in lower:
         changes = []
         for m in _WORD_MAIL.finditer(own.text):
             changes += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _WORD_DOT.finditer(m[1])]
@@ -158,8 +162,17 @@ def normalise(text: str) -> Tracked:
             changes += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _WORD_DOT.finditer(m[3])]
         own.rewrite(changes)
         own.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(own.text)])
+    if not _SPELLED.keys().isdisjoint(_SPELLED_WORD.findall(lower)):
+        own.rewrite(_spelled_digits(own.text))
+    if "plus" in lower or "más" in lower:
+        own.rewrite([(*m.span(), "" if own.text[m.end() : m.end() + 1] == "+" else "+") for m in _PLUS.finditer(own.text)])
+    return own
+
+
+def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """Changes that turn the runs of spelled digits into digits."""
     changes = []
-    for run in _SPELLED_RUN.finditer(own.text):
+    for run in _SPELLED_RUN.finditer(text):
         words = list(_SPELLED_WORD.finditer(run[0]))
         if not any(w[0].lower() in _SPELLED for w in words):
             continue
@@ -169,16 +182,12 @@ def normalise(text: str) -> Tracked:
             changes.append((run.start() + w.start(), run.start() + w.end(), new))
             if after is not None:
                 changes.append((run.start() + w.end(), run.start() + after.start(), ""))
-    own.rewrite(changes)
-    own.rewrite([(*m.span(), "" if own.text[m.end() : m.end() + 1] == "+" else "+") for m in _PLUS.finditer(own.text)])
-    return own
+    return changes
 
 
 def find_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """Base spans, and all spans with the disguised ones, of each kind by start."""
     base = base_spans(text)
-    if not _DISGUISE.search(text):
-        return base, base
     own = normalise(text)
     if own.text == text:
         return base, base

@@ -46,6 +46,27 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found not in personal.masked_text(text) and f"[{kind.upper()}]" in personal.masked_text(text)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("call plus 44 20 7946 0958", "plus 44 20 7946 0958"),
+    ("call más 34 912 345 678", "más 34 912 345 678"),
+    ("call +44 20 seven 946 0958", "+44 20 seven 946 0958"),
+    ("call +44 20 7946…0958", "+44 20 7946…0958"),
+])
+def test_one_disguise_alone_is_enough(text, found):
+    _, every = personal.find_spans(text)
+    assert [text[a:b] for a, b in every[3]] == [found]
+
+
+def test_spans_do_not_depend_on_unrelated_text():
+    random.seed(3)
+    parts = ["plus", "más", "+44", "20", "7946", "0958", "seven", "Four", "dos", "(at)", "[ dot ]", "dot", "at", "@", "john", "example", "com", ".", "…", "ſ", "é", "j​o", "4111111111111111", "1.2.3.4", "(", "-"]
+    for _ in range(20000):
+        text = "".join(random.choice(parts) + random.choice(["", " ", " ", "  "]) for _ in range(random.randint(1, 12)))
+        # Behind a line that opens every step, the same spans have to be there.
+        alone, later = personal.find_spans(text)[1], personal.find_spans(text + "\n#\nω (at) dot plus seven\n")[1]
+        assert [[(a, b) for a, b in kind if b <= len(text)] for kind in later] == alone, text
+
+
 @pytest.mark.parametrize("text", ["look at the dot on it", "one two three", "été à la une", "meet at noon.", "dot dot dot"])
 def test_clean_texts_stay(text):
     assert personal.masked_text(text) == text
@@ -62,6 +83,11 @@ def test_long_texts_take_linear_time():
         personal.find_spans(text)
 
 
+def test_long_disguises_take_linear_time():
+    for text in (" " * 200_000 + "(x", "plus " * 50_000, "[" * 100_000 + "at", "1 2 " * 50_000 + "one"):
+        personal.find_spans(text)
+
+
 def test_edges(edges, nothing):
     rows = personal.personal_data(edges).collect()
     assert len(rows) == edges.count() and all(r.spans == "" for r in rows)
