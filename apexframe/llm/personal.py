@@ -3,7 +3,9 @@
 Base spans follow fixed patterns on the text as it is. For disguises, small
 transducers rewrite the text step by step: letters that look like others and
 full-width forms become ASCII and invisible characters go; spelled digits become
-digits; "at" and "dot" in brackets, or spelled out between words, become signs.
+digits; "at" and "dot" in brackets, or spelled out between words, become signs, and
+blanks around an @ before a domain go. "x at y.z" with ordinary dots is an address if
+x looks like an account, a word such as "mail" leads to it, or it stands by itself.
 Every rewritten character keeps the place of its source, so that what the same
 patterns find in the normalised text maps back to spans of source characters. A
 span found this way is added if it overlaps no span found before.
@@ -93,13 +95,27 @@ _PLUS = re.compile(r"(?<!\w)(?:plus|más)\s+(?=\+?[0-9])", re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|point|punkt|\.)\s*[\])}>]", re.IGNORECASE)
 _BRACKET_AT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|punto|point|punkt|\.)\s*[\])}>]\s*", re.IGNORECASE)
-# Endings that tell a spelled-out address from ordinary words; fixed values.
-_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|es|pt|it|eu|pl|se|no|fi|dk|in|jp|cn|br|mx|ru|example|test"
-_WORD_MAIL = re.compile(
-    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:\.| +dot +)[A-Za-z0-9_%+-]+)*)( +at +| *@ *)([A-Za-z0-9-]+(?:(?: *\. *| +dot +)[A-Za-z0-9-]+)*(?: +dot +)(?:" + _ENDINGS + r"))(?![A-Za-z0-9-])",
+# Endings that make an address even of words like "the dot com"; fixed values.
+_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io dev app ai me tv co uk us ca au nz ie de at ch fr be nl es pt it eu pl se no fi dk in jp cn br mx ru example test".split()
+)
+# Words that are neither a domain's first nor its last part, nor whom one writes to; fixed values.
+_ORDINARY = frozenset(
+    "the a an this that these those each every any some no one my your his her its our their it he she they we you i me us him them who which what "
+    "on in of at to by for from with and or but nor is are was were be been as if so than then there here now not out up off over more again "
+    "look looking see seen visit find found read view watch join buy live available online posted published hosted located born".split()
+)
+_SIGN = re.compile(r"@[ \t]*|[aA][tT](?<=[ \t]..)[ \t]+")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_BETWEEN = re.compile(r"(?P<plain>\.)(?=[A-Za-z0-9-])|(?P<word>[ \t]++dot[ \t]++)(?=[A-Za-z0-9-])|(?P<wide>[ \t]*+\.[ \t]*+)(?=[A-Za-z0-9-])", re.IGNORECASE)
+_LAST = re.compile(r"(?:[A-Za-z]{2,}|xn--[A-Za-z0-9-]+)\Z", re.IGNORECASE)
+# What announces an address before its local part.
+_CUE = re.compile(
+    r"(?<!\w)(?:e-?mails?|e-?mail(?:ed|ing)|mail|mailto|contact|contacting|write|writing|wrote|reach|address|send|reply|message|cc|correo|courriel|adresse)"
+    r"(?:\s+(?:to|is|me|us|him|her|them|address|via|by|under|it))*[\s:]+\Z",
     re.IGNORECASE,
 )
-_WORD_DOT = re.compile(r" +dot +| *\. *(?=[A-Za-z0-9])", re.IGNORECASE)
+_ALONE_END = re.compile(r"[ \t]*+(?:\Z|[\n>)\]}\"”»]|[.,;!?]+(?:\s|\Z))")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _DIGIT_DOT = re.compile(r"(?<=[0-9]) +dot +(?=[0-9])", re.IGNORECASE)
 
@@ -154,13 +170,9 @@ def normalise(text: str) -> Tracked:
         own.rewrite([(*m.span(), "@") for m in _BRACKET_AT.finditer(own.text)])
         own.rewrite([(*m.span(), ".") for m in _BRACKET_DOT.finditer(own.text)])
     lower = own.text.lower()
+    if "@" in lower or " at " in lower or "\tat" in lower or "at\t" in lower:
+        own.rewrite(_spelled_addresses(own.text))
     if "dot" in lower:
-        changes = []
-        for m in _WORD_MAIL.finditer(own.text):
-            changes += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _WORD_DOT.finditer(m[1])]
-            changes.append((*m.span(2), "@"))
-            changes += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _WORD_DOT.finditer(m[3])]
-        own.rewrite(changes)
         own.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(own.text)])
     if not _SPELLED.keys().isdisjoint(_SPELLED_WORD.findall(lower)):
         own.rewrite(_spelled_digits(own.text))
@@ -169,6 +181,107 @@ def normalise(text: str) -> Tracked:
     return own
 
 
+def _spelled_addresses(text: str) -> list[tuple[int, int, str]]:
+    """Changes that turn addresses with blanks around the sign, "at" or "dot" into plain ones."""
+    changes: list[tuple[int, int, str]] = []
+    done = 0
+    for sign in _SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        at, real = sign.start(), sign[0][0] == "@"
+        while at > done and text[at - 1] in " \t":
+            at -= 1
+        if at <= done or text[at - 1] not in _LOCAL:
+            continue
+        end, dots = _domain_end(text, sign.end(), real)
+        if end is None:
+            continue
+        start, own = _local_start(text, at, done)
+        if start == at:
+            continue
+        spelled = any(len(text[a:b]) > 1 for a, b in dots)
+        if not real and not spelled and not _is_address(text, start, at, end, bool(own)):
+            continue
+        changes += [(a, b, ".") for a, b in own]
+        if text[at : sign.end()] != "@":
+            changes.append((at, sign.end(), "@"))
+        changes += [(a, b, ".") for a, b in dots if b - a > 1]
+        done = end
+    return changes
+
+
+def _domain_end(text: str, start: int, real: bool) -> tuple[int | None, list[tuple[int, int]]]:
+    """End of the longest domain at a place, or None, and its dots.
+
+    An ordinary dot with blanks counts only before a spelled-out one with a known
+    ending, else the next sentence would belong to the domain.
+    """
+    label = _LABEL.match(text, start)
+    if label is None:
+        return None, []
+    first = label[0].lower()
+    dots: list[tuple[int, int]] = []
+    best, n_best, wide, spelled = None, 0, False, False
+    while between := _BETWEEN.match(text, label.end()):
+        label = _LABEL.match(text, between.end())
+        dots.append(between.span())
+        word = between["word"] is not None
+        wide |= between["wide"] is not None
+        spelled |= word
+        last = label[0].lower()
+        if word and last in _ENDINGS:
+            good = True
+        elif wide or not _LAST.match(last):
+            good = False
+        else:
+            good = not spelled or real or (first not in _ORDINARY and last not in _ORDINARY)
+        if good:
+            best, n_best = label.end(), len(dots)
+    return best, dots[:n_best]
+
+
+def _local_start(text: str, end: int, done: int) -> tuple[int, list[tuple[int, int]]]:
+    """Start of the local part that ends at a place, and its spelled-out dots."""
+    start, dots = end, []
+    while True:
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        k = start
+        while k > done and text[k - 1] in " \t":
+            k -= 1
+        j = k - 3
+        if k == start or j < done or text[j:k].lower() != "dot":
+            break
+        i = j
+        while i > done and text[i - 1] in " \t":
+            i -= 1
+        if i == j or i <= done or text[i - 1] not in _LOCAL:
+            break
+        dots.append((i, start))
+        start = i
+    while start < end and not text[start].isalnum():
+        start += 1
+    return start, [d for d in reversed(dots) if d[0] > start]
+
+
+def _is_address(text: str, start: int, at: int, end: int, spelled: bool) -> bool:
+    """Whether "x at y.z" is an address rather than words before the name of a site.
+
+    It is if x looks like an account (a letter, and a digit or a sign other than a
+    hyphen), if a word such as "mail" or "contact" leads to it, or if it stands by itself.
+    """
+    local = text[start:at]
+    if local.endswith(".") or local.lower() in _ORDINARY or not any(c.isalpha() for c in local):
+        return False
+    if spelled or any(c.isdigit() or c in "._%+" for c in local):
+        return True
+    if _CUE.search(text[max(0, start - 80) : start]):
+        return True
+    before = text[max(0, start - 80) : start].rstrip(" \t")
+    alone = before[-1] in '\n<([{"“«:' if before else start <= 80
+    return alone and _ALONE_END.match(text, end) is not None
+
+
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Changes that turn the runs of spelled digits into digits."""
     changes = []
