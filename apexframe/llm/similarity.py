@@ -209,28 +209,30 @@ def _link_tasks(members: DataFrame, ratio: Fraction, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
-        task, own = None, {}
+        task, own, cross = None, {}, False
         for batch, texts in chunks(batches, "text"):
             hashes, places = ngram_sets(texts, n)
             keys = set_keys(hashes, places)
-            columns = (batch.column(c).to_pylist() for c in ("task", "key", "block", "rows"))
-            for k, (name, key, block, rows) in enumerate(zip(*columns, strict=True)):
+            columns = (batch.column(c).to_pylist() for c in ("task", "key", "low", "high", "block", "rows"))
+            for k, (name, key, low, high, block, rows) in enumerate(zip(*columns, strict=True)):
                 if name != task:
-                    yield from _links(own, ratio)
-                    task, own = name, {}
+                    yield from _links(own, ratio, cross)
+                    task, own, cross = name, {}, low != high
                 # Another text under the same id, or a copy, isn't the class itself.
                 if keys[k] == key and key not in own:
                     own[key] = (hashes[places[k] : places[k + 1]].copy(), block, rows)
-        yield from _links(own, ratio)
+        yield from _links(own, ratio, cross)
 
     return members.mapInArrow(run, "key binary, links long, texts long, root binary")
 
 
-def _links(own: dict[bytes, tuple[np.ndarray, int, int]], ratio: Fraction) -> Iterator[pa.RecordBatch]:
+def _links(own: dict[bytes, tuple[np.ndarray, int, int]], ratio: Fraction, cross: bool) -> Iterator[pa.RecordBatch]:
     if not own:
         return
     keys = sorted(own)
     hashes, block, rows = zip(*(own[k] for k in keys), strict=True)
+    if cross and len(set(block)) < 2:
+        return  # the other block is empty, and a task of its own compares within this one
     links, texts, roots = verified(list(hashes), np.array(block), np.array(rows, np.int64), ratio)
     yield pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(texts, pa.int64()), pa.array([keys[r] for r in roots], pa.binary())],
@@ -261,9 +263,9 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N,
     bitmap = id_filter(inside.select("rep"))
     dealt = blocked.select("key", "rep", "rows", "grp", "block", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select("key", "rep", "rows", "block", F.concat_ws("-", F.hex("grp"), low, high).alias("task"))
+    dealt = dealt.select("key", "rep", "rows", "block", low.alias("low"), high.alias("high"), F.concat_ws("-", F.hex("grp"), low, high).alias("task"))
     texts = may_contain(documents.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep", bitmap)
-    members = texts.join(dealt.withColumnRenamed("rep", "class_rep"), F.col("rep").eqNullSafe(F.col("class_rep"))).select("task", "key", "block", "rows", "text")
+    members = texts.join(dealt.withColumnRenamed("rep", "class_rep"), F.col("rep").eqNullSafe(F.col("class_rep"))).select("task", "key", "low", "high", "block", "rows", "text")
     members = members.repartition(tasks, "task").sortWithinPartitions("task", "key")
     found = stage(_link_tasks(members, Fraction(str(threshold)), n))
 

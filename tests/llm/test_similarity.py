@@ -64,6 +64,20 @@ def test_planted_groups(spark, planted, members):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in rows) == brute(planted)
 
 
+def test_few_long_members_whose_blocks_are_partly_empty(spark):
+    rng = random.Random(6)
+    rows = []
+    for group in range(20):
+        base = [f"g{group}w{rng.randrange(3000)}" for _ in range(300)]
+        for k in range(2 + group % 2):
+            rows.append((len(rows), " ".join([*base, f"end{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    # Two blocks a group of two, and some groups have both members in one of them.
+    found = similarity.jaccard_join(df, block_ngrams=300).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found) == brute(rows)
+    assert all(r.n_texts == r.n_links for r in found)
+
+
 def test_whole_table(documents, texts):
     rows = similarity.jaccard_join(documents).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in rows) == brute(sorted(texts.items()))
