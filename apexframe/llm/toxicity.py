@@ -8,8 +8,10 @@ labelled sentences. A sentence scores as its highest window, a text as its
 highest sentence, and a logistic curve turns that into a probability.
 
 A window is a word with its edges, lower-cased and without accents; what isn't a
-letter is a gap. Letters set apart by blanks ("a b c d") form one window. Windows of over 32
-characters are cut into overlapping ones.
+letter is a gap. Letters set apart by blanks ("a b c d") form one window. A text is also
+scored on windows over neighbouring fragments of up to three letters, and on words
+without the fillers between their letters. Windows of over 32 characters are cut into
+overlapping ones.
 
 Null and empty texts and texts without letters have the lowest score. Repeated
 rows score alike. Without labelled rows of both kinds every score is 0.
@@ -22,6 +24,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +137,35 @@ def windows(text: str) -> list[str]:
     return text.split()
 
 
+# Neighbouring fragments of up to three letters, whatever stands between them, and
+# fillers between the letters of a word.
+_SHORT_RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,3}+(?:[\W\d_]++[^\W\d_]{1,3}+(?![^\W\d_]))+")
+_FRAGMENT = re.compile(r"[^\W\d_]+")
+_FILLED = re.compile(r"(?<!\S)[^\w\s]*+(?:[^\W\d_]++(?:(?!\s)[\W\d_])++)+[^\W\d_]++")
+_JOINED = 16
+
+
+def joined(text: str) -> list[str]:
+    """Windows over neighbouring short fragments: any that follow one another, up to 16
+    letters in all, and whole runs; and words without the fillers between their letters."""
+    found = []
+    for run in _SHORT_RUN.finditer(text):
+        parts = _FRAGMENT.findall(run[0])
+        for k in range(len(parts)):
+            own = parts[k]
+            for part in islice(parts, k + 1, k + _JOINED):
+                if len(own) + len(part) > _JOINED:
+                    break
+                own += part
+                if len(own) > 2:
+                    found.append(own)
+        whole = "".join(parts)
+        if len(whole) > _JOINED:
+            found.append(whole)
+    found += ["".join(_FRAGMENT.findall(word[0])) for word in _FILLED.finditer(text)]
+    return found
+
+
 @dataclass
 class Model:
     """Weight of each subsequence, the machine's offset, and the logistic curve."""
@@ -317,7 +349,7 @@ class Scorer:
         self.memo.trim()
         words, counts = [], []
         for text in texts.to_pylist():
-            own = windows(text)
+            own = windows(text) + joined(text)
             words += own
             counts.append(len(own))
         out = np.full(len(counts), LOWEST)

@@ -32,6 +32,19 @@ def test_gaps_and_insertions_score_above_clean_words(model):
     assert found.min() > clean.max()
 
 
+def test_fragments_and_fillers_score_above_clean_words(model):
+    clean = model.probability(toxicity.Scorer(model).raw(pa.array(["the", "and of this", "", "123 !!", "he is on it to go by", "a well-known man"])))
+    disguised = ["i  d  i  o  t", "i - d - i - o - t", "i. d. i. o. t.", "id iot", "idi ot", "i--d--i--o--t", "id--iot", "wor...thless"]
+    found = model.probability(toxicity.Scorer(model).raw(pa.array([f"the {w} of" for w in disguised])))
+    assert found.min() > clean.max() and found.min() >= toxicity.THRESHOLD
+
+
+def test_joined_windows_take_linear_time():
+    for text in ("a " * 50_000, "ab-" * 50_000, "a" * 200_000 + "-", "a" + " " * 200_000, "-" * 200_000, "a" * 200_000 + " " + "a1" * 50_000):
+        toxicity.joined(text)
+    assert {"idiot", "theidiot"} <= set(toxicity.joined("the id iot of"))
+
+
 def test_projection_equals_kernel():
     words = ["clown", "thing", "a", "", "x" * 70, "été"]
     basis, owner = toxicity.dense_features(["clown", "thing"])
