@@ -24,7 +24,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +152,7 @@ def joined(text: str) -> list[str]:
         parts = _FRAGMENT.findall(run[0])
         for k in range(len(parts)):
             own = parts[k]
-            for part in islice(parts, k + 1, k + _JOINED):
+            for part in parts[k + 1 : k + _JOINED]:
                 if len(own) + len(part) > _JOINED:
                     break
                 own += part
