@@ -4,8 +4,9 @@ Documents with the same set of word n-grams form one class; only classes go on.
 Min-hashes of a class's n-grams are cut into bands, and classes that agree in a
 band are candidates. Row and band counts follow from the wanted recall at the
 threshold. Candidates aren't paired within a bucket: each is tied to its bucket's
-smallest member, and the connected groups of these ties hold all candidate pairs.
-Within a group every pair of classes is verified on the full n-gram sets, in
+smallest member, and the connected groups of these ties hold all candidate pairs;
+a class's leaders become one tie of its own and ties among leaders before anything
+is joined. Within a group every pair of classes is verified on the full n-gram sets, in
 blocks: a group is cut into blocks of bounded size, and each pair of blocks is a
 task of its own. What leaves a task is one row a class, so no result holds pairs.
 
@@ -36,7 +37,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 # A task compares two blocks at most, with a few matrices of (2 x members) squared.
-BLOCK_MEMBERS = 1024
+BLOCK_MEMBERS = 256
 BLOCK_NGRAMS = 1_000_000
 
 
@@ -105,6 +106,19 @@ def signatures(documents: DataFrame, bands: int, rows: int, n: int = N, id_col:
     return narrow.mapInArrow(run, f"id {kind}, key binary, ngrams long, bands array<long>")
 
 
+def reduced_ties(met: DataFrame, node: str, hub: str) -> DataFrame:
+    """Edges (a, b) that connect what the rows of ``met`` connect, about one a node.
+
+    Each node is tied to the smallest hub it was met with, and that hub to the
+    node's others. Hubs of many nodes repeat, so far fewer edges than rows are left.
+    """
+    hubs = met.where(F.col(node) != F.col(hub)).groupBy(F.col(node).alias("node")).agg(F.collect_set(hub).alias("hubs"))
+    least = F.array_min("hubs")
+    own = hubs.select(F.col("node").alias("a"), least.alias("b"))
+    others = hubs.where(F.size("hubs") > 1).select(F.explode("hubs").alias("a"), least.alias("b")).where("a <> b")
+    return own.union(others.distinct())
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Node and root, the smallest node it is connected with, of the nodes on edges (a, b).
 
@@ -249,8 +263,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N,
 
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = stage(banded.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"))
-    ties = banded.join(buckets, "band").where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b"))
-    grouped = components(ties)
+    grouped = components(reduced_ties(banded.join(buckets, "band"), "key", "leader"))
 
     # Blocks: how many a group needs, and every class in all pairs of its block with another.
     inside = classes.select("key", "rep", "rows", "ngrams").join(grouped, F.col("key") == F.col("node")).select("key", "rep", "rows", "ngrams", F.col("root").alias("grp"))
@@ -270,7 +283,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, n: int = N,
     found = stage(_link_tasks(members, Fraction(str(threshold)), n))
 
     # Groups of verified links, and their smallest document.
-    roots = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    roots = components(reduced_ties(found, "key", "root"))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     rooted = classes.select("key", "rep", "rows").join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "rows", F.coalesce("root", "key").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("rep").alias("group_id"))

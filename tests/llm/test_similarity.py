@@ -106,6 +106,27 @@ def test_banding_reaches_the_recall():
         assert bands * rows <= 240 and 1 - (1 - threshold**rows) ** bands >= similarity.RECALL
 
 
+def test_ties_of_one_large_group_stay_below_two_a_class(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(1500):
+        own = list(base)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bands, per_band = similarity.banding()
+    signed = similarity.signatures(df, bands, per_band)
+    banded = signed.selectExpr("key", "explode(bands) band")
+    leaders = banded.groupBy("band").agg({"key": "min"}).toDF("band", "leader")
+    met = banded.join(leaders, "band").cache()
+    ties = similarity.reduced_ties(met, "key", "leader").cache()
+    assert 0 < ties.count() < 2 * signed.select("key").distinct().count() < met.where("key <> leader").distinct().count()
+    plain = similarity.components(met.where("key <> leader").selectExpr("key a", "leader b"))
+    assert sorted(similarity.components(ties).collect()) == sorted(plain.collect())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (102, 100)], "a long, b long")
     roots = dict(similarity.components(edges).collect())
