@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.llm import chat, fingerprints, language, packing, personal, pieces, quality, similarity, toxicity, warc
+from apexframe.llm import chat, fingerprints, language, packing, personal, pieces, quality, setsketch, similarity, toxicity, turntrie, warc, whitening
 from apexframe.session import scratch_dir
 
 
@@ -76,6 +76,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_piece_encoding": op2_piece_encoding,
@@ -87,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_setsketch_near_duplicates": op11_setsketch_near_duplicates,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
