@@ -1,18 +1,14 @@
-"""Train/test splits and cross-validation."""
+"""Train/test splits."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.functions import race_id, split_bucket
-from apexframe.learning.pipelines import is_classification, usable
-from apexframe.schemas import RACE, TASKS
+from apexframe.schemas import RACE
 
 
 def race_key() -> Column:
@@ -48,43 +44,3 @@ def split_rows(
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     bucket = split_bucket(key, seed)
     return rows.filter(bucket >= test_percent), rows.filter(bucket < test_percent)
-
-
-def evaluator(task: str):
-    """Squared error for deviations, area under the curve for retirements."""
-    target = TASKS[task].target
-    if is_classification(task):
-        return BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC")
-    return RegressionEvaluator(labelCol=target, metricName="mse")
-
-
-def grid_search(
-    training: DataFrame,
-    task: str,
-    pipeline: Pipeline,
-    grid: list,
-    folds: int = 5,
-    seed: int = 42,
-    by_race: bool = False,
-    parallelism: int = 2,
-    nulls: str = "error",
-) -> CrossValidatorModel:
-    """Cross-validated choice from a parameter grid.
-
-    Folds follow from a hash of the whole row, or of the race with ``by_race``.
-    ``nulls`` says what missing numbers do; to impute them the pipeline must.
-    """
-    columns = [*TASKS[task].features, TASKS[task].target]
-    rows = usable(training, task, nulls)
-    key = race_key() if by_race else F.to_json(F.struct(*columns))
-    folded = rows.withColumn("fold", split_bucket(key, seed, folds).cast("int"))
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=evaluator(task),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    return search.fit(folded)

@@ -28,8 +28,9 @@ _RACE_COLUMNS = (
 def denormalize(dump: Dump, laps: bool = True) -> DataFrame:
     """All tables side by side, from rounds down to laps, nothing left out.
 
-    Filters on the result reach the scans, and one that needs a session or an
-    entry removes the branches that only keep rounds or entries without any.
+    Filters on the result reach the scans. One that needs a session turns the
+    joins to sessions and entries into inner ones; the joins to descriptions and
+    the two lookups of parents with very many children stay outer.
     """
     rounds = dump.round.select(
         F.col("id").alias("round_id"),

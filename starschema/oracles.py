@@ -372,6 +372,14 @@ SELECT 'main-race rows' AS fact, CAST(count(*) AS DOUBLE) AS value FROM ({found[
 UNION ALL SELECT 'wrong ranks', 0 UNION ALL SELECT 'importance', 1
 UNION ALL SELECT 'status rows', count(*) FROM ({found["status_training"]}) WHERE {bucket} < 20
 UNION ALL SELECT 'percentages out of range', 0"""
+    found["planted_importance"] = """
+SELECT planted, by_source, CASE planted WHEN 'year' THEN 'race_year' ELSE 'constructor' END AS base_feature, CAST(1 AS DOUBLE) AS importance
+FROM (VALUES ('year'), ('constructor')) AS p(planted), (VALUES (true), (false)) AS s(by_source)"""
+    fold = bucket.replace("% 100", "% 5")
+    found["grid_search_status"] = f"""
+SELECT point, fold, count(*) AS rows, won AS best, won AS perfect, won AS all_right
+FROM (SELECT CAST({fold} AS INTEGER) AS fold FROM ({found["status_training"]})), (VALUES ('one cut', false), ('tree', true)) AS p(point, won)
+GROUP BY point, fold, won"""
     found["model_roundtrip"] = f"""
 SELECT count(*) AS n_rows, 16 AS n_features, 'dnf' AS target, '1' AS version, 0 AS differing
 FROM ({found["status_training"]}) WHERE {bucket} >= 20"""
@@ -495,6 +503,14 @@ SELECT request_id, score, {_FEATURES['mainrace']} FROM expanded WHERE valid""",
 SELECT request_id, request_id % 4 AS list_id, {race_keys}, score AS predicted_deviation_from_median,
        rank() OVER (PARTITION BY request_id % 4, {race_keys} ORDER BY score) AS predicted_final_position
 FROM expanded WHERE valid""",
+        "stream_lists_over_files": f"""WITH {REQUEST_BASE}, {EXPANDED}
+SELECT request_id, request_id % 4 AS list_id, {race_keys}, score AS predicted_deviation_from_median,
+       rank() OVER (PARTITION BY request_id % 4, {race_keys} ORDER BY score) AS predicted_final_position
+FROM expanded WHERE valid AND request_id % 4 < 3""",
+        "stream_waiting_lists": f"""WITH {REQUEST_BASE}
+SELECT request_id % 4 AS list_id, count(*) AS rows, count(*) + 1 AS wanted FROM checked WHERE request_id % 4 = 3 GROUP BY 1""",
+        "stream_restart": f"""WITH {REQUEST_BASE}
+SELECT request_id % 4 AS list_id, count(*) AS n_rows, 0 AS differing FROM checked WHERE valid AND request_id % 4 < 3 GROUP BY 1""",
         "checked_fail_fast": f"""WITH {REQUEST_BASE}
 SELECT request_id, driver, constructor, circuit FROM checked WHERE valid""",
         "nested_answers": f"""WITH {REQUEST_BASE}, {EXPANDED}
@@ -559,6 +575,13 @@ FROM classified GROUP BY label""",
 )
 SELECT round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2)
              / (sum(label) * (count(*) - sum(label))), 6) AS roc_auc FROM placed_scores""",
+        "auc_by_model": f"""WITH {CLASSIFIED}, long AS (
+  SELECT label, unnest([{{'m': 'given', 'v': score}}, {{'m': 'turned', 'v': -score}}, {{'m': 'tied', 'v': floor(score / 10)}}], recursive := true) FROM classified
+), placed_scores AS (
+  SELECT m, label, rank() OVER (PARTITION BY m ORDER BY v) + (count(*) OVER (PARTITION BY m, v) - 1) / 2.0::DOUBLE AS r FROM long
+)
+SELECT m AS model, round((sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2)
+             / (sum(label) * (count(*) - sum(label))), 6) AS roc_auc FROM placed_scores GROUP BY m""",
         "null_profile": f"""WITH {RACE_BASE} """
         + " UNION ALL ".join(
             f"SELECT '{c.strip()}' AS column_name, count(*) FILTER ({c.strip()} IS NULL) AS nulls FROM race_entry"

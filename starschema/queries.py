@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexframe import functions as fx
-from apexframe.learning import inspect, pipelines, splits
+from apexframe.learning import inspect, pipelines, search, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
 from apexframe.plans import build, mainrace, qualifying, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
 from apexframe.session import configure, scratch_dir, stage
 from apexframe.sources import models, tables
 from apexframe.sources.dump import FILE_PATTERN, read_dump, read_text_table
+from apexframe.streaming import lists
 from apexframe.streaming import scoring as stream
 from starschema import mapping
 from starschema.oracles import YEAR_FROM
@@ -348,6 +349,83 @@ def stream_predict_rank(spark, sf):
     return tables.read(spark, outbox).select("request_id", "list_id", *RACE, scoring.PREDICTED, scoring.POSITION)
 
 
+_LIST_STREAM = f"{_REQUEST_STREAM}, list_id long, list_rows long"
+
+
+def _listed_requests(spark, sf):
+    """Requests in four lists, each with its size; the fourth states one more than it has."""
+    rows = mapping.dump(spark, sf).requests.withColumn("list_id", F.col("request_id") % 4)
+    sizes = rows.groupBy("list_id").agg((F.count(F.lit(1)) + F.when(F.col("list_id") == 3, 1).otherwise(0)).alias("list_rows"))
+    return rows.join(sizes, "list_id")
+
+
+def _cut_into_files(requests, inbox):
+    """Every list in three files; those of one list lie four files apart."""
+    cut = requests.withColumn("file", F.pmod(F.xxhash64("request_id"), F.lit(3)) * 4 + F.col("list_id"))
+    cut.repartitionByRange(12, "file").drop("file").write.mode("append").parquet(inbox)
+
+
+def _lists_run(spark, sf):
+    """Lists over three files and three micro-batches, ranked as they fill; the folder of results."""
+    inbox, root, marks = (scratch_dir(spark, n) for n in ("inbox", "lists", "marks"))
+    _cut_into_files(_listed_requests(spark, sf), inbox)
+    dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
+    picks = {k: stage(v) for k, v in _picks(spark, sf).items()}
+
+    def score(requests):
+        features = stream.expanded_stream(requests, dims, picks, "mainrace")
+        return scoring.predict_and_rank(stage(features), "score", ("list_id", *RACE))
+
+    arriving = stream.read_requests(spark, inbox, "mainrace", _LIST_STREAM, maxFilesPerTrigger=5)
+    lists.score_lists(arriving, score, root, marks).awaitTermination()
+    return root
+
+
+def stream_lists_over_files(spark, sf):
+    """Ranked requests of the lists that are complete."""
+    done = lists.released(spark, _lists_run(spark, sf))
+    return done.select("request_id", "list_id", *RACE, scoring.PREDICTED, scoring.POSITION)
+
+
+def stream_waiting_lists(spark, sf):
+    """Lists that never fill, by what they have and what they state."""
+    return lists.waiting_lists(spark, _lists_run(spark, sf))
+
+
+def stream_restart(spark, sf):
+    """A fitted model scores a stream that is stopped between writing and
+    committing, then restarted; its results against those of one batch."""
+    inbox, root, marks = (scratch_dir(spark, n) for n in ("inbox", "lists", "marks"))
+    requests = stage(_listed_requests(spark, sf))
+    dims = {k: stage(v) for k, v in dimensions.all_dimensions(mapping.dump(spark, sf)).items()}
+    picks = {k: stage(v) for k, v in _picks(spark, sf).items()}
+    train, _ = _train_test(spark, sf, "status")
+    model = pipelines.fit(train, "status", "logistic", nulls="impute")
+
+    def score(rows):
+        features = stream.expanded_stream(rows, dims, picks, "status")
+        return scoring.dnf_percentage(features, model).select("request_id", "list_id", "dnf_percentage")
+
+    def run():
+        arriving = stream.read_requests(spark, inbox, "status", _LIST_STREAM, maxFilesPerTrigger=5)
+        lists.score_lists(arriving, score, root, marks).awaitTermination()
+
+    early = F.col("list_id") < 2
+    _cut_into_files(requests.filter(early), inbox)
+    run()
+    # The last batch is written, but neither the stream nor the results know it is done.
+    for folder in (root, marks):
+        own = lists._Folder(spark, folder)
+        own.drop(f"commits/{own.numbers('commits')[-1]}")
+    _cut_into_files(requests.filter(~early), inbox)
+    run()
+    streamed = stage(lists.released(spark, root)).withColumnRenamed("dnf_percentage", "streamed")
+    whole = score(requests.filter("list_id < 3"))
+    both = whole.join(streamed, ["request_id", "list_id"], "full")
+    differing = F.count_if(~F.col("streamed").eqNullSafe(F.col("dnf_percentage")))
+    return both.groupBy("list_id").agg(F.count("streamed").alias("n_rows"), differing.alias("differing"))
+
+
 def checked_fail_fast(spark, sf):
     """Valid requests only, put to the check that fails on the first invalid one."""
     picks = _picks(spark, sf)
@@ -638,6 +716,43 @@ def model_invariants(spark, sf):
     )
 
 
+def grid_search_status(spark, sf):
+    """Five folds by race over the whole training table, retirement planted in two
+    of the years. One cut can't set these apart, a deeper tree can, so SQL knows
+    which point wins, and that it predicts every row it wasn't fitted on."""
+    rows = status_training(spark, sf).withColumn("dnf", F.col("race_year").between(1997, 1998).cast("int"))
+    stump, tree = {"maxIter": 1, "maxDepth": 1}, {"maxIter": 1, "maxDepth": 5}
+    found = search.grid_search(stage(rows), "status", {"one cut": ("gbt", stump), "tree": ("gbt", tree)}, by_race=True, nulls="impute")
+    wrong = F.count_if(F.col("truth") != F.col("prediction"))
+    right = found.predictions.groupBy("point", "fold").agg((wrong == 0).alias("all_right"))
+    perfect = F.round("metric", 6) == 1
+    return found.scores.join(right, ["point", "fold"]).select(
+        "point", "fold", "rows", (F.col("point") == found.best).alias("best"), perfect.alias("perfect"), "all_right"
+    )
+
+
+def planted_importance(spark, sf):
+    """Importances where one column explains all: a year, and one of the constructors."""
+    rows = stage(status_training(spark, sf))
+    table = None
+    for planted, label in (("year", F.col("race_year") >= 1997), ("constructor", F.col("constructor") == "building")):
+        own = stage(rows.withColumn("dnf", F.coalesce(label, F.lit(False)).cast("int")))
+        found = inspect.importance(pipelines.fit(own, "status", nulls="impute", **_FEW_TREES), "status", own)
+        for by_source in (False, True):
+            grouped = inspect.grouped_importance(found, "status", by_source)
+            line = grouped.select(F.lit(planted).alias("planted"), F.lit(by_source).alias("by_source"), "base_feature", F.round("importance", 6).alias("importance"))
+            table = line if table is None else table.unionByName(line)
+    return table.filter("importance > 0")
+
+
+def auc_by_model(spark, sf):
+    """Areas under the curve of three scores, from one long table in one pass."""
+    rows = mapping.dump(spark, sf).scored_events
+    scores = {"given": F.col("score"), "turned": -F.col("score"), "tied": F.floor(F.col("score") / 10)}
+    lines = F.inline(F.array(*[F.struct(F.lit(k).alias("model"), v.cast("double").alias("value")) for k, v in scores.items()]))
+    return _rounded(metrics.keyed_roc_auc(rows.select("label", lines), ["model"], "label", "value"))
+
+
 def grouped_importance(spark, sf):
     train, _ = _train_test(spark, sf, "mainrace")
     model = pipelines.fit(train, "mainrace", nulls="impute", **_FEW_TREES)
@@ -776,6 +891,9 @@ _PLAIN = (
     rejected_requests,
     stream_expand_features,
     stream_predict_rank,
+    stream_lists_over_files,
+    stream_waiting_lists,
+    stream_restart,
     checked_fail_fast,
     nested_answers,
     expand_with_requested_type,
@@ -796,6 +914,7 @@ _PLAIN = (
     confusion_matrix,
     classification_report,
     roc_auc,
+    auc_by_model,
     null_profile,
     null_key_rows,
     duplicate_dates,
@@ -814,6 +933,8 @@ _PLAIN = (
     dnf_percent,
     planted_step,
     model_invariants,
+    grid_search_status,
+    planted_importance,
     grouped_importance,
     leaderboard,
     permutation_importance,

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from apexframe.learning import inspect, pipelines, splits
+from apexframe.learning import inspect, nodes, pipelines, search, splits
 from apexframe.plans import scoring
 from apexframe.schemas import MAINRACE, TASKS
 from apexframe.sources import models
@@ -121,13 +121,59 @@ def test_splits(training):
     assert left.count() + right.count() == 400 and 40 < right.count() < 120
 
 
+GRID = {"shallow": ("gbt", {"maxIter": 2, "maxDepth": 1}), "deep": ("gbt", {"maxIter": 2, "maxDepth": 4})}
+
+
 @pytest.mark.parametrize("by_race", [True, False])
 def test_grid_search(training, by_race):
-    pipeline = pipelines.build_pipeline("mainrace", "gbt", maxIter=2)
-    last = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(last.maxDepth, [1, 3]).build()
-    found = splits.grid_search(training, "mainrace", pipeline, grid, folds=2, by_race=by_race)
-    assert len(found.avgMetrics) == 2 and found.avgMetrics[1] < found.avgMetrics[0]
+    found = search.grid_search(training, "mainrace", GRID, folds=2, by_race=by_race)
+    assert found.best == "deep"
+    # Every row is predicted once by each point, and the metric is that of these predictions.
+    assert {r.point: r["count"] for r in found.predictions.groupBy("point").count().collect()} == {"shallow": 400, "deep": 400}
+    own = found.predictions.groupBy("point", "fold").agg(F.avg((F.col("truth") - F.col("prediction")) ** 2).alias("mse"), F.count("*").alias("n"))
+    for row in found.scores.join(own, ["point", "fold"]).collect():
+        assert row.rows == row.n and row.metric == pytest.approx(row.mse)
+    if by_race:
+        assert found.predictions.groupBy("race_year", "race_month", "race_day", "circuit").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_folds_are_prepared_without_their_own_rows(training):
+    rows = search.with_folds(training, "status", folds=3)
+    rare = rows.withColumn("driver", F.when(F.col("fold") == 1, F.lit("only here")).otherwise(F.col("driver")))
+    prepared = search.prepared_fold(rare, "status", 1)
+    sizes = {r.fold: (r.low, r.high) for r in prepared.groupBy("fold").agg(
+        F.min(F.size(vector_to_array("features"))).alias("low"), F.max(F.size(vector_to_array("features"))).alias("high")).collect()}
+    assert len(set(sizes.values())) == 1
+    other = search.prepared_fold(rare, "status", 0)
+    # The label is known where fold 1 is in training: one element more.
+    assert other.select(F.size(vector_to_array("features"))).first()[0] == sizes[1][0] + 1
+
+
+def test_grid_search_of_classifiers(training):
+    grid = {"weak": ("logistic", {"maxIter": 5, "regParam": 100.0}), "usual": ("logistic", {"maxIter": 20}), "tree": ("gbt", {"maxIter": 2, "maxDepth": 3})}
+    found = search.grid_search(training, "status", grid, folds=2)
+    assert found.best == "tree" and found.scores.count() == 6
+    assert found.scores.filter("metric < 0 OR metric > 1").count() == 0
+
+
+@pytest.mark.parametrize("task, estimator, settings", [
+    ("mainrace", "gbt", FEW), ("mainrace", "forest", {"numTrees": 4, "maxDepth": 4}), ("status", "gbt", FEW), ("status", "forest", {"numTrees": 4, "maxDepth": 4}),
+])
+def test_node_table_gives_the_models_importances(spark, training, task, estimator, settings):
+    last = pipelines.fit(training, task, estimator, **settings).stages[-1]
+    table = nodes.node_table(spark, last).cache()
+    got = {r.feature: r.importance for r in nodes.node_importance(table, nodes.is_forest(last)).collect()}
+    want = last.featureImportances.toArray()
+    assert max(abs(got.get(k, 0) - w) for k, w in enumerate(want)) < 1e-9 and sum(got.values()) == pytest.approx(1)
+    assert table.count() == last.totalNumNodes and table.select("tree").distinct().count() == last.getNumTrees
+    children = table.filter("feature IS NOT NULL").selectExpr("tree", "node up", "inline(array(struct(left node), struct(right node)))")
+    assert children.join(table, ["tree", "node"]).count() == children.count() == table.count() - last.getNumTrees
+    assert table.filter("feature IS NULL AND (gain IS NOT NULL OR left IS NOT NULL)").count() == 0
+
+
+def test_importance_of_a_single_leaf(spark, training):
+    flat = pipelines.fit(training.withColumn("deviation_from_median", F.lit(1.0)), "mainrace", **FEW)
+    assert inspect.importance(flat, "mainrace", training).count() == 0
 
 
 def test_importance(training, model):

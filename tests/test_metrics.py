@@ -134,3 +134,17 @@ def test_missing_scores_fail_or_are_counted(spark):
     with pytest.raises(Exception, match="null or not a number"):
         metrics.regression_errors(rows, F.col("label"), F.col("score")).collect()
     assert metrics.regression_errors(rows, F.col("label"), F.col("score"), nulls="drop").first().dropped == 2
+
+
+def test_metrics_by_key(spark):
+    rows = spark.createDataFrame(
+        [("a", 1.0, 0.9), ("a", 0.0, 0.1), ("a", 1.0, 0.1), ("b", 1.0, 0.2), ("b", 0.0, 0.7), ("c", 1.0, 0.5)], "model string, y double, p double"
+    )
+    areas = dict(metrics.keyed_roc_auc(rows, ["model"], "y", "p").collect())
+    assert areas == {"a": 0.75, "b": 0.0, "c": None}
+    for key in ("a", "b"):
+        own = rows.filter(F.col("model") == key)
+        assert metrics.roc_auc(own, "y", "p").first()[0] == areas[key]
+    errors = {r.model: r for r in metrics.keyed_regression_errors(rows, ["model"], F.col("y"), F.col("p")).collect()}
+    one = metrics.regression_errors(rows.filter("model = 'a'"), F.col("y"), F.col("p")).first()
+    assert errors["a"].mse == one.mse and errors["a"].mae == one.mae and errors["a"].r2 == one.r2 and errors["c"].mse == 0.25
