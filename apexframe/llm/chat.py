@@ -27,10 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.arrow import worker_memo
+from apexframe.llm.arrow import segment_sums, worker_memo
 
 # The template's control strings. Other roles carry their name.
 SYSTEM = ("<<SYS>>", "<</SYS>>")
@@ -194,11 +195,13 @@ def formatted(conversations: DataFrame, tokenizer: str, limit: int = SEGMENT_CHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_memo(("chat", tokenizer), lambda: Encoder(tokenizer))
         held: list[Segment] = []
+        size = 0
         for segment in segments(_rows(batches), encoder, limit):
             held.append(segment)
-            if sum(len(s.text) for s in held) >= 1 << 20:
+            size += len(segment.text)
+            if size >= 1 << 20:
                 yield _batch(held)
-                held = []
+                held, size = [], 0
         if held:
             yield _batch(held)
 
@@ -231,7 +234,9 @@ def read_back(output: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, own = [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            tokens = pc.list_value_length(batch.column("ids")).to_pylist()
+            loss = _true_counts(batch.column("loss"))
+            for row, n_tokens, n_loss in zip(batch.drop_columns(["ids", "loss"]).to_pylist(), tokens, loss, strict=True):
                 own = own if own is not None and own.conv_id == row["conv_id"] and row["segment"] else Formatted(row["conv_id"])
                 text = row["formatted"]
                 for role, content in parse(text):
@@ -242,8 +247,8 @@ def read_back(output: DataFrame) -> DataFrame:
                     own.loss_chars += len(content)
                     own.loss_hash.update(content.encode())
                 own.chars += len(text)
-                own.tokens += len(row["ids"])
-                own.loss_tokens += sum(row["loss"])
+                own.tokens += n_tokens
+                own.loss_tokens += n_loss
                 if row["last"]:
                     rows.append(own)
             if rows:
@@ -254,6 +259,12 @@ def read_back(output: DataFrame) -> DataFrame:
     return output.mapInArrow(run, out)
 
 
+def _true_counts(lists: pa.ListArray) -> list[int]:
+    """How many values of each list are true, counted in Arrow."""
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return segment_sums(lists.flatten().cast(pa.uint8()).to_numpy(), ends).tolist()
+
+
 def _digests(rows: list[Formatted]) -> pa.RecordBatch:
     numbers = {"n_turns": "turns", "loss_chars": "loss_chars", "formatted_chars": "chars", "n_tokens": "tokens", "loss_tokens": "loss_tokens"}
     found = {name: pa.array([getattr(r, attribute) for r in rows], pa.int64()) for name, attribute in numbers.items()}

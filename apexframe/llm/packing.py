@@ -32,7 +32,7 @@ CAPACITY = 2048
 FULL = 2032  # a bin with this many tokens is emitted at once
 TASK_ITEMS = 40_000
 MARKS = (".", ",")
-ITEM = "struct<doc_id: {kind}, piece: int, start: long, length: long, ids_crc32: long>"
+ITEM = "struct<doc_id: {kind}, piece: int, start: long, length: long, ids_crc32: long, offset: long>"
 
 
 class WordIds:
@@ -57,7 +57,7 @@ class WordIds:
         n, place, stems, marks, others = len(words), {}, [], [], []
         for word in words:
             stem, mark = (word[:-1], 1 + (word[-1] == ",")) if word[-1:] in MARKS else (word, 0)
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or self._letters(stem)):
                 stems.append(place.setdefault(stem.lower() if stem.isascii() else stem, len(place)))
             else:
                 stems.append(-1)
@@ -85,6 +85,12 @@ class WordIds:
         self.flat[self.size : need], self.size = found, need
         return [at, sizes]
 
+    def _letters(self, stem: str) -> bool:
+        """Whether the normaliser leaves letters only. It takes some apart into a letter
+        and a sign, and the sign joins a mark that follows."""
+        normaliser = self.tokenizer.normalizer
+        return normaliser is None or normaliser.normalize_str(stem).isalpha()
+
     def _joined(self, words: list[str], size: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids and ids of words of letters, encoded many at a time."""
         lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
@@ -150,13 +156,18 @@ def _bin_batch(bins: list[tuple[int, int, list[dict]]], schema: pa.Schema) -> pa
 
 
 def _arrow_schema(kind: pa.DataType) -> pa.Schema:
-    item = pa.struct([("doc_id", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    item = pa.struct([("doc_id", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
     return pa.schema([("bin", pa.int64()), ("total", pa.int64()), ("items", pa.list_(item))])
 
 
 def _packed(levels: np.ndarray, names: list[int], items: list[list[dict]], schema: pa.Schema, capacity: int) -> Iterator[pa.RecordBatch]:
     out = []
     for members in best_fit(levels, capacity):
+        at = 0
+        for m in members:
+            for x in items[m]:
+                x["offset"] += at  # from the place in its old bin to that in the new one
+            at += int(levels[m])
         out.append((names[members[0]], int(levels[members].sum()), [x for m in members for x in items[m]]))
     for k in range(0, len(out), 5000):
         yield _bin_batch(out[k : k + 5000], schema)
@@ -177,7 +188,7 @@ def local_bins(documents: DataFrame, tokenizer: str, id_col: str, text_col: str,
                 own = np.append(ids[places[row] : places[row + 1]], np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     part = own[start : start + capacity]
-                    items.append({"doc_id": doc, "piece": piece, "start": start, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())})
+                    items.append({"doc_id": doc, "piece": piece, "start": start, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes()), "offset": 0})
             if len(items) >= TASK_ITEMS:  # a partition of any size stays within memory
                 yield from _packed(np.array([x["length"] for x in items]), list(range(number, number + len(items))), [[x] for x in items], schema, capacity)
                 number, items = number + len(items), []
@@ -238,7 +249,5 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     bins = levels[0]
     for more in levels[1:]:
         bins = bins.unionByName(more)
-    lengths = F.transform("items", lambda x: x["length"])
-    placed = bins.select(F.col("bin").alias("sequence_id"), F.posexplode("items").alias("k", "item"), lengths.alias("lengths"))
-    offset = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select(F.col("item.doc_id").alias(id_col), "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", offset.alias("offset"))
+    placed = bins.select(F.col("bin").alias("sequence_id"), F.explode("items").alias("item"))
+    return placed.select(F.col("item.doc_id").alias(id_col), "item.piece", "item.start", "item.length", "item.ids_crc32", "sequence_id", "item.offset")

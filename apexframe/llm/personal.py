@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -291,9 +292,10 @@ def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
             continue
         for w, after in zip(words, [*words[1:], None], strict=True):
             new = _SPELLED.get(w[0].lower(), w[0])
-            # What stands between the digits of a run goes, so that they join.
+            # What stands between the digits of a run goes, so that they join; a dot
+            # right between them stays, as in an address of numbers.
             changes.append((run.start() + w.start(), run.start() + w.end(), new))
-            if after is not None:
+            if after is not None and run[0][w.end() : after.start()] != ".":
                 changes.append((run.start() + w.end(), run.start() + after.start(), ""))
     return changes
 
@@ -304,14 +306,21 @@ def find_spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[
     own = normalise(text)
     if own.text == text:
         return base, base
-    taken = sorted(s for spans in base for s in spans)
+    # Disjoint stretches that base spans cover, by start; added spans join them.
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted(s for spans in base for s in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     every = [list(spans) for spans in base]
     for spans, more in zip(every, base_spans(own.text), strict=True):
         for a, b in more:
             start, end = own.source(a, b)
-            if all(end <= s or e <= start for s, e in taken):
+            at = bisect_left(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
                 spans.append((start, end))
-                taken.append((start, end))
+                taken.insert(at, (start, end))
         spans.sort()
     return base, every
 

@@ -51,8 +51,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "warc")
-    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).first()
-    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), folder).agg(F.sum("bytes").alias("bytes")).first()["bytes"]
+    return warc.read(spark, folder, written=written or 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

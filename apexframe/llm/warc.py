@@ -125,14 +125,18 @@ def write(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, bytes long, records long")
 
 
-def splits(spark: SparkSession, folder: str, size: int = SPLIT) -> DataFrame:
+def splits(spark: SparkSession, folder: str, size: int = SPLIT, written: int | None = None) -> DataFrame:
     """Byte ranges of all archive files of a folder: path, start, end.
 
-    The driver lists the files; the ranges are cut on the executors.
+    The driver lists the files; the ranges are cut on the executors. ``written`` is
+    how many bytes there have to be: a folder that workers wrote and the driver
+    doesn't see, or not all of it, is an error.
     """
     store, base = open_store(folder)
     files = [f for f in store.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)) if f.path.endswith((".warc.gz", ".warc"))]
     rows = [(f.path, f.size) for f in files if f.size]
+    if written is not None and written != sum(s for _, s in rows):
+        raise RuntimeError(f"{folder}: {written} bytes were written, {sum(s for _, s in rows)} are there; is it a folder that all machines share?")
     listed = spark.createDataFrame(rows, "path string, size long")
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long"))
     ranges = listed.select("path", "size", F.explode(starts).alias("start"))
@@ -212,8 +216,8 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str,
                 at = content[1]
 
 
-def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
-    """Records of all archives of a folder."""
+def read(spark: SparkSession, folder: str, split: int = SPLIT, written: int | None = None) -> DataFrame:
+    """Records of all archives of a folder, which has to hold ``written`` bytes if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -228,7 +232,7 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
         if rows:
             yield _record_batch(rows)
 
-    return splits(spark, folder, split).mapInArrow(run, RECORD)
+    return splits(spark, folder, split, written).mapInArrow(run, RECORD)
 
 
 def _page(text: str | None) -> int | None:

@@ -45,6 +45,16 @@ def test_word_ids_equal_whole_texts():
             assert ids[places[k] : places[k + 1]].tolist() == expected[k][:-1], part[k]
 
 
+def test_every_letter_before_marks():
+    """All code points that are letters, alone and in a word, before a full stop and a comma."""
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x80, 0x20000) if chr(c).isalpha() and not 0x4E00 <= c <= 0x9FFF and not 0xAC00 <= c <= 0xD7A3]
+    words = [w for x in letters for w in (f"{x}.", f"a{x},")]
+    ids, places = packing.WordIds(PATH).ids(pa.array(words))
+    want = tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for k, w in enumerate(words) if ids[places[k] : places[k + 1]].tolist() != want[k].ids] == []
+
+
 def test_pack(documents, texts):
     bins, tokens = check(packing.pack(documents.repartition(6), PATH).collect(), reference(texts))
     assert bins <= 1.03 * tokens / 2048 + 1

@@ -1,3 +1,4 @@
+import time
 import random
 import re
 
@@ -107,3 +108,24 @@ def test_edges(edges, nothing):
     masked = personal.mask(edges)
     assert masked.columns == edges.columns and sorted(map(str, masked.collect())) == sorted(map(str, edges.collect()))
     assert personal.mask(nothing).count() == 0 and personal.personal_data(nothing).count() == 0
+
+
+def test_addresses_of_spelled_numbers_keep_their_dots():
+    for text in ("see 192.168.one.one now", "server 10.0.zero.five."):
+        every = personal.find_spans(text)[1]
+        assert [text[a:b] for a, b in every[personal.KINDS.index("ip")]] == [text.split()[1].rstrip(".")]
+
+
+def test_many_real_spans_and_one_disguise_take_linear_time():
+    """Also the same spans as a comparison with every span taken gives."""
+
+    def text(n):
+        return "\u0391 " + " ".join(f"user{k}@mail{k % 7}.example.org" for k in range(n)) + " me (at) example (dot) org"
+
+    seconds = []
+    for n in (5_000, 50_000):
+        start = time.perf_counter()
+        base, every = personal.find_spans(text(n))
+        seconds.append(time.perf_counter() - start)
+        assert len(base[0]) == n and len(every[0]) == n + 1
+    assert seconds[1] < 40 * seconds[0]

@@ -71,3 +71,9 @@ def test_query_equals_sql(spark):
     duckdb.sql("CREATE OR REPLACE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
     want = sorted(duckdb.sql(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({ORACLES['op5_warc']})").fetchall())
     assert sorted(map(tuple, op5_warc(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def test_archives_that_the_driver_does_not_see(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="were written"):
+        warc.read(spark, str(tmp_path / "elsewhere"), written=10)
+    assert warc.read(spark, str(tmp_path / "elsewhere"), written=0).count() == 0
