@@ -56,14 +56,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Path of a new folder, not yet made, in the application's own folder under
-    the shared one, which is deleted when the application ends."""
+    """Address of a new folder, not yet made, in the application's own folder under
+    the shared one, which is deleted when the application ends. It names its file
+    system, so that what reads it without Spark looks in the same place."""
     context = spark.sparkContext
     own = f"{shared_dir(spark).rstrip('/')}/apexframe-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(own)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     files.mkdirs(path)
     files.deleteOnExit(path)
+    own = files.makeQualified(path).toString()
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
