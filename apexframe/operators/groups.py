@@ -14,14 +14,15 @@ key get a null result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.session import stage
+from apexframe.session import stage, stage_ranges
 
 _N, _BEFORE, _TOTAL, _RANGE = "_own_rows", "_rows_before", "_group_rows", "_range"
+_WHICH, _VALUE, _RANK, _ALL = "_which", "_value", "_rank", "_all"
 
 
 def group_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -59,6 +60,23 @@ def group_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Data
     return attach(df, ranks, [*keys, value])
 
 
+def group_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """``group_rank`` for several values of one type in a single pass: ``values``
+    names the new column of each. The rows are read once and laid out once."""
+    kinds = {df.schema[value].dataType.simpleString() for value in values}
+    if len(kinds) > 1:
+        raise ValueError(f"values of several types ({', '.join(sorted(kinds))}) are ranked one by one")
+    each = [F.struct(F.lit(i).alias(_WHICH), F.col(value).alias(_VALUE)) for i, value in enumerate(values)]
+    longer = df.select(*keys, F.inline(F.array(*each)))
+    placed = value_positions(longer, [_WHICH, *keys], _VALUE)
+    ranks = stage(placed.select(_WHICH, *keys, _VALUE, (F.col(_BEFORE) + 1).alias(_RANK)))
+    for i, (value, out) in enumerate(values.items()):
+        own = ranks.filter(F.col(_WHICH) == i)
+        own = own.select(*keys, F.col(_VALUE).alias(value), F.col(_RANK).alias(out))
+        df = _looked_up(df, own, [*keys, value])
+    return df
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per group and distinct value: how often it occurs, how many rows
     of the group lie below it, and how many rows the group has."""
@@ -80,27 +98,47 @@ def running_sums(sums: DataFrame, keys: Sequence[str], value: str, measures: Seq
     """Add ``<m>_below`` and ``<m>_total`` to rows that are unique per group and
     value: the sum of measure m over the smaller values, and over the group.
 
-    The rows lie in range partitions by group and value. A partition's part of a
-    group is summed by a window; what the partitions before it hold comes from
-    one row per group and partition.
+    The rows lie in range partitions by group and value, staged as such, and are
+    summed inside them without a further shuffle. Only the first and the last
+    group of a partition can lie in others too; what those hold of it comes from
+    these edges, at most two rows a partition. Rows with a null key are left out.
     """
-    dealt = sums.repartitionByRange(*[F.col(c) for c in (*keys, value)])
-    dealt = stage(dealt.withColumn(_RANGE, F.spark_partition_id()))
-    parts = dealt.groupBy(*keys, _RANGE).agg(*[F.sum(m).alias(m) for m in measures])
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    earlier = group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(
-        *keys,
+    group = list(keys) or [_ALL]
+    known = sums.dropna(subset=group) if keys else sums.withColumn(_ALL, F.lit(0))
+    dealt = known.repartitionByRange(*[F.col(c) for c in (*group, value)])
+    dealt = stage_ranges(dealt.withColumn(_RANGE, F.spark_partition_id()), _RANGE)
+    edges = _edges(dealt, group, measures)
+    here = Window.partitionBy(*group, _RANGE)
+    inside = here.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns(
+        {f"{m}_below": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures}
+        | {f"{m}_total": F.sum(m).over(here) for m in measures}
+    )
+    # Two rows a partition, whatever the size of the table.
+    joined = dealt.join(F.broadcast(edges), [*group, _RANGE], "left")
+    return joined.select(
+        *sums.columns,
+        *[(F.col(f"{m}_below") + F.coalesce(f"_{m}_lower", F.lit(0))).alias(f"{m}_below") for m in measures],
+        *[F.coalesce(f"_{m}_whole", f"{m}_total").alias(f"{m}_total") for m in measures],
+    )
+
+
+def _edges(dealt: DataFrame, group: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """The first and the last group of each range partition, with the sums of the
+    group's parts in earlier partitions and in all. A group that lies in several
+    partitions is an edge of each of them."""
+    name, partition = F.struct(*group), Window.partitionBy(_RANGE)
+    parts = dealt.groupBy(_RANGE, *group).agg(*[F.sum(m).alias(m) for m in measures])
+    ends = parts.withColumns({"_first": F.min(name).over(partition), "_last": F.max(name).over(partition)})
+    ends = ends.filter((name == F.col("_first")) | (name == F.col("_last")))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(
+        *group,
         _RANGE,
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_lower") for m in measures],
-        *[F.sum(m).over(group).alias(f"{m}_total") for m in measures],
+        *[F.sum(m).over(whole).alias(f"_{m}_whole") for m in measures],
     )
-    inside = Window.partitionBy(*keys, _RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = {
-        f"{m}_below": F.col(f"_{m}_lower") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
-    }
-    joined = dealt.join(parts, [*keys, _RANGE]).withColumns(below)
-    return joined.drop(_RANGE, *[f"_{m}_lower" for m in measures])
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,8 +147,12 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``stats`` is staged: its size is known, so it is broadcast if it is small,
     and else both sides are shuffled and the rows of a hot key are split.
     """
-    return rows.join(stage(stats), list(keys), "left").select(
-        *rows.columns, *[c for c in stats.columns if c not in keys]
+    return _looked_up(rows, stage(stats), keys)
+
+
+def _looked_up(rows: DataFrame, staged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(staged, list(keys), "left").select(
+        *rows.columns, *[c for c in staged.columns if c not in keys]
     )
 
 

@@ -7,12 +7,13 @@ no race and no class is ever gathered in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.functions import position_weight, race_weight
-from apexframe.operators.groups import group_rank, running_sums
+from apexframe.operators.groups import group_rank, group_ranks, running_sums
 from apexframe.schemas import RACE
 
 # Columns that tell one car of one race in an evaluation.
@@ -24,6 +25,16 @@ def ranked_truth(test: DataFrame, value: str = "deviation_from_median") -> DataF
     return group_rank(test, RACE, value, "final_position")
 
 
+def ranked_both(
+    cars: DataFrame,
+    predicted: str = "predicted_deviation_from_median",
+    value: str = "deviation_from_median",
+) -> DataFrame:
+    """Predicted and true finishing order of the same rows, in one pass; both
+    values must be of one type. ``pair_sums`` takes it for both sides."""
+    return group_ranks(cars, RACE, {predicted: "predicted_final_position", value: "final_position"})
+
+
 def _meetings(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per car: how often it occurs on either side, and its least positions."""
     said, was = F.col("predicted_final_position").cast("long"), F.col("final_position").cast("long")
@@ -69,7 +80,7 @@ def duplicate_cars(rows: DataFrame) -> DataFrame:
 _WIDE = "decimal(38,0)"
 
 
-def pair_sums(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+def pair_sums(predicted: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """Sums over all pairs of a car's predicted and true rows, per car and true
     position, without writing the pairs out: their number, absolute and squared
     position errors, as decimals.
@@ -77,17 +88,22 @@ def pair_sums(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     Both sides are counted per car and position. With the number M and sum S of
     predictions below a true position t, and their totals, the sum of |t - p|
     over all predictions p is t (2 M - M_total) - (2 S - S_total).
+
+    Without ``truth``, the rows of ``predicted`` have both positions and are read
+    once.
     """
-    p, t = F.col("predicted_final_position"), F.col("final_position")
-    said = predicted.dropna(subset=[*CAR, "predicted_final_position"]).select(
-        *CAR, p.cast("long").alias("_at"), F.lit(1).alias("_m"), F.lit(0).alias("_n")
-    )
-    was = truth.dropna(subset=[*CAR, "final_position"]).select(
-        *CAR, t.cast("long").alias("_at"), F.lit(0).alias("_m"), F.lit(1).alias("_n")
-    )
+    def place(position: str, m: int, n: int) -> Column:
+        return F.struct(F.col(position).cast("long").alias("_at"), F.lit(m).alias("_m"), F.lit(n).alias("_n"))
+
+    said, was = place("predicted_final_position", 1, 0), place("final_position", 0, 1)
+    if truth is None:
+        every = predicted.select(*CAR, F.inline(F.array(said, was)))
+    else:
+        sides = ((predicted, said), (truth, was))
+        every = reduce(DataFrame.unionByName, [rows.select(*CAR, F.inline(F.array(x))) for rows, x in sides])
     at = F.col("_at").cast("decimal(20,0)")
     places = (
-        said.unionByName(was)
+        every.dropna(subset=[*CAR, "_at"])
         .groupBy(*CAR, "_at")
         .agg(F.sum("_m").cast(_WIDE).alias("_m"), F.sum("_n").cast(_WIDE).alias("_n"))
         .withColumns({"_s": (F.col("_m") * at).cast(_WIDE), "_q": (F.col("_m") * at * at).cast(_WIDE)})

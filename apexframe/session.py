@@ -79,3 +79,21 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     # The schema is given, so nothing is read to infer it.
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stage_ranges(df: DataFrame, column: str) -> DataFrame:
+    """``stage`` for rows that lie in one partition per value of ``column``: they
+    are bucketed by it, so that readers group by it, or by it and more columns,
+    without a shuffle. A task holds one value and writes one file.
+
+    Spark keeps buckets for tables of the catalog only. The table has its files in
+    the staging folder and leaves the catalog at once; the files stay.
+    """
+    spark = df.sparkSession
+    name = f"apexframe_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    writer = df.write.format("parquet").option("path", scratch_dir(spark, "ranges"))
+    writer.bucketBy(buckets, column).saveAsTable(name)
+    staged = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return staged

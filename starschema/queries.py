@@ -485,7 +485,8 @@ def _both_sides(spark, sf):
 
 
 def _pairs(spark, sf):
-    return metrics.pair_sums(*_both_sides(spark, sf))
+    cars = scoring.predict(_finishes(spark, sf), "score")
+    return metrics.pair_sums(metrics.ranked_both(cars))
 
 
 def joined_positions(spark, sf):

@@ -91,3 +91,42 @@ def test_ranks_outgrow_32_bits(spark):
     counts = spark.createDataFrame([(1, 1.0, 3_000_000_000), (1, 2.0, 1)], "k int, v double, n long")
     rows = groups.running_sums(counts, ["k"], "v", ["n"]).orderBy("v").collect()
     assert [(r.n_below, r.n_total) for r in rows] == [(0, 3_000_000_001), (3_000_000_000, 3_000_000_001)]
+
+
+def test_ranks_of_several_values_in_one_pass(skewed):
+    df, pdf = skewed
+    df = df.withColumn("w", -F.col("v"))
+    out = groups.group_ranks(df, KEYS, {"v": "r", "w": "s"})
+    assert out.columns == [*df.columns, "r", "s"] and out.count() == len(pdf)
+    compare(out, "r", pdf.groupby(KEYS).v.rank(method="min"))
+    compare(out, "s", pdf.groupby(KEYS).v.rank(method="min", ascending=False))
+    with pytest.raises(ValueError, match="several types"):
+        groups.group_ranks(df, KEYS, {"v": "r", "id": "s"})
+
+
+def test_sums_shuffle_the_ranges_once(skewed):
+    df, _ = skewed
+    counts = df.dropna().groupBy(*KEYS, "v").agg(F.count("id").alias("n"))
+    text = groups.running_sums(counts, KEYS, "v", ["n"])._jdf.queryExecution().executedPlan().toString()
+    # The staged ranges are read as buckets. What is shuffled or broadcast is the
+    # edges: the only exchanges lie on the build side of the join.
+    rows_side = text.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in rows_side and text.count("Exchange hashpartitioning") == 1
+    assert "SortMergeJoin" not in text
+
+
+def test_edges_are_two_rows_a_partition_at_most(skewed):
+    df, pdf = skewed
+    counts = df.dropna().groupBy(*KEYS, "v").agg(F.count("id").alias("n"))
+    dealt = counts.repartitionByRange(5, *KEYS, "v").withColumn("_range", F.spark_partition_id())
+    edges = groups._edges(dealt, KEYS, ["n"])
+    assert 5 <= edges.count() <= 10
+    hot = edges.filter("a = 0").orderBy("_range").collect()
+    assert len(hot) > 1 and hot[0]["_n_lower"] == 0
+    assert {r["_n_whole"] for r in hot} == {int((pdf.dropna().a == 0).sum())}
+
+
+def test_staged_tables_leave_the_catalog(spark, skewed):
+    before = {t.name for t in spark.catalog.listTables()}
+    groups.group_rank(skewed[0], KEYS, "v", "r").count()
+    assert {t.name for t in spark.catalog.listTables()} == before

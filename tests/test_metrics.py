@@ -148,3 +148,18 @@ def test_metrics_by_key(spark):
     errors = {r.model: r for r in metrics.keyed_regression_errors(rows, ["model"], F.col("y"), F.col("p")).collect()}
     one = metrics.regression_errors(rows.filter("model = 'a'"), F.col("y"), F.col("p")).first()
     assert errors["a"].mse == one.mse and errors["a"].mae == one.mae and errors["a"].r2 == one.r2 and errors["c"].mse == 0.25
+
+
+def test_pair_sums_of_one_table_equal_those_of_two_sides(spark):
+    rows = [(2001, 1, 1, "x", f"d{i % 5}", "c", float(i * 7 % 11), float(i * 5 % 13)) for i in range(40)]
+    rows.append((2001, 1, 1, "x", None, "c", 1.0, None))
+    cars = spark.createDataFrame(
+        rows,
+        "race_year int, race_month int, race_day int, circuit string, driver string, constructor string,"
+        " predicted_deviation_from_median double, deviation_from_median double",
+    )
+    predicted = metrics.group_rank(cars, metrics.RACE, "predicted_deviation_from_median", "predicted_final_position")
+    two = metrics.pair_sums(predicted, metrics.ranked_truth(cars))
+    one = metrics.pair_sums(metrics.ranked_both(cars))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert one.count() > 5
