@@ -351,6 +351,23 @@ def oracle_sql() -> dict[str, str]:
     found = _plain_sql()
     # Queries whose result follows from others'.
     found["csv_dump_training"] = found["mainrace_training"]
+    found["dump_rejects"] = """
+WITH written AS (
+  SELECT o_orderkey AS k, o_orderkey % 107 = 0 AS short, o_orderkey % 109 = 0 AND o_orderkey % 107 <> 0 AS long,
+         CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' WHEN o_orderkey % 103 = 0 THEN '""'
+              WHEN o_orderkey % 127 = 0 THEN '7.0' ELSE CAST(o_custkey AS VARCHAR) END AS customer,
+         CASE WHEN o_orderkey % 131 = 0 THEN '"1,5"' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS price,
+         CASE WHEN o_orderkey % 113 = 0 THEN strftime(o_orderdate, '%Y') || '-02-30'
+              ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day
+  FROM orders),
+found AS (
+  SELECT 'row' AS problem, CAST(NULL AS VARCHAR) AS "column",
+         concat_ws(',', k, customer, price, CASE WHEN NOT short THEN day END, CASE WHEN long THEN 'more' END) AS text
+  FROM written WHERE short OR long
+  UNION ALL SELECT 'field', 'o_custkey', customer FROM written WHERE NOT short AND NOT long AND customer = 'n/a'
+  UNION ALL SELECT 'field', 'o_totalprice', '1,5' FROM written WHERE NOT short AND NOT long AND price = '"1,5"'
+  UNION ALL SELECT 'field', 'o_orderdate', day FROM written WHERE NOT short AND NOT long AND day LIKE '%-02-30')
+SELECT problem, "column", text, count(*) AS rows FROM found GROUP BY ALL"""
     found["text_tables"] = "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region"
     found["options_fallback"] = f"""
 SELECT "driverRef", driver_nationality, CAST(driver_date_of_birth AS VARCHAR) AS driver_date_of_birth,

@@ -14,7 +14,7 @@ from apexframe.plans import build, mainrace, qualifying, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
 from apexframe.session import configure, scratch_dir, stage
 from apexframe.sources import models, tables
-from apexframe.sources.dump import FILE_PATTERN, read_dump, read_text_table
+from apexframe.sources.dump import FILE_PATTERN, csv_rejects, read_dump, read_text_table
 from apexframe.streaming import lists
 from apexframe.streaming import scoring as stream
 from starschema import mapping
@@ -823,6 +823,35 @@ def csv_dump_training(spark, sf):
     return mainrace.training(_written_dump(spark, sf)[1], YEAR_FROM)
 
 
+# Columns of the order file with faults, and where these are planted.
+_FAULTY = "o_orderkey bigint, o_custkey int, o_totalprice double, o_orderdate date"
+
+
+def dump_rejects(spark, sf):
+    """Fields and rows of a CSV file of all orders that can't be read, over its parts.
+
+    Planted: words, gaps in quotes and "7.0" in place of customers, prices of two
+    numbers, days that don't exist, and rows with a field too few or too many.
+    """
+    folder = f"{scratch_dir(spark, 'faulty')}/orders.csv"
+    line = F.expr(
+        """concat_ws(',', o_orderkey,
+            CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' WHEN o_orderkey % 103 = 0 THEN '""'
+                 WHEN o_orderkey % 127 = 0 THEN '7.0' ELSE cast(o_custkey AS string) END,
+            CASE WHEN o_orderkey % 131 = 0 THEN '"1,5"' ELSE cast(cast(floor(o_totalprice) AS bigint) AS string) END,
+            CASE WHEN o_orderkey % 107 = 0 THEN NULL
+                 WHEN o_orderkey % 113 = 0 THEN concat(date_format(o_orderdate, 'yyyy'), '-02-30')
+                 ELSE date_format(o_orderdate, 'yyyy-MM-dd') END,
+            CASE WHEN o_orderkey % 109 = 0 AND o_orderkey % 107 <> 0 THEN 'more' END)"""
+    )
+    names = ",".join(c.split()[0] for c in _FAULTY.split(", "))
+    # Lines as they are, behind a header in every part.
+    lines = table(spark, sf, "orders").select(line.alias(names))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(folder)
+    found = csv_rejects(spark, folder, _FAULTY)
+    return found.groupBy("problem", "column", "text").agg(F.sum("rows").alias("rows"))
+
+
 def text_tables(spark, sf):
     """A table of text, with one that is missing."""
     root, columns = scratch_dir(spark, "text"), ("r_regionkey", "r_name")
@@ -944,6 +973,7 @@ _PLAIN = (
     options_fallback,
     race_tables_export,
     csv_dump_training,
+    dump_rejects,
     text_tables,
     built_tables,
     model_roundtrip,

@@ -95,3 +95,31 @@ def test_years_are_pruned(spark, dump, tmp_path):
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(race_year" in plan
     assert late.count() == 0
+
+
+def test_rejects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,word,day,x\n1,a,2020-01-01,1.5\nx,b,2020-13-01,\n3.0,"",,"two"\n""," ",2020-01-02,3\n')
+    (tmp_path / "b.csv").write_text("n,word,day,x\nx,c,2020-01-01,1\n5,d\n6,e,2020-01-01,1,2\nx,f,2020-01-01,1\n")
+    got = raw.csv_rejects(spark, str(tmp_path), "n int, word string, day date, x double")
+    assert sorted(tuple(r) for r in got.fillna("-", ["column"]).collect()) == [
+        ("a.csv", "field", "day", "2020-13-01", 1),
+        ("a.csv", "field", "n", "x", 1),
+        ("a.csv", "field", "x", "two", 1),
+        ("b.csv", "field", "n", "x", 2),
+        ("b.csv", "row", "-", "5,d", 1),
+        ("b.csv", "row", "-", "6,e,2020-01-01,1,2", 1),
+    ]
+    # Only the columns that are asked for are looked at, but rows as a whole.
+    assert {r.problem for r in raw.csv_rejects(spark, str(tmp_path), "word string").collect()} == {"row"}
+    with pytest.raises(ValueError, match="no_such"):
+        raw.csv_rejects(spark, str(tmp_path), "no_such int")
+
+
+def test_rejects_of_a_dump(spark, folder):
+    places = [str(folder / f"formula_one_{name}.csv") for name in ("weather", "circuit_type")]
+    assert raw.dump_rejects(spark, str(folder), *places).count() == 0
+    lap = (folder / "formula_one_lap.csv").read_text().splitlines()
+    header, row = lap[0].split(","), lap[1].split(",")
+    row[header.index("session_entry_id")] = "??"
+    (folder / "bad_lap.csv").write_text("\n".join([lap[0], ",".join(row)]))
+    assert raw.csv_rejects(spark, str(folder / "bad_lap.csv"), DUMP["lap"]).first().text == "??"
