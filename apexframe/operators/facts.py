@@ -98,13 +98,17 @@ def session_entries(dump: Dump, types: Sequence[str]) -> DataFrame:
     )
 
 
-def with_first_race(entries: DataFrame, date: str = "date") -> DataFrame:
-    """Add each driver's earliest date among these entries.
+def with_first_race(entries: DataFrame, date: str = "date", earlier: DataFrame | None = None) -> DataFrame:
+    """Add each driver's earliest date among these entries, and among ``earlier``
+    debuts (``driver_id, first_race_date``) if entries of other years are left out.
 
     An aggregate joined back, not a window: a driver with very many entries
     is combined before the shuffle.
     """
     debut = first_race_dates(entries, date)
+    if earlier is not None:
+        both = debut.unionByName(earlier.select("driver_id", "first_race_date"))
+        debut = first_race_dates(both, "first_race_date")
     return entries.join(debut, "driver_id", "left")
 
 
@@ -151,26 +155,44 @@ def with_home_flags(entries: DataFrame) -> DataFrame:
     )
 
 
-def race_entries(dump: Dump, year_from: int = 1981) -> DataFrame:
+def dated_race_entries(dump: Dump) -> DataFrame:
+    """Race entries of all years with a result, dated by their round."""
+    entries = session_entries(dump, RACE_SESSIONS).filter(F.col("is_classified").isNotNull())
+    return entries.withColumn("date", F.col("round_date"))
+
+
+def dated_qualifying_entries(dump: Dump, laps_seen: DataFrame) -> DataFrame:
+    """Qualifying entries of all years with a row in ``laps_seen``, dated by session."""
+    entries = session_entries(dump, QUALIFYING_SESSIONS).join(laps_seen, "session_entry_id")
+    return entries.withColumn("date", F.col("session_date"))
+
+
+def race_entries(dump: Dump, year_from: int = 1981, earlier: DataFrame | None = None) -> DataFrame:
     """Classified-or-not race entries with every feature that needs no laps.
 
-    The year filter comes after the debut date, so earlier debuts count.
+    The year filter comes after the debut date, so earlier debuts count. With
+    ``earlier`` debuts it comes first, and entries of earlier years aren't read.
     """
-    entries = session_entries(dump, RACE_SESSIONS).filter(F.col("is_classified").isNotNull())
-    # Computed once: the debut dates and the features both read it.
-    entries = stage(entries.withColumn("date", F.col("round_date")).select(*_RACE_COLUMNS))
-    entries = with_first_race(entries).filter(F.year("date") >= year_from)
+    entries = dated_race_entries(dump).select(*_RACE_COLUMNS)
+    entries = _with_debut(entries, year_from, earlier)
     entries = with_weather(entries, dump.weather)
     return _featured(entries, dump)
 
 
-def qualifying_entries(dump: Dump, laps_seen: DataFrame, year_from: int = 1981) -> DataFrame:
+def qualifying_entries(
+    dump: Dump, laps_seen: DataFrame, year_from: int = 1981, earlier: DataFrame | None = None
+) -> DataFrame:
     """Qualifying entries that have a row in ``laps_seen``, dated by session."""
-    entries = session_entries(dump, QUALIFYING_SESSIONS).join(laps_seen, "session_entry_id")
-    entries = entries.withColumn("date", F.col("session_date"))
-    entries = stage(entries.select(*_ID_COLUMNS, "date", *laps_seen.columns))
-    entries = with_first_race(entries).filter(F.year("date") >= year_from)
-    return _featured(entries, dump)
+    entries = dated_qualifying_entries(dump, laps_seen)
+    entries = entries.select(*_ID_COLUMNS, "date", *laps_seen.columns)
+    return _featured(_with_debut(entries, year_from, earlier), dump)
+
+
+def _with_debut(entries: DataFrame, year_from: int, earlier: DataFrame | None) -> DataFrame:
+    late = F.year("date") >= year_from
+    # Computed once: the debut dates and the features both read it.
+    entries = stage(entries if earlier is None else entries.filter(late))
+    return with_first_race(entries, earlier=earlier).filter(late)
 
 
 def _featured(entries: DataFrame, dump: Dump) -> DataFrame:

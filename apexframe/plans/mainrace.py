@@ -38,9 +38,9 @@ ATTRIBUTES = (
 TRAINING = (*MAINRACE.features, MAINRACE.target, "final_position")
 
 
-def entries(dump: Dump, year_from: int = 1981) -> DataFrame:
+def entries(dump: Dump, year_from: int = 1981, earlier: DataFrame | None = None) -> DataFrame:
     """Race entries with their features and the session time in milliseconds."""
-    cars = facts.race_entries(dump, year_from)
+    cars = facts.race_entries(dump, year_from, earlier)
     session_ms = F.coalesce(time_to_ms(F.col("session_time")), F.lit(0))
     return cars.select("session_entry_id", session_ms.alias("milliseconds"), *[
         c for c in ATTRIBUTES if c != "milliseconds"

@@ -32,11 +32,13 @@ ATTRIBUTES = (
 TRAINING = (*QUALIFYING.features, QUALIFYING.target)
 
 
-def entries(dump: Dump, year_from: int = 1981, skip_deleted: bool = False) -> DataFrame:
+def entries(
+    dump: Dump, year_from: int = 1981, skip_deleted: bool = False, earlier: DataFrame | None = None
+) -> DataFrame:
     """Qualifying entries with the fastest lap each; laps are reduced to one row
     per entry before they meet any other table."""
     best = rollup.best_lap_per_entry(rollup.lap_times(dump.lap, skip_deleted))
-    return facts.qualifying_entries(dump, best, year_from)
+    return facts.qualifying_entries(dump, best, year_from, earlier)
 
 
 def best_laps(cars: DataFrame) -> DataFrame:

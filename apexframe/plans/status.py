@@ -34,9 +34,9 @@ ATTRIBUTES = (
 TRAINING = (*STATUS.features, STATUS.target)
 
 
-def entries(dump: Dump, year_from: int = 1981) -> DataFrame:
+def entries(dump: Dump, year_from: int = 1981, earlier: DataFrame | None = None) -> DataFrame:
     """Distinct race entries. Laps would only multiply rows, so they stay out."""
-    return facts.race_entries(dump, year_from).select(*ATTRIBUTES).distinct()
+    return facts.race_entries(dump, year_from, earlier).select(*ATTRIBUTES).distinct()
 
 
 def training(

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from apexframe.schemas import TASKS
+from apexframe.session import stage
 from apexframe.sources.dump import is_missing
 
 YEAR = "race_year"
@@ -32,10 +33,31 @@ def write_training(df: DataFrame, root: str, task: str) -> str:
     and splits a year that is too large for one task.
     """
     path = f"{root}/training_{task}"
-    df.hint("rebalance", YEAR).write.mode("overwrite").partitionBy(YEAR).parquet(path)
+    write_years(df, path)
     return path
 
 
+def write_years(df: DataFrame, path: str) -> None:
+    df.hint("rebalance", YEAR).write.mode("overwrite").partitionBy(YEAR).parquet(path)
+
+
+def replace_years(df: DataFrame, path: str, since: int) -> None:
+    """Replace the directories of the years from ``since`` on by those of ``df``,
+    which has no earlier year; a year that has no rows any more goes."""
+    spark, df = df.sparkSession, stage(df)
+    years = {row[0] for row in df.select(YEAR).distinct().collect()}  # one row a calendar year
+    if any(year is None or year < since for year in years):
+        raise ValueError(f"rows without a year or before {since}")
+    writer = df.hint("rebalance", YEAR).write.mode("overwrite").partitionBy(YEAR)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        year = status.getPath().getName().removeprefix(f"{YEAR}=")
+        if year.isdecimal() and int(year) >= since and int(year) not in years:
+            files.delete(status.getPath(), True)
+
+
 def read_training(spark: SparkSession, root: str, task: str, year_from: int | None = None) -> DataFrame:
     """Features, target and whatever else the table keeps; ``year_from`` skips
     the directories of earlier years."""

@@ -350,6 +350,7 @@ SELECT DISTINCT circuit AS "circuitRef", circuit_nationality FROM {entries}"""
 def oracle_sql() -> dict[str, str]:
     found = _plain_sql()
     # Queries whose result follows from others'.
+    found["rebuilt_years"] = found["status_training"]
     found["csv_dump_training"] = found["mainrace_training"]
     found["dump_rejects"] = """
 WITH written AS (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from apexframe import functions as fx
 from apexframe.learning import inspect, pipelines, search, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
-from apexframe.plans import build, mainrace, qualifying, scoring, status
+from apexframe.plans import build, mainrace, qualifying, rebuild, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
 from apexframe.session import configure, scratch_dir, stage
 from apexframe.sources import models, tables
@@ -786,6 +786,22 @@ def training_roundtrip(spark, sf):
     return tables.read_training(spark, root, "status", year_from=1999)
 
 
+def rebuilt_years(spark, sf):
+    """The status table after its years from 1997 on were spoilt, with a year that
+    doesn't exist and debuts that are too early, and then rebuilt."""
+    root, dump, since = scratch_dir(spark, "years"), mapping.dump(spark, sf), 1997
+    rebuild.build_years(dump, root, "status", YEAR_FROM)
+    training, debuts = (spark.read.parquet(f"{root}/{name}_status") for name in ("training", "debuts"))
+    late = F.col("race_year") >= since
+    spoilt = training.filter(late).withColumn("dnf", 1 - F.col("dnf"))
+    spoilt = spoilt.unionByName(spoilt.withColumn("race_year", F.lit(2050)))
+    tables.replace_years(spoilt, f"{root}/training_status", since)
+    early = debuts.filter(late).withColumn("first_race_date", F.date_sub("first_race_date", 20_000))
+    tables.replace_years(early, f"{root}/debuts_status", since)
+    rebuild.rebuild_years(dump, root, "status", since, YEAR_FROM)
+    return tables.read_training(spark, root, "status")
+
+
 def options_roundtrip(spark, sf):
     """The driver pick list as text; the dimension would be the fallback."""
     root = scratch_dir(spark, "options")
@@ -969,6 +985,7 @@ _PLAIN = (
     leaderboard,
     permutation_importance,
     training_roundtrip,
+    rebuilt_years,
     options_roundtrip,
     options_fallback,
     race_tables_export,

@@ -1,7 +1,7 @@
 import pytest
 from fixtures import clock, small_dump
 
-from apexframe.plans import build, mainrace, status
+from apexframe.plans import build, mainrace, qualifying, rebuild, status
 from apexframe.schemas import DUMP
 from apexframe.sources import dump as raw
 from apexframe.sources import tables
@@ -123,3 +123,40 @@ def test_rejects_of_a_dump(spark, folder):
     row[header.index("session_entry_id")] = "??"
     (folder / "bad_lap.csv").write_text("\n".join([lap[0], ",".join(row)]))
     assert raw.csv_rejects(spark, str(folder / "bad_lap.csv"), DUMP["lap"]).first().text == "??"
+
+
+@pytest.mark.parametrize("task", ["mainrace", "status", "qualifying"])
+def test_rebuilt_years_equal_a_full_build(spark, dump, tmp_path, task):
+    root, source = str(tmp_path), {"mainrace": mainrace, "status": status, "qualifying": qualifying}[task]
+    rebuild.build_years(dump, root, task, 1979)
+    want = sorted(map(str, tables.read_training(spark, root, task).collect()))
+
+    def stamps(before):
+        return {
+            p: p.stat().st_mtime_ns
+            for p in tmp_path.rglob("*.parquet")
+            if int(p.parent.name.split("=")[1]) < before
+        }
+
+    old = stamps(1985)
+    rebuild.rebuild_years(dump, root, task, 1985, 1979)
+    assert stamps(1985) == old
+    assert sorted(map(str, tables.read_training(spark, root, task).collect())) == want
+    assert sorted(map(str, source.training(dump, 1979).collect())) == want
+    with pytest.raises(ValueError, match="starts in"):
+        rebuild.rebuild_years(dump, root, task, 1970, 1979)
+
+
+def test_replaced_years(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def table(*rows):
+        return spark.createDataFrame(rows, "v int, race_year int")
+
+    tables.write_years(table((1, 2000), (2, 2001), (3, 2002)), path)
+    tables.replace_years(table((4, 2001)), path, 2001)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 2000), (4, 2001)]
+    with pytest.raises(ValueError, match="before 2001"):
+        tables.replace_years(table((5, 2000)), path, 2001)
+    tables.replace_years(table((4, 2001)).limit(0), path, 2001)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(1, 2000)]
