@@ -174,14 +174,17 @@ class Predictor:
         return names, score, score < self.model.threshold
 
 
-def fit(documents: DataFrame, rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(documents: DataFrame, rows: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = 500) -> Model | None:
     """Model from about ``rows`` labelled documents of each language (the documented bound of the fit).
 
     The held-out fold and null labels are left out. A document is taken if the
-    hash of its id falls below the share that its language needs.
+    hash of its id falls below the share that its language needs. At most
+    ``languages`` are learned, the most frequent ones, so that what the driver holds
+    is bounded whatever a dirty column says; ties are taken by name.
     """
     usable = documents.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    frequent = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(languages)
+    counts = {r[0]: r[1] for r in frequent.collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows / n))])

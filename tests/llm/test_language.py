@@ -42,3 +42,51 @@ def test_edges(edges, nothing):
 
     unlabelled = edges.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def _plain_rows(word: str) -> list[int]:
+    """Embedding rows of a word by definition: its letter groups with edges, and the word itself."""
+    mask = (1 << 64) - 1
+
+    def mixed(x: int) -> int:
+        return int(language.mix(np.array([x & mask], np.uint64))[0])
+
+    marked, rows = f"<{word}>", []
+    for n in (2, 3, 4):
+        for k in range(len(marked) - n + 1):
+            number = 0
+            for size, char in enumerate(marked[k : k + n], 1):
+                number = mixed(number * 0x100000001B3 + ord(char) + size)
+            rows.append(number % language.ROWS)
+    total = sum(mixed(ord(c) + k * 0x9E3779B97F4A7C15) for k, c in enumerate(marked))
+    return [*rows, mixed(total) % language.ROWS]
+
+
+def test_predictions_equal_a_plain_mean_of_subwords(documents):
+    import pyarrow as pa
+    import regex
+
+    model = language.fit(documents)
+    texts = [r.text for r in documents.where("text is not null").orderBy("doc_id").limit(200).collect()]
+    texts += ["", "12 3", "é", "a-b c_d", "ЖЖ 漢字"]
+    names, score, _ = language.Predictor(model).predict(pa.array(texts))
+    known: dict[str, list[int]] = {}
+    for text, name, value in zip(texts, names, score, strict=True):
+        words = regex.findall(r"\p{L}+", text.lower())
+        known |= {w: _plain_rows(w) for w in words if w not in known}
+        rows = [r for w in words for r in known[w]]
+        if not rows:
+            assert (name, value) == ("und", 0)
+            continue
+        z = model.scores[rows].astype(np.float64).mean(0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(p.max() - value) < 1e-4 and p[model.languages.index(name)] > p.max() - 1e-4
+
+
+def test_languages_are_bounded(documents):
+    from apexframe.llm.arrow import held_out
+
+    learned = documents.where(~held_out("doc_id")).where("lang is not null and text is not null")
+    common = learned.groupBy("lang").count().orderBy("count", ascending=False).collect()
+    model = language.fit(documents, languages=2)
+    assert len(model.languages) == 2 and {r["count"] for r in common if r.lang in model.languages} == {r["count"] for r in common[:2]}

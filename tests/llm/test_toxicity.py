@@ -78,3 +78,44 @@ def test_edges(edges, nothing, labels):
 def test_empty_texts_have_the_lowest_score(model):
     scores = model.probability(toxicity.Scorer(model).raw(pa.array(["", " ", "the of and", "idiot"])))
     assert scores[0] == scores[1] == scores.min() and 0 <= scores.min() and scores.max() <= 1
+
+
+def _plain_kernel(left: str, right: str) -> float:
+    """The kernel of two words by definition: every triple of letters within five characters."""
+    import math
+    import unicodedata
+
+    def letter(char: str):
+        if char == "\x02":
+            return "edge"
+        if not char.isalpha():
+            return None
+        base = unicodedata.normalize("NFKD", char)[0].lower()
+        return base if "a" <= base <= "z" else ord(char) % 4
+
+    def triples(word: str):
+        own = [letter(c) for c in f"\x02{word}\x02"]
+        for i in range(len(own)):
+            for j in range(i + 1, min(i + 5, len(own))):
+                for k in range(j + 1, min(i + 5, len(own))):
+                    if None not in (own[i], own[j], own[k]):
+                        yield (own[i], own[j], own[k]), 0.6 ** (k - i + 1)
+
+    ours, theirs = list(triples(left)), {}
+    for triple, weight in triples(right):
+        theirs[triple] = theirs.get(triple, 0) + weight
+    norm = math.sqrt(sum(w * w for _, w in ours)) * math.sqrt(sum(w * w for w in theirs.values()))
+    return sum(w * theirs.get(t, 0) for t, w in ours) / norm if norm else 0.0
+
+
+def test_kernel_equals_its_definition(documents):
+    landmarks = ["idiot", "worthless", "thing", "été"]
+    texts = [r.text for r in documents.where("text is not null").orderBy("doc_id").limit(200).collect()]
+    words = sorted({w for t in texts for w in [*toxicity.windows(t), *toxicity.joined(t)] if len(w) <= 30})
+    words = [*words, "i*d*i*o*t", "id-iot", "ЖЖЖ", "a", "12", "été", "naïve"]
+    basis, _ = toxicity.dense_features(landmarks)
+    got = toxicity.projections(words, basis.T.copy())
+    for k, landmark in enumerate(landmarks):
+        want = [_plain_kernel(w, landmark) for w in words]
+        assert got[:, k] == pytest.approx(want, abs=1e-4)
+    assert (got > 0.2).any() and len(words) > 200
