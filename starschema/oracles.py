@@ -385,6 +385,9 @@ SELECT "driverRef", driver_nationality, CAST(driver_date_of_birth AS VARCHAR) AS
     found["planted_step"] = f"""
 SELECT race_year, race_month, race_day, circuit, driver, constructor, CAST(race_year >= 1997 AS INTEGER) AS dnf
 FROM ({found["status_training"]}) WHERE {bucket} < 20"""
+    found["planted_forest"] = f"""
+SELECT race_year, race_month, race_day, circuit, driver, constructor, CAST(CASE WHEN race_year >= 1997 THEN 5 ELSE -3 END AS DOUBLE) AS deviation
+FROM ({found["qualifying_training"]}) WHERE {bucket} < 20"""
     found["model_invariants"] = f"""
 SELECT 'main-race rows' AS fact, CAST(count(*) AS DOUBLE) AS value FROM ({found["mainrace_training"]}) WHERE {bucket} < 20
 UNION ALL SELECT 'wrong ranks', 0 UNION ALL SELECT 'importance', 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexframe import functions as fx
-from apexframe.learning import inspect, pipelines, search, splits
+from apexframe.learning import forests, inspect, pipelines, search, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
 from apexframe.plans import build, mainrace, qualifying, rebuild, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
@@ -687,6 +687,18 @@ def planted_step(spark, sf):
     return predicted.select(*RACE, "driver", "constructor", F.col("prediction").cast("int").alias("dnf"))
 
 
+def planted_forest(spark, sf):
+    """Predicted deviation where it is made a step function of the year: all 800
+    trees of depth 30, in four parts. The first fit ends after a part, the second
+    goes on from there."""
+    step = F.when(F.col("race_year") >= 1997, 5.0).otherwise(-3.0)
+    train, test = splits.split_by_race(stage(qualifying_training(spark, sf).withColumn("deviation_from_median", step)))
+    fit = {"training": train, "task": "qualifying", "folder": scratch_dir(spark, "forest"), "part_trees": 200, "nulls": "impute"}
+    forests.fit_parts(**fit, at_most=1)
+    predicted = scoring.predict(test, forests.fit_in_parts(**fit))
+    return predicted.select(*RACE, "driver", "constructor", F.round(scoring.PREDICTED, 6).alias("deviation"))
+
+
 def model_invariants(spark, sf):
     """Counts that hold for any fitted model: rows, wrong ranks, percentages out
     of range, and the sum of the importances by base feature."""
@@ -978,6 +990,7 @@ _PLAIN = (
     qualifying_predict_rank,
     dnf_percent,
     planted_step,
+    planted_forest,
     model_invariants,
     grid_search_status,
     planted_importance,
