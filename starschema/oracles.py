@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from apexframe.schemas import TASKS
+
 YEAR_FROM = 1996
 
 # --- shared subqueries ------------------------------------------------------
@@ -388,6 +390,18 @@ FROM ({found["status_training"]}) WHERE {bucket} < 20"""
     found["planted_forest"] = f"""
 SELECT race_year, race_month, race_day, circuit, driver, constructor, CAST(CASE WHEN race_year >= 1997 THEN 5 ELSE -3 END AS DOUBLE) AS deviation
 FROM ({found["qualifying_training"]}) WHERE {bucket} < 20"""
+    labelled = TASKS["status"].categorical
+    labels = " UNION ".join(f"SELECT {k} AS k, CAST({c} AS VARCHAR) AS label FROM fitted" for k, c in enumerate(labelled))
+    joins = "\n".join(f"LEFT JOIN placed AS p{k} ON p{k}.k = {k} AND p{k}.label = CAST(t.{c} AS VARCHAR)" for k, c in enumerate(labelled))
+    ones = " + ".join(f"CAST(p{k}.label IS NOT NULL AS INTEGER)" for k in range(len(labelled)))
+    places = ", ".join(f"p{k}.element AS element_{c}" for k, c in enumerate(labelled))
+    found["unseen_categories"] = f"""
+WITH t AS ({found["status_training"]}), fitted AS (SELECT * FROM t WHERE {bucket} >= 20 AND constructor <> 'building'),
+labels AS ({labels}),
+placed AS (SELECT k, label, CAST({len(TASKS["status"].numeric)} + row_number() OVER (ORDER BY k, label) - 1 AS INTEGER) AS element
+           FROM labels WHERE label IS NOT NULL)
+SELECT t.race_year, t.race_month, t.race_day, t.circuit, t.driver, t.constructor, {ones} AS ones, {places}
+FROM t {joins}"""
     found["model_invariants"] = f"""
 SELECT 'main-race rows' AS fact, CAST(count(*) AS DOUBLE) AS value FROM ({found["mainrace_training"]}) WHERE {bucket} < 20
 UNION ALL SELECT 'wrong ranks', 0 UNION ALL SELECT 'importance', 1

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexframe import functions as fx
-from apexframe.learning import forests, inspect, pipelines, search, splits
+from apexframe.learning import categories, forests, inspect, pipelines, search, splits
 from apexframe.operators import dimensions, facts, groups, lookup, metrics, quality, rollup
 from apexframe.plans import build, mainrace, qualifying, rebuild, scoring, status
 from apexframe.schemas import DUMP, RACE, TASKS
@@ -699,6 +699,17 @@ def planted_forest(spark, sf):
     return predicted.select(*RACE, "driver", "constructor", F.round(scoring.PREDICTED, 6).alias("deviation"))
 
 
+def unseen_categories(spark, sf):
+    """Places of the categories in the feature vector, where the rows of one
+    constructor were left out of the fit: null for it and other unknown labels."""
+    task, rows = TASKS["status"], stage(status_training(spark, sf))
+    train, _ = splits.split_by_race(rows)
+    known = categories.dictionary(train.filter("constructor <> 'building'"), task.categorical)
+    placed = categories.elements(rows, known, len(task.numeric))
+    each = [F.col(f"element_{c}") for c in task.categorical]
+    return placed.select(*RACE, "driver", "constructor", F.size(F.array_compact(F.array(*each))).alias("ones"), *each)
+
+
 def model_invariants(spark, sf):
     """Counts that hold for any fitted model: rows, wrong ranks, percentages out
     of range, and the sum of the importances by base feature."""
@@ -991,6 +1002,7 @@ _PLAIN = (
     dnf_percent,
     planted_step,
     planted_forest,
+    unseen_categories,
     model_invariants,
     grid_search_status,
     planted_importance,
