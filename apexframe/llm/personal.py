@@ -2,8 +2,8 @@
 
 Base spans follow fixed patterns on the text as it is. For disguises, small
 transducers rewrite the text step by step: letters that look like others and
-full-width forms become ASCII and invisible characters go; spelled digits become
-digits; "at" and "dot" in brackets, or spelled out between words, become signs, and
+full-width forms become ASCII and invisible characters go; spelled digits, and letters
+that pose as digits among digits, become digits; "at" and "dot" in brackets, or spelled out between words, become signs, and
 blanks around an @ before a domain go. "x at y.z" with ordinary dots is an address if
 x looks like an account, a word such as "mail" leads to it, or it stands by itself.
 Every rewritten character keeps the place of its source, so that what the same
@@ -91,6 +91,12 @@ _SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _SPELLED_RUN = re.compile(r"(?<![^\W_])(?:(?:{0}|[0-9]+)(?:[ \-.,]+|$|(?=\W))){{4,}}".format("|".join(sorted(_SPELLED, key=len, reverse=True))), re.IGNORECASE)
+_SPELLED_DOT = re.compile(r"(?<![^\W_])({0}|[0-9]++)\x20++dot\x20++(?=(?:{0}|[0-9]++)(?![^\W_]))".format("|".join(sorted(_SPELLED, key=len, reverse=True))), re.IGNORECASE)
+# Signs that pose as digits; fixed values.
+_POSING = {"l": "1", "I": "1", "|": "1", "O": "0", "o": "0"}
+_POSED = re.compile(r"[0-9][lI|Oo]|[lI|Oo][0-9]")
+_POSED_RUN = re.compile(r"(?<![\w|])[0-9lI|Oo]++(?![\w|])(?:[ .()-]{1,3}+[0-9lI|Oo]++(?![\w|]))*+")
+_POSED_WORD = re.compile(r"[0-9lI|Oo]+")
 _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
 _PLUS = re.compile(r"(?<!\w)(?:plus|más)\s+(?=\+?[0-9])", re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punto|point|punkt|\.)\s*[\])}>]", re.IGNORECASE)
@@ -175,8 +181,11 @@ def normalise(text: str) -> Tracked:
         own.rewrite(_spelled_addresses(own.text))
     if "dot" in lower:
         own.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(own.text)])
+        own.rewrite([(m.end(1), m.end(), ".") for m in _SPELLED_DOT.finditer(own.text)])
     if not _SPELLED.keys().isdisjoint(_SPELLED_WORD.findall(lower)):
         own.rewrite(_spelled_digits(own.text))
+    if _POSED.search(own.text):
+        own.rewrite(_posed_digits(own.text))
     if "plus" in lower or "más" in lower:
         own.rewrite([(*m.span(), "" if own.text[m.end() : m.end() + 1] == "+" else "+") for m in _PLUS.finditer(own.text)])
     return own
@@ -223,6 +232,7 @@ def _domain_end(text: str, start: int, real: bool) -> tuple[int | None, list[tup
     first = label[0].lower()
     dots: list[tuple[int, int]] = []
     best, n_best, wide, spelled = None, 0, False, False
+    numbers = _is_number(first)
     while between := _BETWEEN.match(text, label.end()):
         label = _LABEL.match(text, between.end())
         dots.append(between.span())
@@ -230,7 +240,10 @@ def _domain_end(text: str, start: int, real: bool) -> tuple[int | None, list[tup
         wide |= between["wide"] is not None
         spelled |= word
         last = label[0].lower()
-        if word and last in _ENDINGS:
+        numbers = numbers and _is_number(last)
+        if numbers:  # the parts of an IP address
+            good = False
+        elif word and last in _ENDINGS:
             good = True
         elif wide or not _LAST.match(last):
             good = False
@@ -283,6 +296,29 @@ def _is_address(text: str, start: int, at: int, end: int, spelled: bool) -> bool
     return alone and _ALONE_END.match(text, end) is not None
 
 
+def _is_number(label: str) -> bool:
+    return label in _SPELLED or label.isdigit()
+
+
+def _posed_digits(text: str) -> list[tuple[int, int, str]]:
+    """Changes that turn signs posing as digits into digits.
+
+    Only runs of such words count that have a sign right beside a digit. There, words
+    with a digit are rewritten, and words without one between two that have.
+    """
+    changes = []
+    for run in _POSED_RUN.finditer(text):
+        if not _POSED.search(run[0]):
+            continue
+        words = list(_POSED_WORD.finditer(run[0]))
+        real = [False, *(_DIGIT.search(w[0]) is not None for w in words), False]
+        for k, w in enumerate(words, 1):
+            if real[k] or (real[k - 1] and real[k + 1]):
+                at = run.start() + w.start()
+                changes += [(at + i, at + i + 1, _POSING[char]) for i, char in enumerate(w[0]) if char in _POSING]
+    return changes
+
+
 def _spelled_digits(text: str) -> list[tuple[int, int, str]]:
     """Changes that turn the runs of spelled digits into digits."""
     changes = []

@@ -1,6 +1,6 @@
-import time
 import random
 import re
+import time
 
 import pytest
 
@@ -129,3 +129,34 @@ def test_many_real_spans_and_one_disguise_take_linear_time():
         seconds.append(time.perf_counter() - start)
         assert len(base[0]) == n and len(every[0]) == n + 1
     assert seconds[1] < 40 * seconds[0]
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("card 4l11 1111 1111 1111 lol", "card", "4l11 1111 1111 1111"),
+        ("card 4111-1I11-1111-11|1.", "card", "4111-1I11-1111-11|1"),
+        ("call +44 2O 7946 o958 I said", "phone", "+44 2O 7946 o958"),
+        ("host 10.O.0.1l up", "ip", "10.O.0.1l"),
+        ("server 10 dot 0 dot zero dot five up", "ip", "10 dot 0 dot zero dot five"),
+        ("server at 10 dot 0 dot zero dot five up", "ip", "10 dot 0 dot zero dot five"),
+        ("one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+    ],
+)
+def test_posing_digits_and_spelled_dots(text, kind, found):
+    every = personal.find_spans(text)[1]
+    at = text.index(found)
+    assert [len(x) for x in every] == [int(k == kind) for k in personal.KINDS]
+    assert every[personal.KINDS.index(kind)] == [(at, at + len(found))]
+
+
+@pytest.mark.parametrize("text", ["lol 10l of oil", "I ran 10 I 20 o 30", "Illo 1o lO", "4l12 1111 1111 1111", "one dot two dot three"])
+def test_words_like_digits_stay(text):
+    assert not any(personal.find_spans(text)[1])
+
+
+def test_posing_digits_take_linear_time():
+    for text in ("|" * 200_000 + "x", "1l " * 60_000, "l " * 100_000 + "1l", "1l." * 60_000 + "x", "one" + " " * 200_000 + "dot", "one dot " * 40_000, "1 dot " * 40_000):
+        began = time.process_time()
+        personal.find_spans(text)
+        assert time.process_time() - began < 5
