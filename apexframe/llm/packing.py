@@ -49,15 +49,17 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
+        self.seen, self.apart = set(map(chr, range(128))), set()
         self.memo = Memo(self._encode)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         """Places of the words' ids in ``flat``. Marks at a word's end are words of their own
         to the tokenizer, so plain words with and without them share one encoding."""
-        n, place, stems, marks, others = len(words), {}, [], [], []
+        place, stems, marks, others = {}, [], [], []
+        self._look_at(set("".join(words)))
         for word in words:
-            stem, mark = (word[:-1], 1 + (word[-1] == ",")) if word[-1:] in MARKS else (word, 0)
-            if stem.isalpha() and (stem.isascii() or self._letters(stem)):
+            stem, mark = (word, 0) if word.isalpha() else (word[:-1], 1 + (word[-1] == ",")) if word[-1:] in MARKS else ("", 0)
+            if stem.isalpha() and (stem.isascii() or self.apart.isdisjoint(stem)):
                 stems.append(place.setdefault(stem.lower() if stem.isascii() else stem, len(place)))
             else:
                 stems.append(-1)
@@ -85,11 +87,14 @@ class WordIds:
         self.flat[self.size : need], self.size = found, need
         return [at, sizes]
 
-    def _letters(self, stem: str) -> bool:
-        """Whether the normaliser leaves letters only. It takes some apart into a letter
-        and a sign, and the sign joins a mark that follows."""
+    def _look_at(self, chars: set[str]) -> None:
+        """Note the letters of which the normaliser doesn't leave letters only. It takes
+        some apart into a letter and a sign, and the sign joins a mark that follows."""
         normaliser = self.tokenizer.normalizer
-        return normaliser is None or normaliser.normalize_str(stem).isalpha()
+        for char in chars - self.seen:
+            if normaliser is not None and char.isalpha() and not normaliser.normalize_str(char).isalpha():
+                self.apart.add(char)
+        self.seen |= chars
 
     def _joined(self, words: list[str], size: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids and ids of words of letters, encoded many at a time."""
