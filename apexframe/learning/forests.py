@@ -19,7 +19,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.learning.pipelines import build_pipeline, is_classification, learner, robust_scales, usable
+from apexframe.learning.pipelines import build_pipeline, fit_last, is_classification, laid_out, learner, robust_scales, usable
 from apexframe.schemas import TASKS
 from apexframe.session import scratch_dir, stage
 from apexframe.sources.dump import is_missing
@@ -61,8 +61,7 @@ def fit_parts(
         stages = build_pipeline(task, scales=scales, impute=nulls == "impute").getStages()[:-1]
         prepared = Pipeline(stages=stages).fit(rows)
         prepared.write().overwrite().save(f"{folder}/prepared")
-        vectors = prepared.transform(rows).select(chosen.target, "features")
-        vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+        laid_out(prepared, rows, task).write.mode("overwrite").parquet(f"{folder}/vectors")
         _record(spark, folder, "vectors", begun)
     elif _recorded(spark, folder, "vectors") != begun:
         raise ValueError(f"{folder} holds a forest of other rows or settings")
@@ -71,7 +70,7 @@ def fit_parts(
     now = missing if at_most is None else missing[:at_most]
     for k in now:
         part = forest.copy({forest.numTrees: sizes[k], forest.seed: seed + k * _SEED_STEP})
-        part.fit(vectors).write().overwrite().save(f"{folder}/part-{k}")
+        fit_last(part, vectors, task).write().overwrite().save(f"{folder}/part-{k}")
         _record(spark, folder, f"part-{k}", str(sizes[k]))
     return len(sizes) - len(missing) + len(now), len(sizes)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from apexframe.functions import split_bucket
-from apexframe.learning.pipelines import LOGISTIC_C, build_pipeline, is_classification, learner, robust_scales, usable
+from apexframe.learning.pipelines import LOGISTIC_C, build_pipeline, fit_last, is_classification, laid_out, learner, robust_scales, usable
 from apexframe.learning.splits import race_key
 from apexframe.operators import metrics
 from apexframe.schemas import RACE, TASKS
@@ -53,8 +53,8 @@ def prepared_fold(rows: DataFrame, task: str, fold: int, impute: bool = False) -
     train = rows.filter(F.col("fold") != fold)
     scales = robust_scales(train, TASKS[task].numeric)
     stages = build_pipeline(task, scales=scales, impute=impute).getStages()[:-1]
-    made = Pipeline(stages=stages).fit(train).transform(rows)
-    return stage(made.select(*RACE, "fold", TASKS[task].target, "features"))
+    made = laid_out(Pipeline(stages=stages).fit(train), rows, task, (*RACE, "fold"))
+    return made if "ones" in made.columns else stage(made)
 
 
 def grid_search(
@@ -86,7 +86,7 @@ def grid_search(
 
         def predictions(name: str) -> DataFrame:
             estimator, settings = settings_of[name]
-            scored = learner(task, estimator, **settings).fit(train).transform(held)
+            scored = fit_last(learner(task, estimator, **settings), train, task).transform(held)
             return stage(scored.select(F.lit(name).alias("point"), "fold", *RACE, F.col(target).cast("double").alias("truth"), "prediction", score.alias("score")))
 
         with ThreadPool(parallelism) as pool:
