@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.llm.arrow import chunks, filtered, keep_only, segment_sums
-from apexframe.llm.fitting import sampled_ids
 from apexframe.llm.shingles import SPACE, Words
+from apexframe.operators.groups import value_positions
 from apexframe.session import stage
 
 MIN_WORDS = 50
@@ -206,24 +206,48 @@ def document_statistics(documents: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def fit(stats: DataFrame, labels: DataFrame, rows: int = 20_000, lost: float = 0.0005, id_col: str = "doc_id") -> Forest | None:
-    """Forest over at most ``rows`` documents labelled good, and its thresholds.
+    """Forest over documents labelled good, and its thresholds.
 
-    A group's threshold is the score that a share ``lost`` of further labelled
-    good documents exceeds (half of the rows grow the trees, the others
-    calibrate), plus a small margin.
+    A hash of the id deals the good documents into two halves. The trees, each of
+    which is grown on few rows by its method, draw these from at most ``rows``
+    documents of the first half. A group's threshold is the score that a share
+    ``lost`` of all documents of the second half exceeds, plus a small margin.
     """
-    good = labels.where("quality = 1").select(id_col)
-    ids = sampled_ids(good.join(stats.select(id_col), id_col, "left_semi"), rows, id_col)
-    sample = stats.join(F.broadcast(ids), id_col, "left_semi").orderBy(F.xxhash64(id_col), *COUNTS, *EXTRA).limit(2 * rows).toPandas()
-    table = {c: sample[c].to_numpy() for c in COUNTS + EXTRA}
-    x = features(table)[~base_failed(table)]
-    if len(x) < 8:
+    good = labels.where("quality = 1").select(id_col).distinct()
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    known = stage(stats.join(good, id_col, "left_semi").where(~failed))
+    half = F.pmod(F.xxhash64(F.lit("half"), id_col), F.lit(2))
+    grown, others = known.where(half == 0), known.where(half == 1)
+    if known.count() < 8:
         return None
-    forest = grow_forest(x[::2])
-    forest.thresholds = np.quantile(forest.scores(x[1::2]), 1 - lost, axis=0) + 0.01
+    if grown.isEmpty() or others.isEmpty():
+        grown = others = known
+    drawn = grown.orderBy(F.xxhash64(id_col), *COUNTS, *EXTRA).limit(rows).toPandas()
+    forest = grow_forest(features({c: drawn[c].to_numpy() for c in COUNTS + EXTRA}))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = forest.scores(features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS + EXTRA}))
+            name = np.tile(np.arange(len(GROUPS), dtype=np.int32), len(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(scores.reshape(-1))], names=["name", "score"])
+
+    forest.thresholds = _quantiles(others.select(*COUNTS, *EXTRA).mapInArrow(scored, "name int, score double"), 1 - lost) + 0.01
     return forest
 
 
+def _quantiles(scores: DataFrame, share: float) -> np.ndarray:
+    """The interpolated quantile of each group's scores, by the positions of all of them."""
+    place = F.lit(share) * (F.col("_group_rows") - 1)
+    first, end = F.col("_rows_before"), F.col("_rows_before") + F.col("_own_rows")
+    holds = [(first <= at) & (at < end) for at in (F.floor(place), F.ceil(place))]
+    part = (place - F.floor(place)).alias("part")
+    # At most two values a group.
+    found = value_positions(scores, ["name"], "score").where(holds[0] | holds[1]).select("name", "score", part).collect()
+    ends = [[r for r in found if r["name"] == k] for k in range(len(GROUPS))]
+    ends = [(min(r["score"] for r in own), max(r["score"] for r in own), own[0]["part"]) for own in ends]
+    return np.array([low + part * (high - low) for low, high, part in ends])
+
+
 def verdicts(stats: dict[str, np.ndarray], forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Base failure, anomaly score and whether the document is kept."""
     failed = base_failed(stats)
@@ -237,7 +261,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """Statistics, base failure, anomaly score and verdict of every document.
 
     The texts are read once: the narrow statistics are staged, the forest is
-    fitted on a bounded sample of them and applied to all.
+    fitted on those of the documents labelled good and applied to all.
     """
     stats = stage(document_statistics(documents, id_col, text_col))
     forest = fit(stats, labels, sample_rows, id_col=id_col)
@@ -256,9 +280,8 @@ def quality_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
 def keep_good(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
     """Documents that pass, with all their columns.
 
-    Only the labelled sample is read for the fit, then every text once.
+    The texts are read twice: for the statistics that the fit needs, and for the
+    verdicts, so that no text is moved or staged.
     """
-    ids = sampled_ids(labels.where("quality = 1").select(id_col), sample_rows, id_col)
-    labelled = documents.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi")
-    forest = fit(stage(document_statistics(labelled, id_col, text_col)), labels, sample_rows, id_col=id_col)
+    forest = fit(stage(document_statistics(documents, id_col, text_col)), labels, sample_rows, id_col=id_col)
     return filtered(documents, text_col, lambda texts: verdicts(statistics(texts), forest)[2])

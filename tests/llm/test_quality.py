@@ -71,3 +71,20 @@ def test_grow_forest_of_any_size(size):
 
     x = np.random.default_rng(1).random((size, 8))
     assert ((0 <= (s := quality.grow_forest(x, trees=12).scores(x))) & (s <= 1)).all()
+
+
+def test_thresholds_come_from_all_good_documents(spark):
+    """Few documents grow the trees, but the calibrating half counts whole."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    names = quality.COUNTS + quality.EXTRA
+    rng = np.random.default_rng(3)
+    rows = [(k, 200 + k % 50, 1000 + int(rng.integers(50)), int(rng.integers(3)), 0, 0, 10 + k % 4, 1300, int(rng.integers(90)), int(rng.integers(9)), 120 + k % 7) for k in range(3000)]
+    stats = spark.createDataFrame(rows, f"doc_id long, {', '.join(f'{c} long' for c in names)}")
+    labels = stats.select("doc_id", F.lit(1).alias("quality"))
+    forest = quality.fit(stats, labels, rows=60, lost=0.05)
+    other = stats.where("pmod(xxhash64('half', doc_id), 2) = 1").toPandas()
+    assert 1300 < len(other) < 1700
+    scores = forest.scores(quality.features({c: other[c].to_numpy() for c in names}))
+    assert forest.thresholds == pytest.approx(np.quantile(scores, 0.95, axis=0) + 0.01)
