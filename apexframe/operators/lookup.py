@@ -22,9 +22,15 @@ def first_match(table: DataFrame, key: Column, out: str, order: Sequence[str] =
     return keyed.groupBy(f"{out}_key").agg(F.min(F.struct(*ordered)).alias(out))
 
 
+def _with_asked(requests: DataFrame) -> DataFrame:
+    """Add the names as they are looked up. They are columns, as a sort evaluates an
+    expression anew in every comparison."""
+    return requests.withColumns({f"_{n}_asked": F.lower(strip(F.col(n))) for n in _NAMES})
+
+
 def with_validity(requests: DataFrame, picks: Mapping[str, DataFrame]) -> DataFrame:
     """Add ``valid``: driver, constructor and circuit are all in the pick lists."""
-    checked = requests
+    checked = _with_asked(requests)
     valid = F.lit(True)
     for name, ref in _NAMES.items():
         known = (
@@ -33,18 +39,18 @@ def with_validity(requests: DataFrame, picks: Mapping[str, DataFrame]) -> DataFr
             .select(F.lower(ref).alias(f"_{name}_known"))
             .distinct()
         )
-        asked = F.lower(strip(F.col(name)))
-        checked = checked.join(known, asked == F.col(f"_{name}_known"), "left")
+        checked = checked.join(known, F.col(f"_{name}_asked") == F.col(f"_{name}_known"), "left")
         valid = valid & F.col(f"_{name}_known").isNotNull()
     return checked.withColumn("valid", valid).select(*requests.columns, "valid")
 
 
 def accepted(requests: DataFrame, picks: Mapping[str, DataFrame]) -> DataFrame:
     """Requests whose names are all known, by semi joins."""
+    checked = _with_asked(requests)
     for name, ref in _NAMES.items():
         known = picks[f"{name}s"].select(F.lower(ref).alias("_known"))
-        requests = requests.join(known, F.lower(strip(F.col(name))) == F.col("_known"), "left_semi")
-    return requests
+        checked = checked.join(known, F.col(f"_{name}_asked") == F.col("_known"), "left_semi")
+    return checked.select(*requests.columns)
 
 
 def rejected(requests: DataFrame, picks: Mapping[str, DataFrame]) -> DataFrame:
@@ -79,9 +85,10 @@ def expand(
         *[strip(F.col(n)).alias(f"_asked_{n}") for n in _NAMES],
         F.col("race_date").cast("date").alias("_date"),
     )
+    found = found.withColumns({f"_wanted_{n}": F.lower(f"_asked_{n}") for n in _NAMES})
     for name, ref in _NAMES.items():
         table = dims[f"{name}s"]
-        asked = F.lower(f"_asked_{name}")
+        asked = F.col(f"_wanted_{name}")
         matches = first_match(table, F.col(ref), f"_{name}")
         found = found.join(matches, asked == F.col(f"_{name}_key"), "left")
         if {"forename", "surname"} <= set(table.columns):

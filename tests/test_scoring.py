@@ -140,3 +140,19 @@ def test_stream_equals_batch(spark, dims, tmp_path):
     want = scoring.predict_and_rank(good, "laps")
     assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
     assert set(RACE) <= set(got.columns)
+
+
+def test_names_are_prepared_before_they_are_looked_up(spark, dims):
+    """A sort by an expression would evaluate it anew in every comparison."""
+    rows = requests(spark, request("  HAMILTON "), request("nobody"), request(None))
+    picks = dims
+    found = {
+        "validity": lookup.with_validity(rows, picks),
+        "accepted": lookup.accepted(rows, picks),
+        "expanded": lookup.expand(rows, dims, "mainrace"),
+    }
+    for name, df in found.items():
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+        assert joins and not any("regexp_replace(" in x or "lower(" in x for x in joins), name
+    assert [r.valid for r in found["validity"].select("driver", "valid").orderBy("driver").collect()] == [False, True, False]
+    assert found["accepted"].columns == rows.columns and found["accepted"].count() == 1
