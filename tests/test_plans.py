@@ -4,6 +4,7 @@ from datetime import date
 
 import pytest
 from fixtures import clock, small_dump
+from pyspark.sql import functions as F
 
 from apexframe.operators import dimensions, facts, groups, quality, rollup
 from apexframe.plans import mainrace, qualifying, status
@@ -243,3 +244,22 @@ def test_quality(dump):
     assert [r.date for r in quality.latest(entries.select("date").distinct(), ["date"], 1).collect()] == [
         date(1985, 6, 1)
     ]
+
+
+def test_parents_without_a_key_are_dealt(spark):
+    """They match nothing, but an outer join sends equal keys to one task."""
+    parents = spark.range(4000).selectExpr("id AS parent", "if(id < 10, id, NULL) AS key")
+    children = spark.range(30).selectExpr("id % 10 AS key", "id AS child")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        wide = facts.outer_fan_out(parents, children, "key", apart=("parent",))
+        sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+        rows = sorted((r.parent, r.child) for r in wide.filter("parent < 10 OR child IS NOT NULL").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 30 + 3990 and max(sizes) < 2000
+    assert rows == sorted((k % 10, k) for k in range(30))
