@@ -225,3 +225,15 @@ def test_missing_numbers(training):
     scored = scoring.dnf_percentage(gaps, fitted)
     assert scored.filter(F.col("dnf_percentage").isNull() | F.isnan("dnf_percentage")).count() == 0
     assert pipelines.usable(gaps, "status", "drop").count() == 400 - counts["any_number"]
+
+
+def test_scoring_carries_no_names_of_elements(training):
+    model = pipelines.fit(training, "status", "logistic")
+    plain, lean = model.transform(training), pipelines.applied(model, training)
+    # Names of labels and elements, as they lie in the schemas.
+    said = [[("team0" in str(f.metadata)) for f in df.schema if "constructor" in f.name or f.name == "features"] for df in (plain, lean)]
+    assert any(said[0]) and not any(said[1])
+    wanted = plain.select((vector_to_array("probability")[1] * 100).alias("p"))
+    scored = scoring.dnf_percentage(training, model)
+    assert sorted(r.p for r in wanted.collect()) == sorted(r.dnf_percentage for r in scored.collect())
+    assert scored.columns == [*training.columns, "dnf_percentage"] and lean.columns == plain.columns
