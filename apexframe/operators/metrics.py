@@ -105,10 +105,12 @@ def pair_sums(predicted: DataFrame, truth: DataFrame | None = None) -> DataFrame
     places = (
         every.dropna(subset=[*CAR, "_at"])
         .groupBy(*CAR, "_at")
-        .agg(F.sum("_m").cast(_WIDE).alias("_m"), F.sum("_n").cast(_WIDE).alias("_n"))
-        .withColumns({"_s": (F.col("_m") * at).cast(_WIDE), "_q": (F.col("_m") * at * at).cast(_WIDE)})
+        .agg(F.sum("_m").alias("_m"), F.sum("_n").alias("_n"))
     )
-    summed = running_sums(places, CAR, "_at", ["_m", "_s", "_q"])
+    many = F.col("_m").cast(_WIDE)
+    derived = {"_s": (many * at).cast(_WIDE), "_q": (many * at * at).cast(_WIDE)}
+    summed = running_sums(places, CAR, "_at", ["_m"], derived)
+    summed = summed.withColumns({c: F.col(c).cast(_WIDE) for c in ("_n", "_m_below", "_m_total")})
     number, total, squares = (F.col(f"_{x}_total") for x in "msq")
     absolute = at * (2 * F.col("_m_below") - number) - (2 * F.col("_s_below") - total)
     return summed.filter((F.col("_n") > 0) & (number > 0)).select(

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from apexframe import session
 from apexframe.operators import groups
 
 KEYS = ["a", "b"]
@@ -130,3 +131,20 @@ def test_staged_tables_leave_the_catalog(spark, skewed):
     before = {t.name for t in spark.catalog.listTables()}
     groups.group_rank(skewed[0], KEYS, "v", "r").count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_bucket_holds_one_range(spark):
+    df = spark.range(1000).select((F.col("id") % 97).alias("v"))
+    staged = session.stage_ranges(df, ["v"], "_range")
+    tasks = staged.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("_range").alias("n")).collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and {t["n"] for t in tasks} == {1}
+    ranges = staged.groupBy("_range").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_range").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_derived_measures_are_summed_but_not_staged(spark):
+    sums = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 4, 1), (2, 5, 1)], "k int, v int, n long")
+    placed = groups.running_sums(sums, ["k"], "v", ["n"], {"s": F.col("n") * F.col("v")}).orderBy("k", "v")
+    assert "s" not in placed.columns
+    got = [(r["n_below"], r["n_total"], r["s_below"], r["s_total"]) for r in placed.collect()]
+    assert got == [(0, 6, 0, 12), (2, 6, 2, 12), (5, 6, 8, 12), (0, 1, 0, 5)]
