@@ -34,9 +34,15 @@ ATTRIBUTES = (
 TRAINING = (*STATUS.features, STATUS.target)
 
 
-def entries(dump: Dump, year_from: int = 1981, earlier: DataFrame | None = None) -> DataFrame:
-    """Distinct race entries. Laps would only multiply rows, so they stay out."""
-    return facts.race_entries(dump, year_from, earlier).select(*ATTRIBUTES).distinct()
+def entries(
+    dump: Dump, year_from: int = 1981, earlier: DataFrame | None = None, cars: DataFrame | None = None
+) -> DataFrame:
+    """Distinct race entries. Laps would only multiply rows, so they stay out.
+
+    ``cars`` hands over the race entries if they were staged before.
+    """
+    cars = facts.race_entries(dump, year_from, earlier) if cars is None else cars
+    return cars.select(*ATTRIBUTES).distinct()
 
 
 def training(

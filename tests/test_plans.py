@@ -7,7 +7,7 @@ from fixtures import clock, small_dump
 from pyspark.sql import functions as F
 
 from apexframe.operators import dimensions, facts, groups, quality, rollup
-from apexframe.plans import mainrace, qualifying, status
+from apexframe.plans import build, mainrace, qualifying, status
 
 # Race 20 (first, 1985-05-01): a full field with a lapped and a retired car.
 ENTRIES = [
@@ -263,3 +263,16 @@ def test_parents_without_a_key_are_dealt(spark):
             spark.conf.set(k, v)
     assert sum(sizes) == 30 + 3990 and max(sizes) < 2000
     assert rows == sorted((k % 10, k) for k in range(30))
+
+
+def test_build_hands_race_entries_on(dump, monkeypatch):
+    """Main race and status start from the same staged entries."""
+    handed = []
+    monkeypatch.setattr(build, "build_dimensions", lambda *args: None)
+    monkeypatch.setattr(build, "build_task", lambda *args: handed.append((args[2], args[-1])))
+    build.build_all(dump, "nowhere")
+    assert [task for task, _ in handed] == ["mainrace", "qualifying", "status"]
+    cars = handed[0][1]
+    assert handed[2][1] is cars
+    got, want = status.entries(dump, cars=cars), status.entries(dump)
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
