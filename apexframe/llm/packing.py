@@ -32,6 +32,7 @@ CAPACITY = 2048
 FULL = 2032  # a bin with this many tokens is emitted at once
 TASK_ITEMS = 40_000
 MARKS = (".", ",")
+WORDS = 800_000  # words a worker keeps the ids of, some 200 MB
 ITEM = "struct<doc_id: {kind}, piece: int, start: long, length: long, ids_crc32: long, offset: long>"
 
 
@@ -46,21 +47,32 @@ class WordIds:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
-        self.seen, self.apart = set(map(chr, range(128))), set()
-        self.memo = Memo(self._encode)
+        self.seen, self.apart = set(map(chr, range(128))), {"Σ"}  # its small form depends on the word
+        # Which ids end a word. A word has one such id if any byte may end it.
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix and all(letter + suffix in vocabulary for letter in ByteLevel.alphabet()):
+            self.ends[[number for word, number in vocabulary.items() if word.endswith(suffix)]] = True
+        self.memo = Memo(self._encode, WORDS)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         """Places of the words' ids in ``flat``. Marks at a word's end are words of their own
-        to the tokenizer, so plain words with and without them share one encoding."""
+        to the tokenizer, and it lowers letters, so plain words with and without marks, in
+        capitals or not, share one encoding."""
         place, stems, marks, others = {}, [], [], []
         self._look_at(set("".join(words)))
         for word in words:
-            stem, mark = (word, 0) if word.isalpha() else (word[:-1], 1 + (word[-1] == ",")) if word[-1:] in MARKS else ("", 0)
-            if stem.isalpha() and (stem.isascii() or self.apart.isdisjoint(stem)):
-                stems.append(place.setdefault(stem.lower() if stem.isascii() else stem, len(place)))
+            stem, mark = word, 0
+            plain = word.isalpha()
+            if not plain and word[-1:] in MARKS:
+                stem, mark = word[:-1], 1 + (word[-1] == ",")
+                plain = stem.isalpha()
+            if plain and (stem.isascii() or self.apart.isdisjoint(stem)):
+                stems.append(place.setdefault(stem.lower(), len(place)))
             else:
                 stems.append(-1)
                 others.append(word)
@@ -88,11 +100,12 @@ class WordIds:
         return [at, sizes]
 
     def _look_at(self, chars: set[str]) -> None:
-        """Note the letters of which the normaliser doesn't leave letters only. It takes
-        some apart into a letter and a sign, and the sign joins a mark that follows."""
-        normaliser = self.tokenizer.normalizer
+        """Note the letters of which the normaliser doesn't leave letters only, and those
+        that it lowers in another way. It takes some apart into a letter and a sign, and
+        the sign joins a mark that follows."""
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer is not None else str
         for char in chars - self.seen:
-            if normaliser is not None and char.isalpha() and not normaliser.normalize_str(char).isalpha():
+            if char.isalpha() and not (normal(char).isalpha() and normal(char) == normal(char.lower())):
                 self.apart.add(char)
         self.seen |= chars
 
@@ -101,15 +114,16 @@ class WordIds:
         lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for k in range(0, len(words), size):
             own = words[k : k + size]
-            found = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
-            of_word = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
-            if len(of_word) != len(own) or (of_word == 0).any():  # a letter that the normaliser takes apart
+            # Without offsets and word numbers; the last id of a word tells where it ends.
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            of_word = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
+            if len(of_word) != len(own):  # a letter that the normaliser takes apart
                 single = self.tokenizer.encode_batch(own, add_special_tokens=False)
                 lengths.append(np.fromiter((len(x.ids) for x in single), np.int64, len(own)))
                 ids.append(np.array([i for x in single for i in x.ids], np.uint32))
             else:
                 lengths.append(of_word)
-                ids.append(np.array(found.ids, np.uint32))
+                ids.append(found)
         return np.concatenate(lengths), np.concatenate(ids)
 
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:

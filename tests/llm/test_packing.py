@@ -77,3 +77,15 @@ def test_edges(edges, edge_rows, nothing):
 def test_best_fit(lengths, bins):
     found = packing.best_fit(np.array(lengths, np.int64), 10)
     assert len(found) == bins and sorted(i for b in found for i in b) == list(range(len(lengths)))
+
+
+def test_words_in_capitals_share_an_encoding(monkeypatch):
+    words, asked = packing.WordIds(PATH), []
+    whole = words._joined
+    monkeypatch.setattr(words, "_joined", lambda own: asked.extend(own) or whole(own))
+    texts = ["École école. ÉCOLE, Été été", "ΑΣ, ΑΣΑ Σ. ǅ ǆ Ǆ, İ. ß ẞ"]
+    ids, places = words.ids(pa.array(texts))
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert [ids[places[k] : places[k + 1]].tolist() for k in range(2)] == [x.ids for x in want]
+    assert asked.count("école") == asked.count("été") == 1 and "École" not in asked
+    assert words.ends.any()  # the words' ends are told by their ids
