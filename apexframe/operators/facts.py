@@ -99,10 +99,13 @@ def session_entries(dump: Dump, types: Sequence[str]) -> DataFrame:
     rounds = dump.round.filter(F.col("is_cancelled") == "f").select(
         F.col("id").alias("round_id"), "circuit_id", F.col("date").alias("round_date")
     )
-    # Sessions and rounds meet first: the entries then need one join for both.
+    # Sessions and rounds meet first: the entries then need one join for both. They are
+    # staged, as Spark takes a join for too large to broadcast: it would shuffle the
+    # entries of all sessions before it learns how few sessions are left.
+    known = stage(sessions.join(rounds, "round_id"))
     return (
         _session_entries(dump)
-        .join(sessions.join(rounds, "round_id"), "session_id")
+        .join(known, "session_id")
         .join(_round_entries(dump), ["round_entry_id", "round_id"])
         .join(_team_drivers(dump), "team_driver_id", "left")
     )

@@ -54,9 +54,13 @@ def roll_up_laps(
         )
     else:
         # An inner join, so that the laps of an entry with very many can be split;
-        # entries without laps are found by their keys and count one lap of 0.
-        lapped = ids.join(times, "session_entry_id").select(*_GROUP, F.col("lap_ms").alias("ms"))
-        without = ids.join(times.select("session_entry_id").distinct(), "session_entry_id", "left_anti")
+        # entries without laps are found by their keys and count one lap of 0. Both
+        # joins leave out null ids, so that they share one shuffle of the entries.
+        no_id = F.col("session_entry_id").isNull()
+        known = ids.filter(~no_id)
+        lapped = known.join(times, "session_entry_id").select(*_GROUP, F.col("lap_ms").alias("ms"))
+        without = known.join(times.select("session_entry_id").distinct(), "session_entry_id", "left_anti")
+        without = without.unionByName(ids.filter(no_id))
         timed = lapped.unionByName(without.select(*_GROUP, F.lit(0).cast("long").alias("ms"))).distinct()
         timed = timed.withColumn("n", F.lit(1))
     sums = timed.groupBy(*_GROUP).agg(

@@ -52,9 +52,14 @@ def rolled_up(
     cars: DataFrame,
     keep_lap_identity: bool = False,
     skip_deleted: bool = False,
+    laps_table: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per car and race of ``entries``, with its summed laps."""
-    laps = rollup.lap_times(dump.lap, skip_deleted)
+    """One row per car and race of ``entries``, with its summed laps.
+
+    ``laps_table`` hands over the ``lap_times`` if they were staged before, which pays
+    for laps that are slow to read.
+    """
+    laps = rollup.lap_times(dump.lap, skip_deleted) if laps_table is None else laps_table
     return rollup.roll_up_laps(cars, laps, ATTRIBUTES, keep_lap_identity)
 
 
@@ -124,12 +129,16 @@ def training(
     keep_lap_identity: bool = False,
     skip_deleted: bool = False,
     entries_table: DataFrame | None = None,
+    laps_table: DataFrame | None = None,
     **bounds,
 ) -> DataFrame:
     """The training table. ``final_position`` is kept for evaluation only.
 
-    ``entries_table`` hands over the ``entries`` if they were staged before.
+    ``entries_table`` and ``laps_table`` hand over the ``entries`` and the ``lap_times``
+    if they were staged before.
     """
     cars = stage(entries(dump, year_from)) if entries_table is None else entries_table
-    merged = rolled_up(dump, cars, keep_lap_identity, skip_deleted)
+    merged = rolled_up(dump, cars, keep_lap_identity, skip_deleted, laps_table)
+    # Neither used from here on nor in the table, so not carried through its steps.
+    merged = merged.drop("date", "driver_date_of_birth", "first_race_date")
     return deviations(merged, **bounds).select(*TRAINING)

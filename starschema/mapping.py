@@ -93,7 +93,8 @@ class StarDump:
     @cached_property
     def sessionentry(self) -> DataFrame:
         """Every order enters the race and one of the two qualifying sessions."""
-        return self._placed.selectExpr("*", "explode(array(0, 1)) AS kind").selectExpr(
+        timed = self._placed.selectExpr("*", f"{clock_text(SESSION_MS)} AS time")
+        return timed.selectExpr("*", "explode(array(0, 1)) AS kind").selectExpr(
             "o_orderkey * 2 + kind AS id",
             "round_id * 10 + if(kind = 0, 0, 1 + o_orderkey % 2) AS session_id",
             "o_orderkey AS round_entry_id",
@@ -101,7 +102,7 @@ class StarDump:
             " AS is_classified",
             "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'"
             " THEN try_cast(substr(o_orderpriority, 1, 1) AS int) END AS grid",
-            f"{clock_text(SESSION_MS)} AS time",
+            "time",
             "cast(o_orderkey % 16 AS int) AS laps_completed",
         )
 

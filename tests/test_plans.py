@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from apexframe.operators import dimensions, facts, groups, quality, rollup
 from apexframe.plans import build, mainrace, qualifying, status
+from apexframe.session import stage
 
 # Race 20 (first, 1985-05-01): a full field with a lapped and a retired car.
 ENTRIES = [
@@ -108,6 +109,37 @@ def test_equal_entries_merge(spark):
     assert by(whole.collect(), "qualification_position")[1].milliseconds_laptime == 40
 
 
+def test_rollup_with_repeated_and_missing_ids(spark):
+    """An id that comes twice, in two combinations, or not at all."""
+    ids = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (None, "a"), (4, None)]
+    laps = [(1, 5), (1, 5), (1, 7), (2, 7), (2, 9), (2, None), (4, 3), (None, 8), (5, 6)]
+    entries = spark.createDataFrame(ids, "session_entry_id long, x string")
+    laps = spark.createDataFrame(laps, "session_entry_id long, lap_ms long")
+    rolled = rollup.roll_up_laps(entries, laps, ["x"])
+    assert rolled.columns == ["x", "milliseconds_laptime", "laps_count"]
+    # "a" also has an entry without laps, whose 0 is the 0 of the missing time.
+    want = [("a", 21, 4), ("b", 21, 4), ("c", 0, 1), ("d", 0, 1)]
+    assert sorted(map(tuple, rolled.collect())) == want
+    whole = rollup.roll_up_laps(entries, laps, ["x"], keep_lap_identity=True)
+    # 17 ms and 3 laps for each row of id 1, 16 and 3 for each of id 2.
+    want = [("a", 50, 10), ("b", 33, 6), ("c", 0, 2), ("d", 0, 2)]
+    assert sorted(map(tuple, whole.collect())) == want
+
+
+def test_rollup_shuffles_ids_once(dump, spark):
+    cars = stage(mainrace.entries(dump))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rolled = mainrace.rolled_up(dump, cars)
+        rows = sorted(rolled.collect())
+        text = rolled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in text.split("Initial Plan")[0]
+    assert rows == sorted(mainrace.rolled_up(dump, cars).collect())
+
+
 def test_mainrace_training(dump):
     rows = by(mainrace.training(dump).collect(), "driver", "race_month")
     assert sorted(rows) == [("hamilton", 5), ("lauda", 6), ("prost", 5)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from apexframe.functions import time_to_ms
 from apexframe.operators import facts, groups
-from apexframe.plans import status
+from apexframe.plans import mainrace, status
 from apexframe.schemas import RACE
 from starschema import mapping
 
@@ -105,5 +105,20 @@ def test_fan_out_plans_its_inputs_once(spark):
     assert plan(wide).count("FileScan") <= 28
 
 
+def test_sessions_are_broadcast_before_entries_are_shuffled(spark):
+    for types in (facts.RACE_SESSIONS, facts.QUALIFYING_SESSIONS):
+        text = plan(facts.session_entries(mapping.dump(spark, SF), types))
+        assert "BroadcastHashJoin [session_id" in text and "Join [session_id" not in text.replace("BroadcastHashJoin", "")
+
+
+def test_csv_laps_are_parsed_once(spark, monkeypatch):
+    handed = {}
+    monkeypatch.setattr(mainrace, "training", lambda dump, year_from, **more: handed.update(more, lap=dump.lap))
+    QUERIES["csv_dump_training"](spark, SF)
+    laps = handed["laps_table"]
+    assert "FileScan csv" in plan(handed["lap"]) and "FileScan csv" not in plan(laps)
+    assert laps.count() == handed["lap"].count()
+
+
 def test_status_needs_no_laps(spark):
     assert "lineitem" not in plan(status.entries(mapping.dump(spark, SF)))
