@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from apexframe.functions import time_to_ms
+from apexframe.learning import pipelines
 from apexframe.operators import facts, groups
 from apexframe.plans import mainrace, status
 from apexframe.schemas import RACE
-from starschema import mapping
+from starschema import mapping, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -120,5 +121,15 @@ def test_csv_laps_are_parsed_once(spark, monkeypatch):
     assert laps.count() == handed["lap"].count()
 
 
+def test_leaderboard_compares_full_settings(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries.inspect, "leaderboard", lambda train, test, task, candidates, nulls: asked.update(candidates))
+    QUERIES["leaderboard"](spark, SF)
+    boosted, forest, logistic = (pipelines.learner("status", e, **s) for e, s in asked.values())
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (400, 5)
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (800, 30)
+    assert logistic.getMaxIter() == 100
+
+
 def test_status_needs_no_laps(spark):
     assert "lineitem" not in plan(status.entries(mapping.dump(spark, SF)))
