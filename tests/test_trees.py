@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from apexframe.learning import forests, nodes, pipelines, search, trees
@@ -68,3 +69,27 @@ def test_grid_search_on_wide_rows(spark, training, monkeypatch):  # noqa: F811
     monkeypatch.setattr(pipelines, "DENSE_CELLS", 0)
     wide = {(r.point, r.fold): r.metric for r in search.grid_search(training, "status", grid, folds=2).scores.collect()}
     assert wide == pytest.approx(narrow)
+
+
+@pytest.mark.parametrize("share", [1, 3, 1 << 30])
+def test_rare_elements_put_off_change_no_tree(spark, training, monkeypatch, share):  # noqa: F811
+    """Whether all elements are rare, some, or none, the forest has the same nodes."""
+    monkeypatch.setattr(pipelines, "DENSE_CELLS", 0)
+    found = []
+    for rare in (share, 1 << 30):
+        monkeypatch.setattr(trees, "_RARE", rare)
+        model = pipelines.fit(training.coalesce(1), "status", "forest", numTrees=3, maxDepth=4)
+        table = nodes.node_table(spark, model.stages[-1]).select("tree", "node", "feature", F.round("gain", 9), "left")
+        found.append(sorted(table.collect(), key=str))
+    assert found[0] == found[1]
+
+
+def test_rare_elements_that_cant_win_arent_summed(spark, monkeypatch):
+    """A step of one number explains all, so only the numbers and common elements are read."""
+    rows = spark.range(4000).selectExpr("if(id % 10 < 4, 5D, -3D) AS y", "array(cast(id % 10 AS double)) AS numbers", "array(cast(1 + id AS int), 4001) AS ones")
+    seen, best = [], trees._Grower._best
+    monkeypatch.setattr(trees._Grower, "_best", lambda self, points, places, active, *more: (seen.append(sorted(active)), best(self, points, places, active, *more))[1])
+    forest = RandomForestRegressor(labelCol="y", numTrees=2, maxDepth=30, featureSubsetStrategy="all", seed=1)
+    model = trees.fit(forest, rows, 1, 4002)
+    assert seen == [[(0, 0), (1, 0)]]
+    assert [t.numNodes for t in model.trees] == [3, 3]
