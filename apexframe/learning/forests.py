@@ -13,13 +13,13 @@ import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexframe.learning.pipelines import build_pipeline, fit_last, is_classification, laid_out, learner, robust_scales, usable
+from apexframe.learning.pipelines import fit_last, is_classification, laid_out, learner, prepare, robust_scales, usable
 from apexframe.schemas import TASKS
 from apexframe.session import scratch_dir, stage
 from apexframe.sources.dump import is_missing
@@ -58,8 +58,7 @@ def fit_parts(
     begun = _description(rows, task, forest, part_trees, nulls)
     if _recorded(spark, folder, "vectors") is None:
         scales = robust_scales(rows, chosen.numeric)
-        stages = build_pipeline(task, scales=scales, impute=nulls == "impute").getStages()[:-1]
-        prepared = Pipeline(stages=stages).fit(rows)
+        prepared = prepare(rows, task, scales, nulls == "impute")
         prepared.write().overwrite().save(f"{folder}/prepared")
         laid_out(prepared, rows, task).write.mode("overwrite").parquet(f"{folder}/vectors")
         _record(spark, folder, "vectors", begun)

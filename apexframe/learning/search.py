@@ -13,14 +13,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from apexframe.functions import split_bucket
-from apexframe.learning.pipelines import LOGISTIC_C, build_pipeline, fit_last, is_classification, laid_out, learner, robust_scales, usable
+from apexframe.learning.pipelines import LOGISTIC_C, fit_last, is_classification, laid_out, learner, prepare, robust_scales, usable
 from apexframe.learning.splits import race_key
 from apexframe.operators import metrics
 from apexframe.schemas import RACE, TASKS
@@ -52,8 +51,7 @@ def prepared_fold(rows: DataFrame, task: str, fold: int, impute: bool = False) -
     """Feature vectors of all rows, staged, by what the rows outside ``fold`` say."""
     train = rows.filter(F.col("fold") != fold)
     scales = robust_scales(train, TASKS[task].numeric)
-    stages = build_pipeline(task, scales=scales, impute=impute).getStages()[:-1]
-    made = laid_out(Pipeline(stages=stages).fit(train), rows, task, (*RACE, "fold"))
+    made = laid_out(prepare(train, task, scales, impute), rows, task, (*RACE, "fold"))
     return made if "ones" in made.columns else stage(made)
 
 

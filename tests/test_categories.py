@@ -4,9 +4,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from test_learning import training  # noqa: F401
 
-from apexframe.learning import categories, pipelines
+from apexframe.learning import categories, inspect, pipelines
 from apexframe.plans import scoring
 from apexframe.schemas import TASKS
+from apexframe.sources import models
 
 
 def test_places_follow_the_order_of_labels(spark):
@@ -62,3 +63,22 @@ def test_many_labels_leave_no_list_in_the_driver(spark):
     assert known.width == 300_000 and not encoded.schema["features"].metadata
     assert known.table.agg(F.countDistinct("place"), F.min("place"), F.max("place")).first() == (300_000, 0, 299_999)
     assert encoded.first().features.size == 300_001
+
+
+def test_wide_models_keep_no_labels(spark, training, monkeypatch, tmp_path):  # noqa: F811
+    """Labels of a wide fit stand in a table, in the model, in its file and for its importances."""
+    narrow = pipelines.fit(training, "mainrace", maxIter=2, maxDepth=3)
+    monkeypatch.setattr(pipelines, "DENSE_CELLS", 0)
+    monkeypatch.setattr(categories, "SENT_LABELS", 2)
+    wide = pipelines.fit(training, "mainrace", maxIter=2, maxDepth=3)
+    assert not any(hasattr(s, "labelsArray") for s in wide.stages)
+    models.save(wide, models.describe(training, "mainrace"), str(tmp_path / "m"))
+    loaded, _ = models.load(spark, str(tmp_path / "m"))
+    served = training.withColumn("driver", F.when(F.col("laps") > 60, "nobody").when(F.col("laps") > 55, F.col("driver")))
+    said = [sorted(r[0] for r in scoring.predict(served, m).select(F.round(scoring.PREDICTED, 6)).collect()) for m in (narrow, wide, loaded)]
+    assert said[0] == said[1] == said[2]
+    names = [inspect.element_names(spark, m, "mainrace").collect() for m in (narrow, loaded)]
+    assert sorted(names[0]) == sorted(names[1]) and inspect.feature_names(wide, "mainrace") == inspect.feature_names(narrow, "mainrace")
+    monkeypatch.setattr(inspect, "feature_names", None)
+    shares = [{r.feature: round(r.importance, 6) for r in inspect.importance(m, "mainrace", training).collect()} for m in (wide, loaded)]
+    assert shares[0] == shares[1] and sum(shares[0].values()) == pytest.approx(1, abs=1e-4)
